@@ -135,7 +135,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shards: int | None = N
     """
     spark = docs.sparkSession
     shards = shards or max(2 * shuffle_partitions(spark), 1)
-    borders = docs.select(F.expr(f"approx_percentile(doc_id, sequence(0D, 1D, 1D / {shards}), 10000)")).head()[0] or []
+    borders = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / shards for k in range(shards + 1)], 10000)).head()[0] or []
     borders = np.unique(np.array(borders[1:-1], np.int64))
     width = tokenizer(path).width
 
