@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocellus.llm.common import read_table, shuffle_partitions, stored
-from ocellus.llm.tokens import default_path, tokenizer
+from ocellus.llm.tokens import arrow_bytes, default_path, tokenizer
 
 MAGIC = b"EFIDS1\0\0"
 _HEAD = struct.Struct("<8sQQBBHI")
@@ -120,7 +120,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
         t = tokenizer(path)
         end = np.array([end_id], t.dtype).tobytes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + end for x in t.encode_batch(b.column(1).to_pylist())], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() + end for x in t.encode_batch(arrow_bytes(b.column(1)))], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

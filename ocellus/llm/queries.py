@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from ocellus.llm import elias, ogg
+from ocellus.llm import elias, langid, ogg, packing, warczip
 
 
 def queries() -> dict:
     return {
         "op1_ogg_media": ogg.op1_ogg_media,
+        "op4_language_id": langid.op4_language_id,
         "op7_elias_fano_ids": elias.op7_elias_fano_ids,
+        "op9_warc_zip": warczip.op9_warc_zip,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc_zip": warczip.OP9_SQL}

@@ -1,30 +1,35 @@
-"""Token ids of whole texts by a public tokenizer, with a cache of words."""
+"""Token ids of whole texts by a public tokenizer, with a hash table of the units it never joins."""
 
 from __future__ import annotations
 
-import gc
 import os
-import re
-import string
-from itertools import chain
 
 import numpy as np
 
-CACHE_WORDS = 600_000
-_END = string.punctuation
-#: Python's split() takes these for white space, the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
-_tokenizers: dict[tuple[str, int], "WordCache"] = {}
-
-
-class WordCache(dict):
-    """Ids by word, as little-endian unsigned integers of ``width`` bytes.
-
-    The tokenizer drops white space and never joins what white space parts, so a text's ids are the
-    ids of its words. New words of a batch that consist of letters go to the library as one string,
-    whose ids are parted behind ids that end a word; punctuation behind letters is split off first,
-    and ASCII letters are lowered, as the tokenizer does both. Other new words go one by one.
-    Beyond ``CACHE_WORDS`` words, those of a batch are dropped after it: memory stays bounded.
+from ocellus.llm.common import blocks
+from ocellus.llm.hashing import SPACE, mix, word_bounds, word_hashes
+
+TABLE_UNITS = 3_000_000
+_LETTER, _MARK, _HARD = 1, 2, 4
+_CLASS = np.full(256, _HARD, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[48:58] = _HARD
+_CLASS[[39, 60]] = _HARD  # the apostrophe may begin a contraction, "<" a special token
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[SPACE] = 0
+_tokenizers: dict[tuple[str, int], "UnitTokenizer"] = {}
+
+
+class UnitTokenizer:
+    """Encodes batches of UTF-8 texts; ids are unsigned integers of 2 or 4 bytes.
+
+    The tokenizer drops white space, keeps runs of letters and runs of marks apart, and never joins
+    what it keeps apart. So a text's ids are those of its units: of words made of ASCII and Latin-1
+    letters and of ASCII marks, the runs of either; any other word whole. Units are found and hashed by
+    numpy (64 bits; A-Z count as a-z in runs of letters, as the tokenizer lowers them); each distinct
+    one goes to the library once and its ids are gathered from a table. Units of letters go to it many
+    in one string, whose ids are parted behind ids that end a word. The table is emptied when it holds
+    ``TABLE_UNITS``, so memory stays bounded.
     """
 
     def __init__(self, path: str):
@@ -37,79 +42,124 @@ class WordCache(dict):
         self.dtype = np.dtype(f"<u{self.width}")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.cores: dict[str, bytes] = {}
-
-    def library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        parts = {}
-        for w in words:
-            core = w.rstrip(_END)
-            if core.isalpha():
-                parts[w] = (core.lower() if core.isascii() else core, w[len(core) :])
-            else:
-                self[w] = self.library(w)
-        cores, tails = self.cores, {}
-        new = list({c for c, _ in parts.values()}.difference(cores))
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.dtype)
+
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _learn(self, keys: np.ndarray, units: list[str], plain: np.ndarray) -> None:
+        """plain: the units that consist of letters."""
+        sizes = np.zeros(len(units), np.int64)
+        found: list[np.ndarray] = []
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n = int(plain.sum())
+        for at in range(0, n, 4000):
+            some = order[at : min(n, at + 4000)]
+            ids = self.library(" ".join([units[k] for k in some]))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
-                data, a = ids.tobytes(), 0
-                for w, z in zip(some, cuts.tolist()):
-                    cores[w] = data[a:z]
-                    a = z
+                found.append(ids)
+                sizes[some] = np.diff(cuts, prepend=0)
             else:
-                cores.update((w, self.library(w)) for w in some)
-        for w, (core, tail) in parts.items():
-            if tail:
-                if tail not in tails:
-                    tails[tail] = self.library(tail)
-                self[w] = cores[core] + tails[tail]
-            else:
-                self[w] = cores[core]
-        if len(cores) > CACHE_WORDS:
-            for w in new:
-                del cores[w]
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """No cycles arise here, so the collector, which would walk all cached words, is off meanwhile."""
-        was = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode_batch(texts)
-        finally:
-            if was:
-                gc.enable()
-
-    def _encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 2000):
-            some = [x or "" for x in texts[at : at + 2000]]
-            words = [[] if _ODD.search(x) else x.split() for x in some]
-            new = set(chain.from_iterable(words)).difference(self)
-            self._learn(new)
-            get = self.__getitem__
-            out += [b"".join(map(get, w)) if w else self.library(x) if x else b"" for x, w in zip(some, words)]
-            if len(self) > CACHE_WORDS:
-                for w in new:
-                    del self[w]
+                for k in some:
+                    found.append(self.library(units[k]))
+                    sizes[k] = len(found[-1])
+        for k in order[n:]:
+            found.append(self.library(units[k]))
+            sizes[k] = len(found[-1])
+        starts = np.zeros(len(units), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order] + len(self.ids)
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts = np.insert(self.starts, at, starts)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.ids = np.concatenate([self.ids, *found])
+
+    def _units(self, buf: np.ndarray, offsets: np.ndarray):
+        """Starts, ends, hashes, whether made of letters, and units before each text."""
+        kind = _CLASS[buf]
+        lead = np.flatnonzero(buf[:-1] == 0xC3)
+        tail = buf[lead + 1]
+        lead = lead[(tail >= 0x80) & (tail <= 0xBF) & (tail != 0x97) & (tail != 0xB7)]
+        kind[lead] = _LETTER
+        kind[lead + 1] = _LETTER
+        starts, ends, before = word_bounds(buf, offsets)
+        if not len(starts):
+            return starts, ends, np.zeros(0, np.uint64), np.zeros(0, bool), before
+        hard = np.bitwise_or.reduceat(kind, starts) >= _HARD  # white space between words adds nothing
+        # One unit for a hard word; else a unit for each run of one class.
+        inside = np.zeros(len(buf) + 1, np.int8)
+        inside[starts[~hard]] = 1
+        inside[ends[~hard]] -= 1
+        easy = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        cut = np.zeros(len(buf), bool)
+        cut[1:] = easy[1:] & easy[:-1] & (kind[1:] != kind[:-1])
+        cut[starts] = True
+        first = np.flatnonzero(cut)
+        last = np.empty(len(first), np.int64)
+        last[:-1] = first[1:]
+        last[-1] = len(buf)
+        word = np.searchsorted(starts, first, side="right") - 1
+        last = np.minimum(last, ends[word])
+        plain = ~hard[word] & (kind[first] == _LETTER)
+        folded = word_hashes(buf, first, last, fold=True)
+        if hard.any():
+            exact = mix(word_hashes(buf, first, last) ^ np.uint64(0x5851F42D4C957F2D))
+            folded = np.where(hard[word], exact, folded)
+        return first, last, folded, plain, np.searchsorted(first, offsets)
+
+    def encode_buffer(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin: n + 1 values)."""
+        first, last, keys, plain, before = self._units(buf, offsets)
+        distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.keys) + len(distinct) > TABLE_UNITS:
+            self._clear()
+        slot = np.searchsorted(self.keys, distinct)
+        slot[slot == len(self.keys)] = 0
+        new = self.keys[slot] != distinct if len(self.keys) else np.ones(len(distinct), bool)
+        if new.any():
+            data, k = buf.tobytes(), at[new]
+            self._learn(distinct[new], [data[a:z].decode() for a, z in zip(first[k].tolist(), last[k].tolist())], plain[k])
+            slot = np.searchsorted(self.keys, distinct)
+        slot = slot[inverse]
+        sizes = self.sizes[slot]
+        after = np.cumsum(sizes)
+        total = int(after[-1]) if len(after) else 0
+        at = np.repeat(self.starts[slot] - after + sizes, sizes)
+        at += np.arange(total)
+        return self.ids[at], np.concatenate([[0], after]).astype(np.int64)[before]
+
+    def encode_batch(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        buf, out = np.frombuffer(b"".join(texts), np.uint8), []
+        for i, j in blocks(offsets):
+            ids, cuts = self.encode_buffer(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            out += [ids[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        return self.encode_batch([text])[0]
-
 
-def tokenizer(path: str) -> WordCache:
+def tokenizer(path: str) -> UnitTokenizer:
     """One per Python worker and file."""
     key = (path, os.getpid())
     if key not in _tokenizers:
-        _tokenizers[key] = WordCache(path)
+        _tokenizers[key] = UnitTokenizer(path)
     return _tokenizers[key]
 
 
+def arrow_bytes(column) -> list[bytes]:
+    """UTF-8 of each row, nulls empty."""
+    import pyarrow as pa
+
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 def default_path() -> str:
     import public_tokenizers
 
