@@ -77,3 +77,10 @@ def blocks(offsets: np.ndarray, size: int = 1 << 21):
         b = min(n, max(b, a + 1))
         yield a, b
         a = b
+
+
+def small(batches, rows: int = 2000):
+    """Arrow batches cut to at most ``rows`` rows, which bounds what Python holds at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import read_table, shuffle_partitions, stored
+from ocellus.llm.common import read_table, shuffle_partitions, small, stored
 from ocellus.llm.tokens import arrow_bytes, default_path, tokenizer
 
 MAGIC = b"EFIDS1\0\0"
 _HEAD = struct.Struct("<8sQQBBHI")
 SAMPLE = 256
+SHARD_BYTES = 400_000
 
 
 class EliasFano:
@@ -119,17 +120,18 @@ def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
     def run(batches):
         t = tokenizer(path)
         end = np.array([end_id], t.dtype).tobytes()
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() + end for x in t.encode_batch(arrow_bytes(b.column(1)))], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int, shards: int | None = None) -> DataFrame:
-    """Shard files of consecutive doc ids, as a stored table (shard, doc_ids, n_ids, data).
+def write_shards(docs: DataFrame, path: str, end_id: int, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Shard files of consecutive doc ids, as a stored table (shard, file, doc_ids, n_ids, data).
 
     Shards are ranges of doc ids with about equal numbers of documents: the borders are approximate
-    quantiles of the id column alone, so the texts are tokenized once and only ids are shuffled.
+    quantiles of the id column alone, so the texts are tokenized once and only ids are shuffled. Each range
+    is cut into files of about ``shard_bytes``, as huge values fragment the heap.
     Within a shard documents lie in ascending id order; ties lie in the order of their ids' bytes, and
     null ids come first. An empty table gives no shard.
     """
@@ -147,11 +149,14 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shards: int | None = N
 
     def build(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["doc_id"].to_pylist(), table["ids"].to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        data = write_shard([r[1] for r in rows], width)
-        return pa.table({"shard": table["shard"][:1], "doc_ids": pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), "n_ids": pa.array([sum(len(r[1]) for r in rows) // width], pa.int64()), "data": pa.array([data], pa.binary())})
+        sizes = np.cumsum([len(r[1]) for r in rows]) // shard_bytes
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(rows)]
+        parts = [rows[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
+        own = [[r[1] for r in p] for p in parts]
+        return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(parts), pa.int32()), "file": pa.array(range(len(parts)), pa.int32()), "doc_ids": pa.array([[r[0] for r in p] for p in parts], pa.list_(pa.int64())), "n_ids": pa.array([sum(map(len, x)) // width for x in own], pa.int64()), "data": pa.array([write_shard(x, width) for x in own], pa.binary())})
 
     tokens = token_ids(docs, path, end_id).mapInArrow(place, "shard int, doc_id long, ids binary")
-    return stored(tokens.groupBy("shard").applyInArrow(build, "shard int, doc_ids array<bigint>, n_ids bigint, data binary"), "id-shards")
+    return stored(tokens.groupBy("shard").applyInArrow(build, "shard int, file int, doc_ids array<bigint>, n_ids bigint, data binary"), "id-shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -161,7 +166,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    before = shards.select("shard", (F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).alias("before"))
+    before = shards.select("shard", "file", (F.sum("n_ids").over(Window.orderBy("shard", "file")) - F.col("n_ids")).alias("before"))
 
     def run(batches):
         for b in batches:
@@ -172,7 +177,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(shard.ids[a:z].astype("<u4").tobytes()) for a, z in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts + before_), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(before, "shard").select("doc_ids", "before", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.join(before, ["shard", "file"]).select("doc_ids", "before", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

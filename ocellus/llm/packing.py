@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import read_table, shuffle_partitions, stored
+from ocellus.llm.common import read_table, shuffle_partitions, small, stored
 from ocellus.llm.tokens import arrow_bytes, default_path, tokenizer
 
 CAPACITY = 2048
@@ -124,7 +124,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY
     def run(batches):
         t = tokenizer(path)
         end = t.dtype.type(end_id)
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc, ids in zip(b.column(0).to_pylist(), t.encode_batch(arrow_bytes(b.column(1)))):
                 wide = np.append(ids, end).astype("<u4").tobytes()
