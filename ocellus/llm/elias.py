@@ -114,16 +114,22 @@ class Shard:
         return self.ids[self.ends[i - 1] if i else 0 : self.ends[i]]
 
 
-def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary): the ids of each whole text and the end id, little-endian. Null texts: the end id."""
+def token_ids(docs: DataFrame, path: str, end_id: int, borders: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(shard, doc_id, ids binary): the ids of each whole text and the end id, little-endian. Null texts: the end id.
+
+    shard: the range among the sorted ``borders`` in which the document's id lies; null ids are in the first.
+    """
+    borders = np.zeros(0, np.int64) if borders is None else borders
 
     def run(batches):
         t = tokenizer(path)
         end = np.array([end_id], t.dtype).tobytes()
         for b in small(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() + end for x in t.encode_batch(arrow_bytes(b.column(1)))], pa.binary())], ["doc_id", "ids"])
+            ids = b.column(0)
+            at = np.searchsorted(borders, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), ids, pa.array([x.tobytes() + end for x in t.encode_batch(arrow_bytes(b.column(1)))], pa.binary())], ["shard", "doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "shard int, doc_id long, ids binary")
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -141,12 +147,6 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shards: int | None = N
     borders = np.unique(np.array(borders[1:-1], np.int64))
     width = tokenizer(path).width
 
-    def place(batches):
-        for b in batches:
-            ids = b.column(0)
-            at = np.searchsorted(borders, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), ids, b.column(1)], ["shard", "doc_id", "ids"])
-
     def build(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["doc_id"].to_pylist(), table["ids"].to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         sizes = np.cumsum([len(r[1]) for r in rows]) // shard_bytes
@@ -155,8 +155,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shards: int | None = N
         own = [[r[1] for r in p] for p in parts]
         return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(parts), pa.int32()), "file": pa.array(range(len(parts)), pa.int32()), "doc_ids": pa.array([[r[0] for r in p] for p in parts], pa.list_(pa.int64())), "n_ids": pa.array([sum(map(len, x)) // width for x in own], pa.int64()), "data": pa.array([write_shard(x, width) for x in own], pa.binary())})
 
-    tokens = token_ids(docs, path, end_id).mapInArrow(place, "shard int, doc_id long, ids binary")
-    return stored(tokens.groupBy("shard").applyInArrow(build, "shard int, file int, doc_ids array<bigint>, n_ids bigint, data binary"), "id-shards")
+    return stored(token_ids(docs, path, end_id, borders).groupBy("shard").applyInArrow(build, "shard int, file int, doc_ids array<bigint>, n_ids bigint, data binary"), "id-shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:

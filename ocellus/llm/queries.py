@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ocellus.llm import elias, langid, neardup, ngram, ogg, packing, substring, warczip
+from ocellus.llm import elias, hilbert, langid, mixing, neardup, ngram, ogg, packing, substring, warczip
 
 
 def queries() -> dict:
     return {
         "op1_ogg_media": ogg.op1_ogg_media,
         "op2_substring_dedup": substring.op2_substring_dedup,
+        "op3_hilbert_ann": hilbert.op3_hilbert_ann,
         "op4_language_id": langid.op4_language_id,
+        "op5_mix_to_targets": mixing.op5_mix_to_targets,
         "op6_deleted_interpolation": ngram.op6_deleted_interpolation,
         "op7_elias_fano_ids": elias.op7_elias_fano_ids,
         "op8_lsh_forest": neardup.op8_lsh_forest,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring.OP2_SQL, "op9_warc_zip": warczip.OP9_SQL}
+    return {"op5_mix_to_targets": mixing.sql(), "op2_substring_dedup": substring.OP2_SQL, "op9_warc_zip": warczip.OP9_SQL}

@@ -48,13 +48,13 @@ def intervals(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WINDOW, text_col: str = "text", keep: list[str] | None = None, whole: bool = False) -> DataFrame:
     """Remove each word that a repeated window covers: row, n_words, n_removed, kept_text, removed.
 
     Words are runs of bytes but 0x20 and 0x09-0x0D. A window is ``width`` consecutive words of one
     text; it is repeated if the same words begin a window anywhere else, in the same text too. Windows
     are judged on the input. ``removed`` has the maximal intervals of word numbers; ``kept_text`` the
-    kept words joined by one space. ``row`` has the columns ``keep`` (default: all but the text).
+    kept words joined by one space; with ``whole``, a text that loses nothing is kept as it is. ``row`` has the columns ``keep`` (default: all but the text).
     Null and empty texts have no words; repeated rows repeat each other's windows, whatever their id.
 
     Hashes are 64-bit Rabin-Karp polynomials of word hashes; among n windows about n * n / 2**65 pairs
@@ -90,6 +90,10 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, text_col: str = "text",
         n_removed = n_removed[before[1:]] - n_removed[before[:-1]]
         texts, runs = [], []
         for k, text in enumerate(table["text"].cast(pa.large_binary()).to_pylist()):
+            if whole and not n_removed[k]:
+                texts.append(text or b"")
+                runs.append([])
+                continue
             words = (text or b"").split()
             if n_removed[k]:
                 mask = gone[before[k] : before[k + 1]]
