@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ocellus.llm.common import ensure_checkpoint_dir, read_table
 
 AXES = ["source", "lang", "topic"]
-TEMPERATURE, SWEEPS, TOLERANCE, MOST_ROUNDS = 0.5, 5, 1e-6, 20
+TEMPERATURE, BUDGET, SWEEPS, TOLERANCE, MOST_ROUNDS = 0.5, 0.75, 5, 1e-6, 20
 BROADCAST_CELLS = 50_000
 
 
@@ -70,16 +70,27 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     return fitted.select(*axes, "weight", "fitted")
 
 
-def keep_probabilities(fitted: DataFrame, axes: list[str], budget: float | None = None) -> DataFrame:
-    """(axes, probability): fitted weight over own weight, scaled so that the expected words are ``budget``.
+def keep_probabilities(fitted: DataFrame, axes: list[str], budget: float = BUDGET) -> DataFrame:
+    """(axes, probability): min(1, scale * fitted / weight), calibrated so that ``budget`` of all words are expected to stay.
 
-    Default budget: the largest at which no probability passes 1, so that the kept words have exactly
-    the fitted marginals in expectation. With a larger budget probabilities are capped at 1.
+    The scale solves sum(min(weight, scale * fitted)) = budget * sum(weight). It rises step by step: cells
+    that reach 1 give all their words, and the others share what is left in the fitted proportions, so
+    marginals are those of the targets but for cells that have too few words. ``fitted`` should be
+    checkpointed, as each step is one aggregation over it.
     """
-    ratio = fitted.withColumn("ratio", F.when(F.col("weight") > 0, F.col("fitted") / F.col("weight")).otherwise(0.0))
-    if budget is None:
-        budget = 1.0 / (ratio.agg(F.max("ratio")).head()[0] or 1.0)
-    return ratio.select(*axes, F.least(F.lit(1.0), F.col("ratio") * budget).alias("probability"))
+    total, left = (fitted.agg(F.sum("weight"), F.sum("fitted")).head() if budget < 1 else (0.0, 0.0))
+    if budget >= 1 or not total or not left:
+        return fitted.select(*axes, F.lit(1.0).alias("probability"))
+    aim = budget * total
+    scale = aim / left
+    for _ in range(100):
+        whole = F.col("weight") <= F.lit(scale) * F.col("fitted")
+        given, rest = fitted.agg(F.sum(F.when(whole, F.col("weight")).otherwise(0.0)), F.sum(F.when(whole, 0.0).otherwise(F.col("fitted")))).head()
+        more = (aim - given) / rest if rest > 0 else scale
+        if more <= scale * (1 + 1e-12):
+            break
+        scale = more
+    return fitted.select(*axes, F.least(F.lit(1.0), F.lit(scale) * F.col("fitted") / F.col("weight")).alias("probability"))
 
 
 def chance(id_col: str = "id", seed: int = 0) -> Column:
@@ -87,7 +98,7 @@ def chance(id_col: str = "id", seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = TEMPERATURE, budget: float | None = None, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = TEMPERATURE, budget: float = BUDGET, seed: int = 0) -> DataFrame:
     """All documents with their cell, probability and decision: row, id, source, lang, topic, weight, probability, kept.
 
     Words are summed by (source, lang, topic), map-side first, so that a hot source is one partial sum
@@ -101,7 +112,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperatur
     ensure_checkpoint_dir(docs.sparkSession)
     cells = cells.checkpoint()
     targets = targets or {a: tempered(cells, a, temperature) for a in AXES}
-    p = keep_probabilities(rake(cells, targets), AXES, budget).checkpoint()
+    p = keep_probabilities(rake(cells, targets).checkpoint(), AXES, budget).checkpoint()
     if p.count() <= BROADCAST_CELLS:
         found = rows.join(F.broadcast(p), AXES, "left")
     else:
@@ -127,6 +138,8 @@ def _sweep(k: int) -> str:
 def sql(sweeps: int = 25) -> str:
     """The same with a fixed number of sweeps, as many as the documents' cells need."""
     shares = ",\n".join(f"t{i} AS (SELECT {a}, sqrt(sum(weight)) AS t FROM cells GROUP BY {a}), u{i} AS (SELECT {a}, t / sum(t) OVER () AS t_{a} FROM t{i})" for i, a in enumerate(AXES))
+    step = "l{j} AS (SELECT any_value(aim) AS aim, coalesce((any_value(aim) - coalesce(sum(weight) FILTER (weight <= scale * fitted), 0)) / sum(fitted) FILTER (weight > scale * fitted), any_value(scale)) AS scale FROM f, l{i})"
+    scales = ",\n".join(step.format(i=i, j=i + 1) for i in range(15))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(source, '?') AS source, coalesce(lang, '?') AS lang,
   CASE WHEN text IS NULL THEN 'none' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'slogan'
@@ -136,8 +149,10 @@ cells AS (SELECT source, lang, topic, sum(n_words)::DOUBLE AS weight FROM d GROU
 {shares},
 c0 AS (SELECT *, weight AS fitted FROM cells JOIN u0 USING (source) JOIN u1 USING (lang) JOIN u2 USING (topic)),
 {",".join(_sweep(k) for k in range(sweeps))},
-r AS (SELECT source, lang, topic, fitted / weight AS ratio FROM s{sweeps}_2),
-p AS (SELECT source, lang, topic, least(1.0, ratio * (1.0 / (SELECT max(ratio) FROM r))) AS probability FROM r)
+f AS MATERIALIZED (SELECT source, lang, topic, weight, fitted FROM s{sweeps}_2),
+l0 AS (SELECT {BUDGET} * sum(weight) AS aim, {BUDGET} * sum(weight) / sum(fitted) AS scale FROM f),
+{scales},
+p AS (SELECT source, lang, topic, least(1.0, (SELECT scale FROM l15) * fitted / weight) AS probability FROM f)
 SELECT doc_id, source, lang, topic, n_words, round(coalesce(probability, 1.0), 6) AS probability,
   ('0x' || substr(md5(doc_id || ':0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < coalesce(probability, 1.0) AS kept
 FROM d LEFT JOIN p USING (source, lang, topic)
