@@ -1 +1,81 @@
-"""Queries."""
+"""Queries of model fitting: kernel maps have SQL; iterative ones are held against numpy in the tests."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ocellus.operators import cluster, gmm, learn, stats
+from ocellus.plans.fixtures import DESC, descriptors, read
+from ocellus.plans.registry import query
+
+_P = 0.6
+_K = [1.0, 1 / math.cosh(math.pi * _P)]
+
+
+@query(
+    f"""WITH {DESC}, x AS (SELECT vec_id, abs(d[1]) AS x FROM descr)
+SELECT vec_id, round(sqrt(x * {_P * _K[0]!r}), 6) AS a, round(sqrt(x * {2 * _P * _K[1]!r}) * cos({_P} * ln(x)), 6) + 0 AS b, round(sqrt(x * {2 * _P * _K[1]!r}) * sin({_P} * ln(x)), 6) + 0 AS c FROM x"""
+)
+def homkermap(spark, sf_dir):
+    m = descriptors(spark, sf_dir).select("vec_id", learn.kernel_map(F.abs(F.col("d")[0]), "chi2", 1, _P).alias("m"))
+    return m.select("vec_id", *[(F.round(F.col("m")[i], 6) + 0.0).alias(n) for i, n in enumerate("abc")])
+
+
+@query()
+def kmeans(spark, sf_dir):
+    d = descriptors(spark, sf_dir)
+    centers, _ = cluster.kmeans(d, 8, seed=1)
+    return gmm.nearest(d, cluster.centers_frame(spark, centers)).select("vec_id", "k", F.round("dist", 6).alias("dist"))
+
+
+@query()
+def gmm_em(spark, sf_dir):
+    d = descriptors(spark, sf_dir)
+    w, mu, sigma, _ = cluster.gmm_fit(d, 4, rounds=10, seed=1)
+    return gmm.posterior(d, cluster.gmm_frame(spark, w, mu, sigma)).select("vec_id", "k", F.round("p", 6).alias("p"))
+
+
+@query()
+def hkm_quantize(spark, sf_dir):
+    d = descriptors(spark, sf_dir)
+    tree = cluster.hkm_fit(d, 2, 4, seed=1)
+    return cluster.hkm_assign(d.select("vec_id", "d"), tree, 4)
+
+
+@query()
+def kmlsh_ann(spark, sf_dir):
+    d = descriptors(spark, sf_dir)
+    q = d.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("d").alias("q"))
+    return cluster.cell_neighbours(q, d.select(F.col("vec_id").alias("base_id"), F.col("d").alias("b")), 5, 3, 8)
+
+
+@query()
+def pca_eigs(spark, sf_dir):
+    _, values, vectors = cluster.pca(descriptors(spark, sf_dir))
+    return spark.createDataFrame([(k, float(v), [round(float(x), 6) for x in e]) for k, (v, e) in enumerate(zip(values, vectors))], "k int, value double, axis array<double>")
+
+
+@query()
+def svm_train(spark, sf_dir):
+    rows = descriptors(spark, sf_dir).withColumn("label", F.when(F.col("label") < 5, -1).otherwise(1))
+    w, b, objective = learn.linear_fit(rows, "hinge", 1e-2)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate([*w, b, objective])], "i int, value double")
+
+
+@query()
+def aib_merge(spark, sf_dir):
+    cells = stats.joint_histogram(read(spark, sf_dir, "part"), "p_brand", "p_type").toPandas()
+    table = cells.pivot_table(index="p_brand", columns="p_type", values="n", fill_value=0).to_numpy()
+    parents, costs = learn.aib(table)
+    return spark.createDataFrame([(k, int(p), float(costs[k]) if k < len(costs) else None) for k, p in enumerate(parents)], "node int, parent int, cost double")
+
+
+@query()
+def spectral_clusters(spark, sf_dir):
+    rows = descriptors(spark, sf_dir).filter("vec_id < 200").orderBy("vec_id").collect()
+    x = np.array([r["d"] for r in rows])
+    own = cluster.spectral(np.exp(-((x[:, None] - x) ** 2).sum(2) / 0.1), 4)
+    return spark.createDataFrame([(r["vec_id"], int(c)) for r, c in zip(rows, own)], "vec_id long, k int")
