@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from ocellus.llm.common import shuffle_partitions
 
-CHUNK_ROWS = 5000
+CHUNK_ROWS = 2500
 SENT = "bucket int, chunk int, keys binary, extra binary"
 
 
 def chunk_count(docs: DataFrame) -> int:
-    """Two chunks for each shuffle partition, and one for each 5000 rows at least."""
-    return max(2 * shuffle_partitions(docs.sparkSession), -(-docs.count() // CHUNK_ROWS))
+    """Three chunks for each shuffle partition, and one for each 2500 rows at least."""
+    return max(3 * shuffle_partitions(docs.sparkSession), -(-docs.count() // CHUNK_ROWS))
 
 
 def chunked(docs: DataFrame, chunks: int, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
