@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -10,6 +12,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of texts that go to Python at once; with documents of a few KB a batch is a few MB on either side.
+BATCH_ROWS = 2000
+
+# Give freed arrays of 8 MB and more, and a free heap top of 32 MB, back to the system: glibc's own limits
+# grow with the largest array freed, after which a worker keeps its peak for good.
+with contextlib.suppress(OSError, AttributeError):
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 8 << 20)
+    _libc.mallopt(-1, 32 << 20)
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, if they are larger."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
@@ -69,7 +88,7 @@ def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndar
     return buf, offs - offs[0]
 
 
-def blocks(offsets: np.ndarray, size: int = 1 << 21):
+def blocks(offsets: np.ndarray, size: int = 1 << 19):
     """Row ranges (a, b) whose texts have about ``size`` bytes; a longer row is a range of its own."""
     n, a = len(offsets) - 1, 0
     while a < n:
@@ -79,7 +98,7 @@ def blocks(offsets: np.ndarray, size: int = 1 << 21):
         a = b
 
 
-def small(batches, rows: int = 2000):
+def small(batches, rows: int = BATCH_ROWS):
     """Arrow batches cut to at most ``rows`` rows, which bounds what Python holds at once."""
     for b in batches:
         for at in range(0, b.num_rows, rows):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import read_table, shuffle_partitions, small, stored
+from ocellus.llm.common import read_table, shuffle_partitions, small, small_batches, stored
 from ocellus.llm.tokens import arrow_bytes, default_path, tokenizer
 
 MAGIC = b"EFIDS1\0\0"
@@ -119,6 +119,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int, borders: np.ndarray | Non
 
     shard: the range among the sorted ``borders`` in which the document's id lies; null ids are in the first.
     """
+    small_batches(docs)
     borders = np.zeros(0, np.int64) if borders is None else borders
 
     def run(batches):

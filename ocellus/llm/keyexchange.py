@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import shuffle_partitions
+from ocellus.llm.common import shuffle_partitions, small_batches
 
 CHUNK_ROWS = 2500
 SENT = "bucket int, chunk int, keys binary, extra binary"
@@ -30,6 +30,7 @@ def chunk_count(docs: DataFrame) -> int:
 
 def chunked(docs: DataFrame, chunks: int, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(chunk, text, row): row has the columns ``keep`` (default: all but the text)."""
+    small_batches(docs)
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     text = F.col(text_col).cast("string")
     return docs.select(F.pmod(F.xxhash64(*[F.col(c) for c in keep], text), F.lit(chunks)).cast("int").alias("chunk"), text.alias("text"), F.struct(*keep).alias("row"))

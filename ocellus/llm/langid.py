@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import blocks, id_crc, read_table
+from ocellus.llm.common import blocks, id_crc, read_table, small_batches
 from ocellus.llm.hashing import NOT_SPACE, SPACE, word_bounds, word_hashes
 
 GRAMS, WORDS = 1 << 16, 1 << 16
@@ -69,6 +69,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_
     at most languages x 131072 features, however large the table. No labelled row: no languages.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    small_batches(docs)
     n = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).count()
     if n > fit_rows:
         rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(n)) < fit_rows)
@@ -113,7 +114,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_
 def word_scores(model: LanguageModel, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(scores of every word by language, words before each text, which words have a letter)."""
     parts, counts, lettered, done = [], [np.zeros(1, np.int64)], [], 0
-    for i, j in blocks(offsets, max(1 << 16, (1 << 23) // max(4, len(model.langs)))):
+    for i, j in blocks(offsets, max(1 << 16, (1 << 21) // max(4, len(model.langs)))):
         starts, _, before, gram, word, script = _features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         counts.append(before[1:] + done)
         done += len(starts)
@@ -178,6 +179,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     ``und`` with score 0: a null text, one without a letter, or no learned language. spans: runs of
     words of one language, as (first word, word behind the last, language).
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, lang_pred string, score double" + (", spans array<struct<start:int,stop:int,lang:string>>" if with_spans else "")
 
@@ -187,7 +189,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             texts, at = b.column(1), 0
             sizes = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in texts.cast(pa.large_binary())])
             while at < b.num_rows:
-                z = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 24), side="right")))
+                z = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 23), side="right")))
                 yield _predict(m, b.column(0)[at:z], texts[at:z], with_spans)
                 at = z
 
@@ -202,6 +204,8 @@ def _predict(m: LanguageModel, ids: pa.Array, texts: pa.Array, with_spans: bool)
     doc = np.repeat(np.arange(len(ids)), np.diff(before))
     votes = np.bincount(doc[lettered] * max(1, len(m.langs)) + labels[lettered], minlength=len(ids) * max(1, len(m.langs))).reshape(len(ids), -1)
     for k in range(len(ids)):
+        if m.langs and not votes[k].any() and any(c.isalpha() for c in texts[k].as_py() or ""):
+            votes[k] = np.bincount(labels[before[k] : before[k + 1]], minlength=len(m.langs))  # letters of scripts beyond the table
         total = int(votes[k].sum())
         if not total or not m.langs or not any(c.isalpha() for c in texts[k].as_py()):
             names.append("und")

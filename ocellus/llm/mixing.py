@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ocellus.llm.common import ensure_checkpoint_dir, read_table
 
 AXES = ["source", "lang", "topic"]
-TEMPERATURE, BUDGET, SWEEPS, TOLERANCE, MOST_ROUNDS = 0.5, 0.75, 5, 1e-6, 20
+TEMPERATURE, BUDGET, SWEEPS, TOLERANCE, MOST_ROUNDS, MIX_ROUNDS = 0.5, 0.75, 5, 1e-6, 20, 6
 BROADCAST_CELLS = 50_000
 
 
@@ -44,7 +44,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     ``cells``: the axes and ``weight`` > 0. ``targets``: for each axis a table (axis, target); values that
     it lacks have target 0, and targets are scaled to the values that have cells. One sweep scales each
     cell by target / marginal along each axis in turn; sweeps end when no marginal is off by more than
-    ``tolerance`` (targets that contradict each other, as cells are missing, stop at ``rounds``).
+    ``tolerance`` (targets that contradict each other, as cells are missing, stop at ``rounds``). With
+    tolerance 0 all ``rounds`` of five sweeps are made.
     Every five sweeps the cells are checkpointed, which cuts the lineage and survives lost executors.
     """
     ensure_checkpoint_dir(cells.sparkSession)
@@ -62,6 +63,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
                 marginal = F.sum("fitted").over(Window.partitionBy(a))
                 fitted = fitted.withColumn("fitted", F.when(marginal > 0, F.col("fitted") * F.col(f"_{a}") / marginal).otherwise(0.0))
         fitted = fitted.checkpoint()
+        if not tolerance:
+            continue
         off = 0.0
         for a in axes[:-1]:
             off = max(off, fitted.groupBy(a).agg(F.abs(F.sum("fitted") - F.first(f"_{a}")).alias("off")).agg(F.max("off")).head()[0] or 0.0)
@@ -98,13 +101,14 @@ def chance(id_col: str = "id", seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = TEMPERATURE, budget: float = BUDGET, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = TEMPERATURE, budget: float = BUDGET, seed: int = 0, rounds: int = MIX_ROUNDS) -> DataFrame:
     """All documents with their cell, probability and decision: row, id, source, lang, topic, weight, probability, kept.
 
     Words are summed by (source, lang, topic), map-side first, so that a hot source is one partial sum
     for each task; raking runs over cells only. The cells go to the documents by broadcast if there
     are at most BROADCAST_CELLS, else by a join on source, lang, topic and a salt over 64 copies of the
     cells. Sampling is a comparison in each row: rows that repeat an id are kept or dropped together.
+    Thirty sweeps are made whatever the cells, so that the same can be stated in SQL.
     Documents without words have weight 0: their cell's probability decides, or 1 if the cell has no words.
     """
     rows = labelled(docs)
@@ -112,7 +116,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperatur
     ensure_checkpoint_dir(docs.sparkSession)
     cells = cells.checkpoint()
     targets = targets or {a: tempered(cells, a, temperature) for a in AXES}
-    p = keep_probabilities(rake(cells, targets).checkpoint(), AXES, budget).checkpoint()
+    p = keep_probabilities(rake(cells, targets, 0.0, rounds).checkpoint(), AXES, budget).checkpoint()
     if p.count() <= BROADCAST_CELLS:
         found = rows.join(F.broadcast(p), AXES, "left")
     else:
@@ -135,8 +139,8 @@ def _sweep(k: int) -> str:
     return ",\n".join(out)
 
 
-def sql(sweeps: int = 25) -> str:
-    """The same with a fixed number of sweeps, as many as the documents' cells need."""
+def sql(sweeps: int = MIX_ROUNDS * SWEEPS) -> str:
+    """The same in SQL."""
     shares = ",\n".join(f"t{i} AS (SELECT {a}, sqrt(sum(weight)) AS t FROM cells GROUP BY {a}), u{i} AS (SELECT {a}, t / sum(t) OVER () AS t_{a} FROM t{i})" for i, a in enumerate(AXES))
     step = "l{j} AS (SELECT any_value(aim) AS aim, coalesce((any_value(aim) - coalesce(sum(weight) FILTER (weight <= scale * fitted), 0)) / sum(fitted) FILTER (weight > scale * fitted), any_value(scale)) AS scale FROM f, l{i})"
     scales = ",\n".join(step.format(i=i, j=i + 1) for i in range(15))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import blocks, read_table, shuffle_partitions, small, stored, text_buffer
+from ocellus.llm.common import blocks, read_table, shuffle_partitions, small, small_batches, stored, text_buffer
 from ocellus.llm.components import connected
 from ocellus.llm.hashing import mix, window_hashes, window_starts, word_bounds, word_hashes
 
@@ -74,6 +74,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             n, x, y, sig = (np.concatenate(p) for p in zip(*parts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array([s.astype(">u2").tobytes() for s in sig], pa.binary())], ["doc_id", "n", "set_a", "set_b", "sig"])
 
+    small_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, sig binary")
 
 

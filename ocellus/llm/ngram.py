@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import blocks, id_crc, read_table, stored, text_buffer
+from ocellus.llm.common import blocks, id_crc, read_table, small_batches, stored, text_buffer
 from ocellus.llm.hashing import mix, word_bounds, word_hashes
 from ocellus.llm.keyexchange import SENT, answers, chunk_count, merged, planes, ranges, send, unplanes
 
@@ -97,6 +97,7 @@ def score(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str =
     log10(1 / (V + 1)) a token, with V = 0.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), role.cast("int").alias("role"))
+    small_batches(docs)
     chunks = chunk_count(docs)
     held_chunks = max(1, chunks // 7)
     h = F.xxhash64("doc_id", "text")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import read_table
+from ocellus.llm.common import read_table, small_batches
 
 UNIT, PACKET, RATE, STREAMS = 192, 3840, 8000, 2
 _HEADER = struct.Struct("<4sBBqIIIB")
@@ -196,6 +196,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = [(t.as_py() or b"") if t.is_valid else b"" for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in rows], pa.int64()), pa.array([encode(to_payload(t)) for t in rows], pa.binary())], ["doc_id", "n_bytes", "media"])
 
+    small_batches(docs)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 

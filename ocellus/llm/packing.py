@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import read_table, shuffle_partitions, small, stored
+from ocellus.llm.common import read_table, shuffle_partitions, small, small_batches, stored
 from ocellus.llm.tokens import arrow_bytes, default_path, tokenizer
 
 CAPACITY = 2048
@@ -135,6 +135,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 

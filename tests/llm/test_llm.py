@@ -158,7 +158,7 @@ def exact(rows, k):
 def test_op3_small_tables(spark):
     rng = np.random.default_rng(0)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((120, 6)))]
-    rows += [(200, None), (201, [0.0] * 6), (202, [1.0, None, 0, 0, 0, 0]), (203, [float("nan")] + [1.0] * 5), (204, [float("inf")] + [1.0] * 5), (250, rows[0][1]), (251, rows[0][1]), (None, rows[3][1])]
+    rows += [(200, None), (201, [0.0] * 6), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [float("nan")] + [1.0] * 5), (204, [float("inf")] + [1.0] * 5), (250, rows[0][1]), (251, rows[0][1]), (None, rows[3][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("id", F.lit("x"))
     got = hilbert.search(df, F.col("id") % 50 == 0, 5).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(x[:3] for x in exact(rows, 5))
