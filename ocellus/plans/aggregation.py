@@ -167,7 +167,7 @@ _FRAMES = """fr AS (SELECT user_id AS clip, date_diff('day', DATE '1970-01-01',
 types AS (SELECT DISTINCT event_type FROM events), keys AS (SELECT DISTINCT clip, frame FROM fr),
 hist AS (SELECT k.clip, k.frame, t.event_type, coalesce(c, 0) / sum(coalesce(c, 0)) OVER (PARTITION BY k.clip, k.frame) AS h FROM keys k CROSS JOIN types t LEFT JOIN fr USING (clip, frame, event_type)),
 prev AS (SELECT clip, frame, lag(frame) OVER (PARTITION BY clip ORDER BY frame) AS pf FROM keys),
-sim AS (SELECT p.clip, p.frame, round(sum(least(a.h, b.h)), 9) AS similarity FROM prev p LEFT JOIN hist a ON a.clip = p.clip AND a.frame = p.frame LEFT JOIN hist b ON b.clip = p.clip AND b.frame = p.pf AND b.event_type = a.event_type GROUP BY p.clip, p.frame),
+sim AS (SELECT p.clip, p.frame, round(sum(CASE WHEN b.h IS NOT NULL THEN least(a.h, b.h) END), 9) AS similarity FROM prev p LEFT JOIN hist a ON a.clip = p.clip AND a.frame = p.frame LEFT JOIN hist b ON b.clip = p.clip AND b.frame = p.pf AND b.event_type = a.event_type GROUP BY p.clip, p.frame),
 starts AS (SELECT clip, frame::BIGINT AS first, similarity FROM sim WHERE similarity IS NULL OR similarity < 0.4),
 ends AS (SELECT clip, max(frame)::BIGINT + 1 AS total FROM keys GROUP BY clip),
 shots AS (SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY first) - 1 AS shot, first, coalesce(lead(first) OVER (PARTITION BY clip ORDER BY first), total) - first AS n FROM starts JOIN ends USING (clip))"""
@@ -224,7 +224,7 @@ def shot_aggregate(spark, sf_dir):
     return own.join(fr, ["clip", "frame"]).join(sh, ["clip", "first"]).groupBy("clip", "shot").agg(F.count(F.lit(1)).alias("frames"), _r(F.avg(F.col("hist")[0]), "share"))
 
 
-@query(f"WITH {_FRAMES}, r AS (SELECT clip, frame, row_number() OVER (PARTITION BY clip ORDER BY frame DESC) AS rank FROM keys) SELECT r.clip, r.rank::INTEGER AS rank, 'clips/' || r.clip || '/' || lpad(max(s.first)::VARCHAR, 6, '0') || '.jpg' AS path FROM r JOIN starts s ON s.clip = r.clip AND s.first <= r.frame WHERE r.rank <= 2 GROUP BY ALL")
+@query(f"WITH {_FRAMES}, r AS (SELECT clip, frame, row_number() OVER (PARTITION BY clip ORDER BY frame DESC) AS rank FROM keys), f AS (SELECT r.clip, r.rank, max(s.first) AS first FROM r JOIN starts s ON s.clip = r.clip AND s.first <= r.frame WHERE r.rank <= 2 GROUP BY r.clip, r.rank) SELECT clip, rank::INTEGER AS rank, 'clips/' || clip || '/' || lpad(first::VARCHAR, 6, '0') || '.jpg' AS path FROM f")
 def lookup_shot_path(spark, sf_dir):
     from pyspark.sql import Window
 

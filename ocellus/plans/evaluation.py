@@ -54,7 +54,7 @@ c AS (SELECT query_id, clip, sum(i) / count(*) AS j, bool_or(t) AS t FROM b GROU
 
 @query(f"WITH {_SEG} SELECT query_id, round(sum(j) / count(*), 6) AS jaccard FROM c WHERE t GROUP BY ALL")
 def temporal_jaccard(spark, sf_dir):
-    g = read(spark, sf_dir, "events").filter("event_id % 3 = 0").select((F.col("user_id") % 20).alias("query_id"), F.col("user_id").alias("clip"), F.pmod(F.unix_seconds("ts"), F.lit(3600)).alias("s"), "event_id")
+    g = read(spark, sf_dir, "events").filter("event_id % 3 = 0").select((F.col("user_id") % 20).alias("query_id"), F.col("user_id").alias("clip"), F.pmod(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(3600)).alias("s"), "event_id")
     found = g.select("query_id", "clip", F.col("s").alias("start"), (F.col("s") + F.col("event_id") % 10).alias("stop"))
     truth = g.filter("event_id % 2 = 0").select("query_id", "clip", (F.col("s") + F.col("event_id") % 4 - 1).alias("start"), (F.col("s") + F.col("event_id") % 4 + 5).alias("stop"))
     return evaluate.temporal_jaccard(found, truth, 1).select("query_id", F.round("jaccard", R).alias("jaccard"))
@@ -124,7 +124,7 @@ def time_parse(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", vec.seconds(t).alias("seconds"))
 
 
-@query("WITH r AS (SELECT user_id AS query_id, event_type AS clip, min(event_id) AS at FROM events GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at) AS rank FROM r) SELECT query_id, clip, rank::INTEGER AS rank FROM o WHERE rank <= 3")
+@query("WITH r AS (SELECT user_id AS query_id, event_type AS clip, min(event_id) AS seen FROM events GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seen) AS rank FROM r) SELECT query_id, clip, rank::INTEGER AS rank FROM o WHERE rank <= 3")
 def results_to_clips(spark, sf_dir):
     ranked = read(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("clip"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("rank"))
     return scoring.first_per_clip(ranked, 3).select("query_id", "clip", "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["retrieval", "aggregation", "evaluation", "statistics", "training"]
+MODULES = ["retrieval", "aggregation", "evaluation", "statistics", "elementwise", "training"]
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 

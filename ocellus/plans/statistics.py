@@ -117,7 +117,7 @@ _GRID = "g AS (SELECT n_regionkey AS r, n_nationkey % 5 AS c, count(*) AS v FROM
 
 def _grid(spark, sf_dir):
     cells = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("r"), (F.col("n_nationkey") % 5).cast("long").alias("c")).agg(F.count(F.lit(1)).alias("v"))
-    full = spark.range(5).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long").alias("c"))
+    full = spark.range(5).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("c"))
     return stats.integral(full.join(cells, ["r", "c"], "left").fillna(0, ["v"]), "r", "c", "v")
 
 

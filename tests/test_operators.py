@@ -233,3 +233,64 @@ def test_index_concat_save_load(spark, tmp_path):
 def test_min_max_ranks(spark):
     df = frame(spark, [(5,), (3,), (5,), (1,)], "v int")
     assert sorted((r.v, r.min_rank, r.max_rank) for r in stats.min_max_ranks(df, "v").collect()) == [(1, 3, 4), (3, 2, 3), (5, 0, 2), (5, 0, 2)]
+
+
+def test_arrays(spark):
+    from ocellus.functions import arrays
+
+    df = frame(spark, [([3.0, -1.0, float("nan"), 2.0], [2, 0, 1], 5)], "v array<double>, p array<int>, k int")
+    r = df.select(arrays.purged(F.col("v")).alias("a"), arrays.replaced(F.col("v"), 0.0).alias("b"), arrays.inverse_permutation(F.col("p")).alias("c"), arrays.sort_order(arrays.purged(F.col("v")), True).alias("d"), arrays.first_index(F.col("p"), F.col("k")).alias("e"), arrays.mapped(F.col("v"), F.col("p")).alias("f")).head()
+    assert (r.a, r.b, r.c, r.d, r.e, r.f[1:]) == ([3.0, -1.0, 2.0], [3.0, -1.0, 0.0, 2.0], [1, 2, 0], [0, 2, 1], -1, [3.0, -1.0])
+
+
+def test_sampling_is_stable_and_sized(spark):
+    from ocellus.operators import sampling
+
+    rows = spark.range(1000)
+    a = {r.id for r in sampling.subset(rows.repartition(7), "id", 50, 1).collect()}
+    assert len(a) == 50 and a == {r.id for r in sampling.subset(rows.coalesce(1), "id", 50, 1).collect()} != {r.id for r in sampling.subset(rows, "id", 50, 2).collect()}
+    assert 60 < sampling.share(rows, "id", 0.1, 1).count() < 140
+    assert sampling.per_group(rows.withColumn("g", F.col("id") % 3), "g", "id", 4).count() == 12
+    assert sorted(r.id for r in sampling.shuffled(rows, "id").collect()) == list(range(1000))
+
+
+def test_tree_histogram(spark):
+    from ocellus.operators import trees
+
+    above = trees.ancestors(spark, trees.parents_frame(spark, np.array([4, 3, 3, 4, 0])))
+    got = {r.node: r.n for r in trees.histogram(frame(spark, [(0,), (0,), (1,), (2,)], "node int"), above).collect()}
+    assert got == {0: 2, 1: 1, 2: 1, 3: 2, 4: 4}
+
+
+def test_images(spark):
+    import colorsys
+
+    from ocellus.operators import images
+
+    rng = np.random.default_rng(0)
+    rgb = rng.integers(0, 256, (50, 3))
+    assert images.hsv(rgb) == pytest.approx(np.array([colorsys.rgb_to_hsv(*(p / 255)) for p in rgb]))
+    frames = frame(spark, [(1, 0, bytearray(rgb.astype(np.uint8).tobytes()))], "clip long, frame long, rgb binary")
+    assert images.frame_histograms(frames, 4).head().hist == pytest.approx(images.hsv_histogram(rgb, 4).tolist())
+    flat = np.full((9, 9), 5.0)
+    assert images.smooth(flat, 1.0) == pytest.approx(flat) and images.gradient(flat)[0].max() == 0 and (images.lbp(flat) == 0).all()
+    cost = np.full((5, 5), 1e6)
+    cost[2, 2] = 0
+    assert images.distance_transform(cost)[0, 4] == 8
+    ramp = np.tile(np.arange(16.0), (16, 1))
+    assert images.hog(ramp).argmax(2).max() == 0
+
+
+def test_cli(spark, tmp_path, capsys):
+    from ocellus import cli
+
+    (tmp_path / "gt").write_text("0 a.mp4 0:10 0:20\n")
+    (tmp_path / "res").write_text("Query 0\nb_1.jpg\na_5.jpg\n")
+    cli.main(["evaluate-results", "--results", str(tmp_path / "res"), "--ground-truth", str(tmp_path / "gt"), "--keyframes"])
+    assert capsys.readouterr().out == "mAP 0.500000\nmP@1 0.000000\n"
+    rng = np.random.default_rng(0)
+    rows = [(i, v.tolist(), np.abs(v.reshape(2, 4)).sum(1).tolist()) for i, v in enumerate(rng.standard_normal((9, 8)))]
+    frame(spark, rows, "item_id int, d_fv array<double>, d_strengths array<double>").write.parquet(str(tmp_path / "d"))
+    frame(spark, rows[:2], "query_id int, q_fv array<double>, q_strengths array<double>").write.parquet(str(tmp_path / "q"))
+    cli.main(["retrieve", "--queries", str(tmp_path / "q"), "--database", str(tmp_path / "d"), "--output", str(tmp_path / "o"), "--mode", "off", "--word-dim", "4", "--words", "2", "--output-results", "1"])
+    assert sorted((r.query_id, r.item_id) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(0, 0), (1, 1)]

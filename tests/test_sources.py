@@ -78,7 +78,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
     rng = np.random.default_rng(0)
     h = rng.dirichlet([0.3] * 3, 40)
-    rows = pd.DataFrame({"clip": [i % 2 for i in range(40)], "frame": [i // 2 for i in range(40)], "hist": h.tolist(), "ts": pd.to_datetime([i // 2 for i in range(40)], unit="s")})
+    rows = pd.DataFrame({"clip": [i % 2 for i in range(40)], "frame": [i // 2 for i in range(40)], "hist": h.tolist(), "ts": pd.to_datetime([1_700_000_000 + i // 2 for i in range(40)], unit="s")})
     df = spark.createDataFrame(rows, "clip long, frame long, hist array<double>, ts timestamp")
     for k in range(2):
         df.filter(f"frame >= {10 * k} AND frame < {10 * k + 10}").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
