@@ -65,6 +65,20 @@ def local_maxima(rows: DataFrame, value: str, order: str, by: str | None = None)
     return rows.withColumns({"_a": F.lag(value).over(w), "_z": F.lead(value).over(w)}).filter((F.col(value) > F.col("_a")) & (F.col(value) > F.col("_z"))).drop("_a", "_z")
 
 
+def local_maxima_grid(cells: DataFrame, row: str, col: str, value: str, by: str | None = None) -> DataFrame:
+    """Cells above all eight neighbours; cells at the border of the grid have fewer and don't count.
+
+    Neighbours come from two windows, columns then rows, so each cell is shuffled twice and never multiplied.
+    """
+    keys = [by] if by else []
+    v = F.col(value)
+    across = Window.partitionBy(*keys, row).orderBy(col)
+    wide = cells.withColumns({"_a": F.lag(v).over(across), "_z": F.lead(v).over(across)}).withColumn("_m", F.when(F.col("_a").isNotNull() & F.col("_z").isNotNull(), F.greatest("_a", "_z", v)))
+    down = Window.partitionBy(*keys, col).orderBy(row)
+    tall = wide.withColumns({"_u": F.lag("_m").over(down), "_d": F.lead("_m").over(down)})
+    return tall.filter((v > F.col("_a")) & (v > F.col("_z")) & (v > F.col("_u")) & (v > F.col("_d"))).select(*cells.columns)
+
+
 def min_max_ranks(rows: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """rows with min_rank, max_rank from 0 by descending value: values above it, and values at least as large."""
     keys = [by] if by else []

@@ -45,7 +45,7 @@ def p_at_1(spark, sf_dir):
 
 
 # Segments: an event is found for 0-9 seconds from its second of the day; the truth is shifted.
-_SEG = """g AS (SELECT user_id % 20 AS query_id, user_id AS clip, (epoch(ts)::BIGINT % 3600) AS s, event_id FROM events WHERE event_id % 3 = 0),
+_SEG = """g AS (SELECT user_id % 20 AS query_id, user_id AS clip, (floor(epoch(ts))::BIGINT % 3600) AS s, event_id FROM events WHERE event_id % 3 = 0),
 f AS (SELECT query_id, clip, s AS start, s + event_id % 10 AS stop FROM g), tr AS (SELECT query_id, clip, greatest(s + event_id % 4 - 1 - 1, 0) AS start, s + event_id % 4 + 5 + 1 AS stop FROM g WHERE event_id % 2 = 0),
 fs AS (SELECT DISTINCT query_id, clip, unnest(range(start, stop + 1)) AS s FROM f), ts AS (SELECT DISTINCT query_id, clip, unnest(range(start, stop + 1)) AS s FROM tr),
 b AS (SELECT coalesce(fs.query_id, ts.query_id) AS query_id, coalesce(fs.clip, ts.clip) AS clip, (fs.s IS NOT NULL AND ts.s IS NOT NULL)::INTEGER AS i, ts.s IS NOT NULL AS t FROM fs FULL JOIN ts ON fs.query_id = ts.query_id AND fs.clip = ts.clip AND fs.s = ts.s),
@@ -104,6 +104,17 @@ def roc_summary(spark, sf_dir):
     return out.select(F.round("auc", R).alias("auc"), F.round("eer", R).alias("eer"))
 
 
+@query(f"WITH {_SCORED} SELECT id, round(CASE WHEN tp + fp > 0 THEN tp / np * 0.1 / (tp / np * 0.1 + fp / nn * 0.9) ELSE 0 END, 6) AS precision FROM pr")
+def pr_prior(spark, sf_dir):
+    return evaluate.reweighted(evaluate.pr_curve(_scored(spark, sf_dir)), 0.1).select("id", F.round("precision", R).alias("precision"))
+
+
+@query(f"WITH {_SCORED} SELECT id, round(1 - tpr, 6) AS miss, round(fpr, 6) AS alarm, 1 - tpr > 0.5 AS miss_above, fpr > 0.5 AS alarm_above FROM pr WHERE abs(fpr - 0.5) > 1e-9 AND abs(tpr - 0.5) > 1e-9")
+def det_curve(spark, sf_dir):
+    d = evaluate.det_curve(_scored(spark, sf_dir)).filter("abs(fpr - 0.5) > 1e-9 AND abs(tpr - 0.5) > 1e-9")
+    return d.select("id", F.round("fnr", R).alias("miss"), F.round("fpr", R).alias("alarm"), (F.col("miss_deviate") > 0).alias("miss_above"), (F.col("alarm_deviate") > 0).alias("alarm_above"))
+
+
 @query("SELECT page_id, regexp_replace(url, '\\.[^./]*$', '') || '.siftb' AS swapped, regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages")
 def path_parts(spark, sf_dir):
     u = F.col("url")

@@ -194,3 +194,27 @@ def find_labels(spark, sf_dir):
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice, min(o_totalprice) OVER (PARTITION BY o_custkey) AS m FROM orders) WHERE o_totalprice < m * 1.5")
 def ratio_compress(spark, sf_dir):
     return stats.below_ratio(read(spark, sf_dir, "orders"), "o_totalprice", "o_custkey", 1.5).select("o_orderkey")
+
+
+_PIX = "px AS (SELECT s.r, t.c, ((s.r * 7 + t.c * 13) * 31 % 97)::BIGINT AS v FROM (SELECT unnest(range(0, 30)) AS r) s CROSS JOIN (SELECT unnest(range(0, 30)) AS c) t)"
+
+
+@query(f"WITH {_PIX} SELECT a.r, a.c, a.v FROM px a JOIN px b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY ALL HAVING count(*) = 8 AND max(b.v) < a.v")
+def local_maxima_grid(spark, sf_dir):
+    cells = spark.range(900).select(F.expr("id div 30").alias("r"), (F.col("id") % 30).alias("c")).withColumn("v", (F.col("r") * 7 + F.col("c") * 13) * 31 % 97)
+    return stats.local_maxima_grid(cells, "r", "c", "v")
+
+
+@query(f"WITH {EMB}, x AS (SELECT vec_id AS i, unnest(range(0, 8)) AS j, unnest(e[1:8]) AS v FROM emb), s AS (SELECT i - 10 AS i, j - 2 AS j, v FROM x WHERE i >= 10 AND i < 40 AND j >= 2 AND j < 6), b AS (SELECT i, j, v FROM s UNION ALL SELECT i + 30, j, v FROM s), m AS (SELECT j, avg(v) AS m FROM b GROUP BY j) SELECT i, j, round(v - m, 6) + 0 AS v FROM b JOIN m USING (j)")
+def submatrix_stack(spark, sf_dir):
+    from ocellus.operators import linear
+
+    x = embeddings(spark, sf_dir).select(F.col("vec_id").alias("i"), F.posexplode(F.slice("e", 1, 8)).alias("j", "v")).withColumn("j", F.col("j").cast("long"))
+    s = linear.submatrix(x, (10, 40), (2, 6))
+    return linear.centered(linear.stacked(s, s, 30)).select("i", "j", (F.round("v", R) + 0.0).alias("v"))
+
+
+@query("SELECT p_size % 4 AS g, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_size % 4 ORDER BY p_retailprice DESC, p_partkey) <= 1")
+def argmax_per_group(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select((F.col("p_size") % 4).alias("g"), "p_partkey", "p_retailprice")
+    return stats.k_least(p, "p_retailprice", "p_partkey", 1, "g", largest=True).select("g", "p_partkey")

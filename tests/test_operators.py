@@ -294,3 +294,57 @@ def test_cli(spark, tmp_path, capsys):
     frame(spark, rows[:2], "query_id int, q_fv array<double>, q_strengths array<double>").write.parquet(str(tmp_path / "q"))
     cli.main(["retrieve", "--queries", str(tmp_path / "q"), "--database", str(tmp_path / "d"), "--output", str(tmp_path / "o"), "--mode", "off", "--word-dim", "4", "--words", "2", "--output-results", "1"])
     assert sorted((r.query_id, r.item_id) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(0, 0), (1, 1)]
+
+
+def test_linear(spark):
+    from ocellus.operators import linear
+
+    rng = np.random.default_rng(0)
+    for v in (np.array([0.3, -1.0, 0.4]), np.array([0, 0, math.pi]), np.zeros(3)):
+        r = linear.rotation(v)
+        assert r @ r.T == pytest.approx(np.eye(3)) and linear.rotation(linear.rotation_vector(r)) == pytest.approx(r, abs=1e-6)
+    assert linear.hat(np.array([1, 2, 3])) @ [4, 5, 6] == pytest.approx(np.cross([1, 2, 3], [4, 5, 6]))
+    h = linear.hadamard(8)
+    assert h @ h.T == pytest.approx(8 * np.eye(8)) and linear.orthogonal(5) @ linear.orthogonal(5).T == pytest.approx(np.eye(5))
+    a, b = rng.standard_normal((4, 4)), rng.standard_normal((4, 4))
+    a, b = a + a.T, b @ b.T + np.eye(4)
+    values, vectors = linear.eigen(a, b)
+    assert a @ vectors == pytest.approx(b @ vectors * values) and linear.solve(np.zeros((2, 2)), np.ones(2)) is None
+    x = rng.standard_normal((30, 3))
+    d = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "i int, d array<double>")
+    s, v = linear.partial_svd(d, "d", 2)
+    assert s == pytest.approx(np.linalg.svd(x)[1][:2])
+    m = rng.standard_normal((3, 2))
+    assert np.array([r["product"] for r in linear.multiplied(d, "d", m).orderBy("i").collect()]) == pytest.approx(x @ m)
+
+
+def test_det_deviates(spark):
+    from statistics import NormalDist
+
+    s = scored(spark, [1, -1] * 20, range(40))
+    for r in evaluate.det_curve(s).collect():
+        if 1e-3 < r.fnr < 1 - 1e-3:
+            assert r.miss_deviate == pytest.approx(NormalDist().inv_cdf(r.fnr), abs=0.01)
+
+
+def test_features(spark):
+    from ocellus.operators import features
+
+    rng = np.random.default_rng(0)
+    img = rng.integers(0, 256, (40, 48)).astype(np.uint8)
+    rows = frame(spark, [("a", 48, 40, bytearray(img.tobytes())), ("b", 8, 8, bytearray(64))], "path string, width int, height int, pixels binary")
+    got = features.per_image(rows, features.dense_descriptors).collect()
+    assert len(got) == 7 * 9 and {r.path for r in got} == {"a"} and all(len(r.desc) == 128 and sum(x * x for x in r.desc) == pytest.approx(1) for r in got)
+    two = np.zeros((20, 20))
+    two[:, 10:] = 100
+    labels = features.superpixels(two, 10, 1.0)
+    assert not set(labels[:, :9].ravel()) & set(labels[:, 11:].ravel())
+    x = np.concatenate([rng.normal(c, 0.1, (15, 2)) for c in (0, 5)])
+    parents, _ = features.mode_seeking(x, 0.3, 2.0)
+    roots = np.arange(30)
+    for _ in range(30):
+        roots = parents[roots]
+    assert len(set(roots[:15])) == len(set(roots[15:])) == 1 and roots[0] != roots[20]
+    box = np.zeros((21, 21))
+    box[10:, 10:] = 1
+    assert np.abs(np.array(np.unravel_index(features.corners(box).argmax(), box.shape)) - 10).max() <= 2
