@@ -24,8 +24,13 @@ SENT = "bucket int, chunk int, keys binary, extra binary"
 
 
 def chunk_count(docs: DataFrame) -> int:
-    """Three chunks for each shuffle partition, and one for each 2500 rows at least."""
-    return max(3 * shuffle_partitions(docs.sparkSession), -(-docs.count() // CHUNK_ROWS))
+    """Two chunks for each shuffle partition, and one for each 2500 rows at least."""
+    return max(2 * shuffle_partitions(docs.sparkSession), -(-docs.count() // CHUNK_ROWS))
+
+
+def bucket_count(docs: DataFrame, chunks: int) -> int:
+    """Two buckets for each shuffle partition, and one for eight chunks at least: a chunk sends a value to each."""
+    return max(2 * shuffle_partitions(docs.sparkSession), -(-chunks // 8))
 
 
 def chunked(docs: DataFrame, chunks: int, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

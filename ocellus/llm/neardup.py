@@ -83,8 +83,9 @@ def regions(order: DataFrame, least_depth: int = LEAST_DEPTH, region: int = REGI
 
     A region is a maximal run of rows of one tree whose neighbours share a key prefix of
     ``least_depth`` hash values; in a run of more than ``region`` rows the depth grows, value by value,
-    until the parts are small or the whole key is shared. Each row links to its run's first row. The
-    rows on both sides of a partition's border are compared too: two rows for each partition.
+    until the parts are small or the whole key is shared; a run of one key is cut every ``region`` rows.
+    Each row links to the first row of its run or part, and a run's first row to those of its parts, so
+    it is compared with all of them. The rows on both sides of a partition's border are compared too: two rows for each partition.
     """
 
     def run(batches):
@@ -99,12 +100,15 @@ def regions(order: DataFrame, least_depth: int = LEAST_DEPTH, region: int = REGI
         lcp = np.zeros(len(ids), np.int64)
         same = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(1)
         lcp[1:] = np.where(tree[1:] == tree[:-1], same, 0)
-        head = _heads(lcp, least_depth, region)
-        link = np.flatnonzero(head != np.arange(len(ids)))
+        run_head = _heads(lcp, least_depth, region)
+        head = run_head + (np.arange(len(ids)) - run_head) // region * region
+        cut = np.flatnonzero((head == np.arange(len(ids))) & (head != run_head))
+        link = np.concatenate([np.flatnonzero(head != np.arange(len(ids))), run_head[cut]])
+        to = np.concatenate([head[link[: len(link) - len(cut)]], cut])
         part = TaskContext.get().partitionId()
         edge = [0, len(ids) - 1]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([ids[link], ids[edge]])), pa.array(np.concatenate([ids[head[link]], ids[edge]])), pa.array([None] * len(link) + [2 * part, 2 * part + 1], pa.int32()), pa.array([None] * len(link) + [int(tree[k]).to_bytes(2, "big") + keys[k].tobytes() for k in edge], pa.binary())],
+            [pa.array(np.concatenate([ids[link], ids[edge]])), pa.array(np.concatenate([ids[to], ids[edge]])), pa.array([None] * len(link) + [2 * part, 2 * part + 1], pa.int32()), pa.array([None] * len(link) + [int(tree[k]).to_bytes(2, "big") + keys[k].tobytes() for k in edge], pa.binary())],
             ["a", "b", "border", "key"],
         )
 

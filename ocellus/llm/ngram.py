@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ocellus.llm.common import blocks, id_crc, read_table, small_batches, stored, text_buffer
 from ocellus.llm.hashing import mix, word_bounds, word_hashes
-from ocellus.llm.keyexchange import SENT, answers, chunk_count, merged, planes, ranges, send, unplanes
+from ocellus.llm.keyexchange import SENT, answers, bucket_count, chunk_count, merged, planes, ranges, send, unplanes
 
 _U = np.uint64
 END, BEGIN = _U(0x1D8E4E27C47D124F), _U(0xEB44ACCAB455D165)
@@ -99,6 +99,7 @@ def score(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), role.cast("int").alias("role"))
     small_batches(docs)
     chunks = chunk_count(docs)
+    buckets = bucket_count(docs, chunks)
     held_chunks = max(1, chunks // 7)
     h = F.xxhash64("doc_id", "text")
     texts = rows.select(F.when(F.col("role") == HELD, F.pmod(h, F.lit(held_chunks))).otherwise(held_chunks + F.pmod(h, F.lit(chunks))).cast("int").alias("chunk"), "doc_id", "text", "role")
@@ -114,7 +115,7 @@ def score(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str =
             own = roles == r
             counts[r] = np.bincount(unigram[own], minlength=len(keys)) + np.bincount(bigram[own], minlength=len(keys))
             counts[r][begin] = (kinds == r).sum()
-        return send(table["chunk"][0].as_py(), keys, chunks, lambda a, z: planes(counts[:, a:z].reshape(-1)))
+        return send(table["chunk"][0].as_py(), keys, buckets, lambda a, z: planes(counts[:, a:z].reshape(-1)))
 
     def add(table: pa.Table) -> pa.Table:
         keys, inverse, cuts, sent_by, extras = merged(table)
@@ -133,7 +134,7 @@ def score(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str =
     def looked_up(table: pa.Table, told: pa.Table):
         words, before = tokens(table["text"])
         keys, unigram, bigram = keys_of(words, before)
-        counts, cuts = np.zeros((2, len(keys)), np.int64), ranges(keys, chunks)
+        counts, cuts = np.zeros((2, len(keys)), np.int64), ranges(keys, buckets)
         for b, x in answers(told):
             counts[:, cuts[b] : cuts[b + 1]] = unplanes(x, np.uint32).reshape(2, -1)
         return before, unigram, bigram, contexts(unigram, before, int(np.searchsorted(keys, BEGIN | _U(1)))), counts

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ocellus.llm.common import blocks, read_table, text_buffer
 from ocellus.llm.hashing import window_hashes, window_starts, word_bounds, word_hashes
-from ocellus.llm.keyexchange import SENT, answers, chunk_count, chunked, merged, ranges, send
+from ocellus.llm.keyexchange import SENT, answers, bucket_count, chunk_count, chunked, merged, ranges, send
 
 WINDOW = 35
 
@@ -62,12 +62,13 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, text_col: str = "text",
     with a bit for those that it has twice.
     """
     chunks = chunk_count(docs)
+    buckets = bucket_count(docs, chunks)
     texts = chunked(docs, chunks, text_col, keep)
 
     def emit(table: pa.Table) -> pa.Table:
         keys, _, _ = chunk_windows(table["text"], width)
         keys, n = np.unique(keys, return_counts=True)
-        return send(table["chunk"][0].as_py(), keys, chunks, lambda a, z: np.packbits(n[a:z] > 1).tobytes())
+        return send(table["chunk"][0].as_py(), keys, buckets, lambda a, z: np.packbits(n[a:z] > 1).tobytes())
 
     def judge(table: pa.Table) -> pa.Table:
         keys, inverse, cuts, sent_by, twice = merged(table)
@@ -82,7 +83,7 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, text_col: str = "text",
     def apply(table: pa.Table, told: pa.Table) -> pa.Table:
         hashes, at, before = chunk_windows(table["text"], width)
         keys, inverse = np.unique(hashes, return_inverse=True)
-        repeated, cuts = np.zeros(len(keys), bool), ranges(keys, chunks)
+        repeated, cuts = np.zeros(len(keys), bool), ranges(keys, buckets)
         for b, bits in answers(told):
             repeated[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[b + 1] - cuts[b])
         gone = covered(at[repeated[inverse]], width, int(before[-1]))
