@@ -51,11 +51,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ocellus-"))
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Have a path deleted when the driver's JVM ends; results that read it are of use until then."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing. It goes with the driver."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    forget(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
