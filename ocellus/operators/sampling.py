@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def chance(key: str | list[str], seed: int) -> Column:
-    """A number in [0, 1) from the key and the seed."""
+    """A number in [0, 1) from the key and the seed: 13 hexadecimal digits of an MD5, so any engine can repeat it."""
     keys = [key] if isinstance(key, str) else key
-    return F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
+    text = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def share(rows: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:

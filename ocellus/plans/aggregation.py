@@ -107,7 +107,7 @@ def fisher_mu_arrow(spark, sf_dir):
     f"""WITH {POSTERIOR}, z AS (SELECT p.clip, p.k, l.j, CASE WHEN p >= 1e-6 THEN p ELSE 0 END AS p, (x - mu) / sqrt(sigma) AS z, w FROM post p JOIN dlong l USING (vec_id) JOIN gstat s ON s.k = p.k AND s.j = l.j JOIN gw ON gw.k = p.k)
 SELECT clip, k, j, round(sum(p * z) / (count(*) * sqrt(any_value(w))), 5) + 0 AS u, round(sum(p * (z * z - 1)) / (count(*) * sqrt(2 * any_value(w))), 5) + 0 AS v FROM z GROUP BY clip, k, j"""
 )
-def fisher_vl(spark, sf_dir):
+def fisher_mean_variance(spark, sf_dir):
     post, g = _post(spark, sf_dir)
     return gmm.fisher_full(post, g, "clip").select("clip", "k", (F.col("j") + 1).cast("long").alias("j"), (F.round("u", 5) + 0.0).alias("u"), (F.round("v", 5) + 0.0).alias("v"))
 

@@ -78,12 +78,15 @@ def purge_replace(spark, sf_dir):
     return rows.select("vec_id", F.size(arrays.purged(F.col("v"))).alias("left_over"), _r(vec.total(arrays.replaced(F.col("v"), 9.0)), "filled"))
 
 
-@query()
+_CHANCE = "c AS (SELECT o_orderkey, ('0x' || substr(md5(o_orderkey || ':3'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS c FROM orders)"
+
+
+@query(f"WITH {_CHANCE} SELECT o_orderkey FROM c ORDER BY c, o_orderkey LIMIT 100")
 def random_subset(spark, sf_dir):
     return sampling.subset(read(spark, sf_dir, "orders"), "o_orderkey", 100, seed=3).select("o_orderkey")
 
 
-@query()
+@query(f"WITH {_CHANCE} SELECT o_orderkey FROM c WHERE c < 0.1")
 def random_share(spark, sf_dir):
     return sampling.share(read(spark, sf_dir, "orders"), "o_orderkey", 0.1, seed=3).select("o_orderkey")
 

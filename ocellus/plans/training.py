@@ -46,7 +46,7 @@ def hkm_quantize(spark, sf_dir):
 
 
 @query()
-def kmlsh_ann(spark, sf_dir):
+def hashed_cell_neighbours(spark, sf_dir):
     d = descriptors(spark, sf_dir)
     q = d.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("d").alias("q"))
     return cluster.cell_neighbours(q, d.select(F.col("vec_id").alias("base_id"), F.col("d").alias("b")), 5, 3, 8)
