@@ -44,10 +44,12 @@ def words_selected(strengths: Column, params: QueryParams) -> Column:
     return F.size(F.filter(strengths, lambda s: s > params.threshold))
 
 
-def score(params: QueryParams, q_strengths: Column, d_strengths: Column, q_fv: Column | None = None, d_fv: Column | None = None, q_bits: Column | None = None, d_bits: Column | None = None) -> Column:
+def score(params: QueryParams, q_strengths: Column, d_strengths: Column, q_fv: Column | None = None, d_fv: Column | None = None, q_bits: Column | None = None, d_bits: Column | None = None, q_energy: Column | None = None, d_energy: Column | None = None) -> Column:
     """Score of an item, smaller is better; FLT_MAX where a norm or the product is 0, or too few words are selected.
 
-    Give the vectors for inner products, or the packed words for weighted Hamming similarity.
+    Give the vectors for inner products, or the packed words for weighted Hamming similarity. With
+    vectors give the words' squared lengths too where they are at hand (see ``energies``), else they
+    are computed for each pair.
     """
     zero, t, dim = F.lit(0.0), params.threshold, params.word_dim
     product, qn, dn, extra = [], [], [], []
@@ -56,7 +58,9 @@ def score(params: QueryParams, q_strengths: Column, d_strengths: Column, q_fv: C
         qs, ds = q_strengths[k] > t, d_strengths[k] > t
         if q_fv is not None:
             a, b = vec.word(q_fv, k, dim), vec.word(d_fv, k, dim)
-            like, qe, de = vec.dot(a, b), vec.l2sq(a), vec.l2sq(b)
+            like = vec.dot(a, b)
+            qe = vec.l2sq(a) if q_energy is None else q_energy[k]
+            de = vec.l2sq(b) if d_energy is None else d_energy[k]
         else:
             like = weights[vec.hamming(q_bits[k], d_bits[k])]
             qe = de = F.lit(float(dim))
@@ -92,15 +96,28 @@ def compared(queries: DataFrame, items: DataFrame, most_queries: int = 20_000) -
     return reduce(DataFrame.unionByName, parts)
 
 
+def energies(fv: Column, params: QueryParams) -> Column:
+    """Squared length of each word of a vector."""
+    return F.array(*[vec.l2sq(vec.word(fv, k, params.word_dim)) for k in range(params.words)])
+
+
+def scored_pairs(queries: DataFrame, items: DataFrame, params: QueryParams) -> DataFrame:
+    """query_id, item_id, score of every query with every item; what depends on one side alone is computed there once."""
+    if "q_fv" in queries.columns:
+        queries, items = queries.withColumn("q_energy", energies(F.col("q_fv"), params)), items.withColumn("d_energy", energies(F.col("d_fv"), params))
+        names = ("q_fv", "d_fv", "q_energy", "d_energy")
+    else:
+        names = ("q_bits", "d_bits")
+    given = {n: F.col(n) for n in names}
+    return compared(queries, items).select("query_id", "item_id", score(params, F.col("q_strengths"), F.col("d_strengths"), **given).alias("score"))
+
+
 def search(queries: DataFrame, items: DataFrame, params: QueryParams) -> DataFrame:
     """query_id, item_id, score, rank: the best items of each query.
 
     queries: query_id, q_strengths, and q_fv or q_bits. items: item_id, d_strengths, and d_fv or d_bits.
     """
-    names = ("q_fv", "d_fv") if "q_fv" in queries.columns else ("q_bits", "d_bits")
-    given = {n: F.col(n) for n in names}
-    pairs = compared(queries, items).select("query_id", "item_id", score(params, F.col("q_strengths"), F.col("d_strengths"), **given).alias("score"))
-    return ranked(pairs, params.top_k)
+    return ranked(scored_pairs(queries, items, params), params.top_k)
 
 
 def first_per_clip(results: DataFrame, k: int) -> DataFrame:

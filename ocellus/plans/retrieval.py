@@ -65,9 +65,7 @@ def _search(name: str, p: QueryParams, fv: bool):
         it = items(spark, sf_dir)
         drop = "bits" if fv else "fv"
         q, d = as_queries(it).drop(f"q_{drop}"), as_database(it).drop(f"d_{drop}")
-        pairs = scoring.compared(q, d)
-        like = {"q_fv": F.col("q_fv"), "d_fv": F.col("d_fv")} if fv else {"q_bits": F.col("q_bits"), "d_bits": F.col("d_bits")}
-        pairs = pairs.select("query_id", "item_id", F.round(scoring.score(p, F.col("q_strengths"), F.col("d_strengths"), **like), 9).alias("score"))
+        pairs = scoring.scored_pairs(q, d, p).withColumn("score", F.round("score", 9))
         return scoring.ranked(pairs, p.top_k).withColumn("score", F.round("score", R))
 
     run.__name__ = name
