@@ -29,11 +29,6 @@ def page_checksum(data: bytes) -> int:
     return int.from_bytes(raw.to_bytes(4, "little").translate(_REVERSED), "big")
 
 
-def _page(packets: list[bytes], flags: int, granule: int, serial: int, number: int) -> bytes:
-    lacing = b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets)
-    return _raw_page(lacing, b"".join(packets), flags, granule, serial, number)
-
-
 def _raw_page(lacing: bytes, body: bytes, flags: int, granule: int, serial: int, number: int) -> bytes:
     page = bytearray(_HEADER.pack(b"OggS", 0, flags, granule, serial, number, 0, len(lacing)) + lacing + body)
     struct.pack_into("<I", page, 22, page_checksum(page))
@@ -125,8 +120,7 @@ def demultiplex(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
             raise ValueError(f"stream {serial}: page {number} breaks a packet")
         numbers[serial] = number + 1
         packets, part, at = streams.setdefault(serial, []), open_.pop(serial, None), 0
-        first = len(packets)
-        size = 0
+        first, size = len(packets), 0
         for value in lacing:
             size += value
             if value < 255:

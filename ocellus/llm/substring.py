@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np

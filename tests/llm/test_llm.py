@@ -82,8 +82,6 @@ def test_damage_is_found():
 def test_op1_odd_rows(spark):
     rows = ogg.decode_column(ogg.encode_column(docs(spark, ODD))).collect()
     assert len(rows) == len(ODD)
-    for (k, t), r in zip(sorted(ODD, key=str), sorted(rows, key=lambda r: str((r.doc_id, "")))):
-        pass
     want = sorted((str(k), len((t or "").encode()), hashlib.sha256(ogg.to_payload((t or "").encode())).hexdigest(), zlib.crc32(ogg.to_payload((t or "").encode())[-16:])) for k, t in ODD)
     assert sorted((str(r.doc_id), r.n_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == want
     assert all(r.payload_bytes % 192 == 0 and r.payload_bytes > 0 for r in rows)
@@ -433,3 +431,29 @@ def test_op9_odd_rows(spark):
     got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warczip.read_archives(warczip.write_archives(df, 3000)).collect())
     assert got == sorted([("1", 1200, "revisit", 9), ("9", 1200, "response", None), ("9", 1200, "response", None), ("4", 1200, "revisit", 9), ("None", 1200, "revisit", 9), ("2", 0, "response", None), ("3", 999, "response", None), ("5", 999, "response", None), ("6", 0, "response", None)], key=str)
     assert warczip.read_archives(warczip.write_archives(df.limit(0))).count() == 0
+
+
+# --- a third of all rows in one group
+
+
+def test_hot_groups(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"t{rng.randint(0, 10_000)}" for _ in range(45))
+    hot = text()
+    rows = [(i, hot if i % 3 == 0 else text()) for i in range(150)]
+    found = substring.remove_repeats(docs(spark, rows), keep=["doc_id"]).collect()
+    assert {r["row"].doc_id: r.n_removed for r in found} == {i: 45 if i % 3 == 0 else 0 for i in range(150)}
+    near = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert near == {i: 0 if i % 3 == 0 else i for i in range(150)}
+    pages = docs(spark, rows).select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.repeat("text", 5).alias("html"))
+    kinds = {r.page_id: (r.record_type, r.refers_to) for r in warczip.read_archives(warczip.write_archives(pages)).collect()}
+    assert kinds == {i: ("revisit", 147) if i % 3 == 0 and i != 147 else ("response", None) for i in range(150)}
+    star = connected(spark.createDataFrame([(0, i) for i in range(1, 400)], "a long, b long"))
+    assert star.filter("root = 0").count() == 400
+
+
+def test_runs_of_one_key_are_cut():
+    lcp = np.array([0] + [8] * 9 + [0, 6, 6, 5, 0])
+    heads = neardup._heads(lcp, 5, 4)
+    assert heads.tolist() == [0] * 10 + [10, 10, 10, 10, 14]
+    assert neardup._heads(lcp, 5, 3).tolist() == [0] * 10 + [10, 10, 10, 13, 14]
