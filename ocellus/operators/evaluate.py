@@ -45,20 +45,36 @@ def temporal_jaccard(found: DataFrame, truth: DataFrame, tolerance: int = 0) ->
     return per.filter("_t = 1").groupBy("query_id").agg((F.sum(F.col("i") / F.col("u")) / F.count(F.lit(1))).alias("jaccard"))
 
 
-def tp_fp(scored: DataFrame, by: str | None = None, score: str = "score", label: str = "label", order: str = "id") -> DataFrame:
-    """scored with tp, fp, n_pos, n_neg: running counts by descending score, ties in the order of ``order``.
+def _ranges(scored: DataFrame, score: str, ranges: int) -> DataFrame:
+    """scored with _r: its range of scores, 0 the highest; equal scores share a range. Borders are approximate quantiles."""
+    borders = scored.select(F.percentile_approx(score, [k / ranges for k in range(1, ranges)], 1000)).head()[0] or []
+    cuts = F.array(*[F.lit(float(b)) for b in sorted(set(borders))])
+    return scored.withColumn("_r", F.size(F.filter(cuts, lambda c: c > F.col(score))) if borders else F.lit(0))
+
+
+def tp_fp(scored: DataFrame, by: str | None = None, score: str = "score", label: str = "label", order: str = "id", ranges: int = 64) -> DataFrame:
+    """scored with tp, fp, n_pos, n_neg, pos: running counts by descending score, ties in the order of ``order``.
 
     label > 0 is positive. Rows with score -inf are never retrieved: they count in n_pos and n_neg only
-    and their tp and fp don't grow. Without ``by`` the running counts are one ordered pass over all rows.
+    and their tp and fp don't grow. Counts run within each group of ``by``; without it, within ranges of
+    scores, to which the counts of the ranges above are added from a table of ``ranges`` rows, so no
+    task orders the whole table.
     """
-    keys = [by] if by else []
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    seen = F.col(score) > float("-inf")
-    pos, neg = (F.col(label) > 0), (F.col(label) <= 0)
+    key = by or "_r"
+    rows = scored if by else _ranges(scored, score, ranges)
+    seen, pos, neg = F.col(score) > float("-inf"), F.col(label) > 0, F.col(label) <= 0
     one = lambda c: F.when(c, 1).otherwise(0)
-    return scored.withColumns({"tp": F.sum(one(pos & seen)).over(run), "fp": F.sum(one(neg & seen)).over(run), "n_pos": F.sum(one(pos)).over(every), "n_neg": F.sum(one(neg)).over(every), "pos": F.row_number().over(w)})
+    w = Window.partitionBy(key).orderBy(F.desc(score), order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumns({"tp": F.sum(one(pos & seen)).over(run), "fp": F.sum(one(neg & seen)).over(run), "pos": F.row_number().over(w)})
+    sums = rows.groupBy(key).agg(F.sum(one(pos & seen)).alias("_tp"), F.sum(one(neg & seen)).alias("_fp"), F.count(F.lit(1)).alias("_pos"), F.sum(one(pos)).alias("n_pos"), F.sum(one(neg)).alias("n_neg"))
+    if by:
+        return counted.join(sums.select(by, "n_pos", "n_neg"), by)
+    above = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
+    before = sums.select("_r", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("_tp", "_fp", "_pos")], *[F.sum(c).over(every).alias(c) for c in ("n_pos", "n_neg")])
+    out = counted.join(F.broadcast(before), "_r")
+    return out.withColumns({"tp": F.col("tp") + F.col("_tp"), "fp": F.col("fp") + F.col("_fp"), "pos": (F.col("pos") + F.col("_pos")).cast("int")}).drop("_r", "_tp", "_fp", "_pos")
 
 
 def pr_curve(scored: DataFrame, by: str | None = None, **names) -> DataFrame:
@@ -71,9 +87,11 @@ def pr_summary(scored: DataFrame, by: str | None = None, label: str = "label", s
     """ap: mean precision at the positives found; auc: area by trapezoids; ap11: mean of the best precision at 11 recalls."""
     c = pr_curve(scored, by, label=label, score=score, **names)
     keys = [by] if by else []
-    w = Window.partitionBy(*keys).orderBy("pos")
-    c = c.withColumns({"_p": F.coalesce(F.lag("precision").over(w), F.lit(1.0)), "_r": F.coalesce(F.lag("recall").over(w), F.lit(0.0))})
-    hit = (F.col(label) > 0) & (F.col(score) > float("-inf"))
+    seen = F.col(score) > float("-inf")
+    hit, miss = (F.col(label) > 0) & seen, (F.col(label) <= 0) & seen
+    # The row before has one hit or miss less.
+    tp, fp = F.col("tp") - hit.cast("int"), F.col("fp") - miss.cast("int")
+    c = c.withColumns({"_p": F.when(F.col("pos") == 1, 1.0).otherwise(tp / F.greatest(tp + fp, F.lit(1))), "_r": tp / F.col("n_pos")})
     best = [F.coalesce(F.max(F.when(F.col("recall") >= t / 10, F.col("precision"))), F.lit(0.0)) for t in range(11)]
     aggs = [
         (F.sum(F.when(hit, F.col("precision")).otherwise(0.0)) / F.max("n_pos")).alias("ap"),
@@ -90,12 +108,12 @@ def roc_curve(scored: DataFrame, by: str | None = None, **names) -> DataFrame:
     return c.withColumns({"tpr": tpr, "fpr": fpr, "tnr": 1 - fpr, "fnr": 1 - tpr})
 
 
-def roc_summary(scored: DataFrame, by: str | None = None, **names) -> DataFrame:
+def roc_summary(scored: DataFrame, by: str | None = None, label: str = "label", score: str = "score", **names) -> DataFrame:
     """auc: area under the staircase; eer: the error at the first row where misses are no more than false alarms."""
-    c = roc_curve(scored, by, **names)
+    c = roc_curve(scored, by, label=label, score=score, **names)
     keys = [by] if by else []
-    w = Window.partitionBy(*keys).orderBy("pos")
-    c = c.withColumn("_f", F.coalesce(F.lag("fpr").over(w), F.lit(0.0)))
+    miss = ((F.col(label) <= 0) & (F.col(score) > float("-inf"))).cast("int")
+    c = c.withColumn("_f", (F.col("fp") - miss) / F.col("n_neg"))
     at = F.when(F.col("fnr") <= F.col("fpr"), F.struct("pos", ((F.col("fnr") + F.col("fpr")) / 2).alias("e")))
     return c.groupBy(*keys).agg(F.sum(F.col("tpr") * (F.col("fpr") - F.col("_f"))).alias("auc"), F.min(at)["e"].alias("eer"))
 
