@@ -12,7 +12,7 @@ from ocellus.plans.registry import query
 
 R = 6
 
-_RANKED = f"""{EMB}, p AS (SELECT q.vec_id AS query_id, q.label AS ql, i.vec_id AS item_id, i.label, round(-list_inner_product(q.e, i.e), 9) AS score FROM emb q JOIN emb i ON q.vec_id % 50 = 0 AND q.vec_id <> i.vec_id),
+_RANKED = f"""{EMB}, p AS (SELECT q.vec_id AS query_id, q.label AS ql, i.vec_id AS item_id, i.label, round(-list_inner_product(q.e, i.e), 9) AS score FROM emb q JOIN emb i ON q.vec_id % 100 = 0 AND q.vec_id <> i.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, item_id) AS rank FROM p),
 t AS (SELECT query_id, count(*) AS n FROM p WHERE ql = label GROUP BY ALL),
 h AS (SELECT *, (ql = label)::INTEGER AS hit FROM r WHERE rank <= 50),
@@ -22,7 +22,7 @@ ap AS (SELECT query_id, sum(CASE WHEN hit = 1 THEN prec ELSE 0 END) / any_value(
 
 def _ap(spark, sf_dir):
     e = embeddings(spark, sf_dir)
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("e").alias("q"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("e").alias("q"))
     pairs = scoring.compared(q, e).filter("query_id <> vec_id")
     found = scoring.ranked(pairs.select("query_id", F.col("vec_id").alias("item_id"), F.round(-vec.dot(F.col("q"), F.col("e")), 9).alias("score")), 50)
     truth = pairs.filter("ql = label").select("query_id", F.col("vec_id").alias("clip"))
@@ -45,8 +45,8 @@ def p_at_1(spark, sf_dir):
 
 
 # Segments: an event is found for 0-9 seconds from its second of the day; the truth is shifted.
-_SEG = """g AS (SELECT user_id % 20 AS query_id, user_id AS clip, (floor(epoch(ts))::BIGINT % 3600) AS s, event_id FROM events WHERE event_id % 3 = 0),
-f AS (SELECT query_id, clip, s AS start, s + event_id % 10 AS stop FROM g), tr AS (SELECT query_id, clip, greatest(s + event_id % 4 - 1 - 1, 0) AS start, s + event_id % 4 + 5 + 1 AS stop FROM g WHERE event_id % 2 = 0),
+_SEG = """g AS (SELECT user_id % 20 AS query_id, user_id AS clip, (floor(epoch(ts))::BIGINT % 3600) AS s, event_id FROM events),
+f AS (SELECT query_id, clip, s AS start, s + event_id % 10 AS stop FROM g), tr AS (SELECT query_id, clip, greatest(s + event_id % 4 - 1 - 1, 0) AS start, s + event_id % 4 + 5 + 1 AS stop FROM g),
 fs AS (SELECT DISTINCT query_id, clip, unnest(range(start, stop + 1)) AS s FROM f), ts AS (SELECT DISTINCT query_id, clip, unnest(range(start, stop + 1)) AS s FROM tr),
 b AS (SELECT coalesce(fs.query_id, ts.query_id) AS query_id, coalesce(fs.clip, ts.clip) AS clip, (fs.s IS NOT NULL AND ts.s IS NOT NULL)::INTEGER AS i, ts.s IS NOT NULL AS t FROM fs FULL JOIN ts ON fs.query_id = ts.query_id AND fs.clip = ts.clip AND fs.s = ts.s),
 c AS (SELECT query_id, clip, sum(i) / count(*) AS j, bool_or(t) AS t FROM b GROUP BY ALL)"""
@@ -54,20 +54,20 @@ c AS (SELECT query_id, clip, sum(i) / count(*) AS j, bool_or(t) AS t FROM b GROU
 
 @query(f"WITH {_SEG} SELECT query_id, round(sum(j) / count(*), 6) AS jaccard FROM c WHERE t GROUP BY ALL")
 def temporal_jaccard(spark, sf_dir):
-    g = read(spark, sf_dir, "events").filter("event_id % 3 = 0").select((F.col("user_id") % 20).alias("query_id"), F.col("user_id").alias("clip"), F.pmod(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(3600)).alias("s"), "event_id")
+    g = read(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("query_id"), F.col("user_id").alias("clip"), F.pmod(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(3600)).alias("s"), "event_id")
     found = g.select("query_id", "clip", F.col("s").alias("start"), (F.col("s") + F.col("event_id") % 10).alias("stop"))
-    truth = g.filter("event_id % 2 = 0").select("query_id", "clip", (F.col("s") + F.col("event_id") % 4 - 1).alias("start"), (F.col("s") + F.col("event_id") % 4 + 5).alias("stop"))
+    truth = g.select("query_id", "clip", (F.col("s") + F.col("event_id") % 4 - 1).alias("start"), (F.col("s") + F.col("event_id") % 4 + 5).alias("stop"))
     return evaluate.temporal_jaccard(found, truth, 1).select("query_id", F.round("jaccard", R).alias("jaccard"))
 
 
 @query(
-    """WITH f AS (SELECT user_id AS clip, list(DISTINCT greatest(minute(ts) - 4, 0)) AS a FROM events WHERE event_id % 2 = 0 GROUP BY ALL), t AS (SELECT user_id AS clip, list(DISTINCT minute(ts)::BIGINT) AS b FROM events WHERE event_id % 3 = 0 GROUP BY ALL)
+    """WITH f AS (SELECT user_id AS clip, list(DISTINCT greatest(minute(ts) - 4, 0)) AS a FROM events GROUP BY ALL), t AS (SELECT user_id AS clip, list(DISTINCT minute(ts)::BIGINT) AS b FROM events WHERE event_type <> 'view' GROUP BY ALL)
 SELECT clip, len(list_intersect(a, b))::INTEGER AS common, len(list_distinct(list_concat(a, b)))::INTEGER AS either FROM f JOIN t USING (clip)"""
 )
 def frames_jaccard(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    f = e.filter("event_id % 2 = 0").groupBy(F.col("user_id").alias("clip")).agg(F.collect_set(F.greatest(F.minute("ts") - 4, F.lit(0))).alias("a"))
-    t = e.filter("event_id % 3 = 0").groupBy(F.col("user_id").alias("clip")).agg(F.collect_set(F.minute("ts")).alias("b"))
+    f = e.groupBy(F.col("user_id").alias("clip")).agg(F.collect_set(F.greatest(F.minute("ts") - 4, F.lit(0))).alias("a"))
+    t = e.filter("event_type <> 'view'").groupBy(F.col("user_id").alias("clip")).agg(F.collect_set(F.minute("ts")).alias("b"))
     return f.join(t, "clip").select("clip", F.size(F.array_intersect("a", "b")).alias("common"), F.size(F.array_union("a", "b")).alias("either"))
 
 

@@ -23,11 +23,12 @@ EMB = "emb AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 
 
 def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, label, clip, d: the first 8 elements as a local descriptor; ten descriptors a clip."""
-    return embeddings(spark, sf_dir).select("vec_id", "label", F.expr("vec_id div 10").alias("clip"), F.slice("e", 1, 8).alias("d"))
+    """vec_id, label, clip, d: each vector as eight local descriptors of 8 elements, ten vectors a clip."""
+    parts = embeddings(spark, sf_dir).select(F.col("vec_id").alias("v"), "label", F.posexplode(F.array(*[vec.word(F.col("e"), k, 8) for k in range(8)])).alias("f", "d"))
+    return parts.select((F.col("v") * 8 + F.col("f")).alias("vec_id"), "label", F.expr("v div 10").alias("clip"), "d")
 
 
-DESC = "descr AS (SELECT vec_id, label, vec_id // 10 AS clip, (embedding::DOUBLE[])[1:8] AS d FROM embeddings)"
+DESC = "descr AS (SELECT vec_id * 8 + f AS vec_id, label, vec_id // 10 AS clip, (embedding::DOUBLE[])[8 * f + 1 : 8 * f + 8] AS d FROM embeddings CROSS JOIN range(8) r(f))"
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,24 +142,24 @@ _DIST = {
 
 
 def _dist_sql(name: str) -> str:
-    return f"list_sum(list_transform(range(1, 9), lambda i: {_DIST[name].replace('x', 'a.h[i]').replace('y', 'b.h[i]').replace('ma.h[i]', 'max')}))"
+    return f"list_sum(list_transform(range(1, 65), lambda i: {_DIST[name].replace('x', 'a.h[i]').replace('y', 'b.h[i]').replace('ma.h[i]', 'max')}))"
 
 
-_HIST = EMB + ", hh AS (SELECT vec_id, list_transform(e[1:8], lambda v: abs(v)) AS h FROM emb)"
+_HIST = EMB + ", hh AS (SELECT vec_id, list_transform(e, lambda v: abs(v)) AS h FROM emb)"
 
 
 def _hist(spark, sf_dir):
-    return embeddings(spark, sf_dir).select("vec_id", F.transform(F.slice("e", 1, 8), F.abs).alias("h"))
+    return embeddings(spark, sf_dir).select("vec_id", F.transform("e", F.abs).alias("h"))
 
 
 def _knn(metric: str):
-    sql = f"""WITH {_HIST}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, round({_dist_sql(metric)}, 9) AS dist FROM hh a JOIN hh b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    sql = f"""WITH {_HIST}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, round({_dist_sql(metric)}, 9) AS dist FROM hh a JOIN hh b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, base_id) AS rank FROM p)
 SELECT query_id, base_id, round(dist, 6) AS dist, rank::INTEGER AS rank FROM r WHERE rank <= 4"""
 
     def run(spark, sf_dir):
         h = _hist(spark, sf_dir)
-        q = h.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("h").alias("q"))
+        q = h.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("h").alias("q"))
         b = h.select(F.col("vec_id").alias("base_id"), F.col("h").alias("b"))
         return neighbours.knn(q, b, 4, metric, exclude_self=True).select("query_id", "base_id", F.round("dist", R).alias("dist"), "rank")
 
@@ -171,34 +171,35 @@ for _m in ("l2", "l1", "chi2", "hellinger", "js"):
     _knn(_m)
 
 
-@query(f"WITH {_HIST} SELECT a.vec_id AS a, b.vec_id AS b, " + ", ".join(f"round({_dist_sql(m)}, 6) AS {m}" for m in _DIST) + " FROM hh a JOIN hh b ON a.vec_id < 40 AND b.vec_id < 40 AND a.vec_id <= b.vec_id")
+@query(f"WITH {_HIST} SELECT a.vec_id AS query_id, b.vec_id AS base_id, " + ", ".join(f"round({_dist_sql(m)}, 6) AS {m}" for m in _DIST) + " FROM hh a JOIN hh b ON a.vec_id % 100 = 0")
 def pairwise_kernels(spark, sf_dir):
-    h = _hist(spark, sf_dir).filter("vec_id < 40")
-    return neighbours.pairwise(h, "vec_id", "h", list(_DIST)).select("a", "b", *[F.round(m, R).alias(m) for m in _DIST])
+    h = _hist(spark, sf_dir)
+    q = h.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("h").alias("q"))
+    b = h.select(F.col("vec_id").alias("base_id"), F.col("h").alias("b"))
+    return neighbours.pairwise(q, b, list(_DIST)).select("query_id", "base_id", *[F.round(m, R).alias(m) for m in _DIST])
 
 
 @query(
-    f"""WITH {EMB}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, round(list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))), 9) AS dist FROM emb a JOIN emb b ON a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
+    f"""WITH {EMB}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, round(list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))), 9) AS dist FROM emb a JOIN emb b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, base_id) AS rank, lead(dist) OVER (PARTITION BY query_id ORDER BY dist, base_id) AS second FROM p)
-SELECT query_id, base_id, round(dist, 6) AS dist FROM r WHERE rank = 1 AND 1.1 * dist < second"""
+SELECT query_id, base_id, round(dist, 6) AS dist FROM r WHERE rank = 1 AND 1.02 * dist < second"""
 )
 def ratio_match(spark, sf_dir):
     e = embeddings(spark, sf_dir)
-    q = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    b = e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("base_id"), F.col("e").alias("b"))
-    return neighbours.ratio_match(q, b, 1.1).select("query_id", "base_id", F.round("dist", R).alias("dist"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
+    b = e.select(F.col("vec_id").alias("base_id"), F.col("e").alias("b"))
+    return neighbours.ratio_match(q, b, 1.02, exclude_self=True).select("query_id", "base_id", F.round("dist", R).alias("dist"))
 
 
 @query(
-    f"""WITH {EMB}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, abs(hash_a - hash_b) AS gap, a.e AS q, b.e AS b FROM
-(SELECT vec_id, e, vec_id % 7 AS hash_a FROM emb WHERE vec_id % 100 = 0) a JOIN (SELECT vec_id, e, vec_id % 7 AS hash_b FROM emb) b ON hash_a = hash_b),
+    f"""WITH {EMB}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, a.e AS q, b.e AS b FROM emb a JOIN emb b ON a.vec_id % 100 = 0 AND a.label = b.label),
 p AS (SELECT query_id, base_id, round(list_sum(list_transform(range(1, 65), lambda i: (q[i] - b[i]) * (q[i] - b[i]))), 9) AS dist FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, base_id) AS rank FROM p)
 SELECT query_id, base_id, round(dist, 6) AS dist, rank::INTEGER AS rank FROM r WHERE rank <= 3"""
 )
 def shortlist_reorder(spark, sf_dir):
     e = embeddings(spark, sf_dir)
-    short = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id")).join(e.select(F.col("vec_id").alias("base_id")), F.expr("query_id % 7 = base_id % 7"))
+    short = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("base_id"), "label"), "label").drop("label")
     q, b = e.select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")), e.select(F.col("vec_id").alias("base_id"), F.col("e").alias("b"))
     return neighbours.reorder(short, q, b, 3).select("query_id", "base_id", F.round("dist", R).alias("dist"), "rank")
 
@@ -237,13 +238,13 @@ def bloom_norm(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_NORMS}, hits AS (SELECT q.item_id AS query_id, p.clip, idf * idf AS v FROM points q JOIN postings p USING (hasher, bucket) JOIN idf USING (hasher, bucket) WHERE q.item_id % 50 = 0),
+    f"""WITH {_NORMS}, hits AS (SELECT q.item_id AS query_id, p.clip, idf * idf AS v FROM points q JOIN postings p USING (hasher, bucket) JOIN idf USING (hasher, bucket) WHERE q.item_id % 100 = 0),
 s AS (SELECT query_id, clip, sum(v) AS v FROM hits GROUP BY ALL),
-f AS (SELECT i.item_id AS query_id, n.clip, round(CASE WHEN norm > 0 THEN -coalesce(v, 0) / norm ELSE 0 END, 6) + 0 AS score FROM items i JOIN norms n ON i.item_id % 50 = 0 LEFT JOIN s ON s.query_id = i.item_id AND s.clip = n.clip)
+f AS (SELECT i.item_id AS query_id, n.clip, round(CASE WHEN norm > 0 THEN -coalesce(v, 0) / norm ELSE 0 END, 6) + 0 AS score FROM items i JOIN norms n ON i.item_id % 100 = 0 LEFT JOIN s ON s.query_id = i.item_id AND s.clip = n.clip)
 SELECT query_id, clip, score FROM f"""
 )
 def bloom_score(spark, sf_dir):
     points = _points(spark, sf_dir)
     index = bloom.BloomIndex.fit(points, alpha=0.5)
-    found = index.query(points.filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "hasher", "bucket"))
+    found = index.query(points.filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "hasher", "bucket"))
     return found.select("query_id", "clip", (F.round("score", R) + 0.0).alias("score"))

@@ -82,11 +82,11 @@ def k_largest(spark, sf_dir):
     return stats.k_least(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", 20, largest=True).select("o_orderkey", "rank")
 
 
-@query("""WITH v AS (SELECT label, e[1] AS x, vec_id FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))
+@query("""WITH v AS (SELECT label, list_sum(e) AS x, vec_id FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))
 SELECT label, count_if(isnan(x)) AS n_nan, count_if(x = 0) AS n_zero, count_if(x > 0) AS n_gt, count_if(x < 0) AS n_lt, round(sum(x), 6) AS total, round(avg(x), 6) AS mean, round(sum(x * x), 6) AS sum_sq, round(sqrt(sum(x * x)), 6) AS norm2,
 round(sum(abs(x)), 6) AS norm1, round(min(x), 6) AS least, round(max(x), 6) AS most, arg_min(vec_id, x) AS argmin, arg_max(vec_id, x) AS argmax FROM v GROUP BY label""")
 def vector_summary(spark, sf_dir):
-    v = embeddings(spark, sf_dir).select("label", "vec_id", F.col("e")[0].alias("x"))
+    v = embeddings(spark, sf_dir).select("label", "vec_id", vec.total(F.col("e")).alias("x"))
     out = v.groupBy("label").agg(*stats.summary("x", "vec_id"))
     return out.select(*[_r(c) if c in ("total", "mean", "sum_sq", "norm2", "norm1", "least", "most") else F.col(c) for c in out.columns])
 
@@ -106,9 +106,9 @@ def mutual_information(spark, sf_dir):
     return stats.mutual_information(stats.joint_histogram(read(spark, sf_dir, "part"), "p_brand", "p_type"), "p_brand", "p_type").select(_r("mi"), _r("h"))
 
 
-@query(f"WITH {EMB}, x AS (SELECT vec_id, unnest(range(0, 8)) AS i, unnest(e[1:8]) AS x FROM emb) SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(avg(a.x), 6) + 0 AS mean_i, round(avg(a.x * b.x) - avg(a.x) * avg(b.x), 6) + 0 AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
+@query(f"WITH {EMB}, x AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(e) AS x FROM emb) SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(avg(a.x), 6) + 0 AS mean_i, round(avg(a.x * b.x) - avg(a.x) * avg(b.x), 6) + 0 AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
 def covariance(spark, sf_dir):
-    d = embeddings(spark, sf_dir).select(F.slice("e", 1, 8).alias("d"))
+    d = embeddings(spark, sf_dir).select(F.col("e").alias("d"))
     return stats.covariance(d, "d").select("i", "j", (F.round("mean_i", R) + 0.0).alias("mean_i"), (F.round("cov", R) + 0.0).alias("cov"))
 
 
@@ -133,9 +133,9 @@ def box_sums(spark, sf_dir):
     return stats.box_sums(_grid(spark, sf_dir), boxes, "r", "c").select("id", "total")
 
 
-@query(f"WITH {EMB}, x AS (SELECT label AS i, unnest(range(0, 6)) AS j, unnest(e[1:6]) AS v FROM emb), m AS (SELECT i, j, sum(v) AS v FROM x GROUP BY ALL) SELECT a.i, b.i AS j, round(sum(a.v * b.v), 5) + 0 AS v FROM m a JOIN m b ON a.j = b.j GROUP BY ALL")
+@query(f"WITH {EMB}, x AS (SELECT label AS i, unnest(range(0, 64)) AS j, unnest(e) AS v FROM emb), m AS (SELECT i, j, sum(v) AS v FROM x GROUP BY ALL) SELECT a.i, b.i AS j, round(sum(a.v * b.v), 5) + 0 AS v FROM m a JOIN m b ON a.j = b.j GROUP BY ALL")
 def matrix_product(spark, sf_dir):
-    m = embeddings(spark, sf_dir).select(F.col("label").alias("i"), F.posexplode(F.slice("e", 1, 6)).alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    m = embeddings(spark, sf_dir).select(F.col("label").alias("i"), F.posexplode("e").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
     t = m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
     return stats.matrix_product(m, t).select("i", "j", (F.round("v", 5) + 0.0).alias("v"))
 
@@ -148,20 +148,20 @@ def block_sums(spark, sf_dir):
     return stats.block_sums(li, rows, cols).select("ci", "cj", F.round("v", 2).alias("v"))
 
 
-@query("SELECT l_orderkey AS label, 0 AS source FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT o_orderkey, 1 FROM orders")
+@query("SELECT l_orderkey AS label, 0 AS source FROM lineitem UNION ALL SELECT o_orderkey, 1 FROM orders")
 def ordered_merge(spark, sf_dir):
-    a = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("label"))
+    a = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("label"))
     return stats.merge_ordered(a, read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("label")))
 
 
-@query("WITH n AS (SELECT c_custkey, 'B' || (c_custkey % 37) || 'x' || (c_custkey % 113) AS name FROM customer) SELECT c_custkey, row_number() OVER (ORDER BY c_custkey % 37, c_custkey % 113, c_custkey)::INTEGER AS rank FROM n QUALIFY rank <= 500")
+@query("WITH n AS (SELECT c_custkey, 'B' || (c_custkey % 37) || 'x' || (c_custkey % 113) AS name, c_mktsegment FROM customer) SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey % 37, c_custkey % 113, c_custkey)::INTEGER AS rank FROM n")
 def natural_sort(spark, sf_dir):
     from pyspark.sql import Window
 
     k = F.col("c_custkey")
     name = F.concat(F.lit("B"), k % 37, F.lit("x"), k % 113)
-    rows = read(spark, sf_dir, "customer").select("c_custkey", paths.natural_key(name).alias("key")).orderBy("key", "c_custkey").limit(500)
-    return rows.select("c_custkey", F.row_number().over(Window.orderBy("key", "c_custkey")).alias("rank"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", paths.natural_key(name).alias("key"))
+    return rows.select("c_custkey", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("key", "c_custkey")).alias("rank"))
 
 
 @query("SELECT item_id, ordinal FROM (SELECT doc_id AS item_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents UNION ALL SELECT page_id + 1000000, row_number() OVER (ORDER BY page_id) - 1 + (SELECT count(*) FROM documents) FROM pages)")
@@ -205,13 +205,13 @@ def local_maxima_grid(spark, sf_dir):
     return stats.local_maxima_grid(cells, "r", "c", "v")
 
 
-@query(f"WITH {EMB}, x AS (SELECT vec_id AS i, unnest(range(0, 8)) AS j, unnest(e[1:8]) AS v FROM emb), s AS (SELECT i - 10 AS i, j - 2 AS j, v FROM x WHERE i >= 10 AND i < 40 AND j >= 2 AND j < 6), b AS (SELECT i, j, v FROM s UNION ALL SELECT i + 30, j, v FROM s), m AS (SELECT j, avg(v) AS m FROM b GROUP BY j) SELECT i, j, round(v - m, 6) + 0 AS v FROM b JOIN m USING (j)")
+@query(f"WITH {EMB}, x AS (SELECT vec_id AS i, unnest(range(0, 64)) AS j, unnest(e) AS v FROM emb), s AS (SELECT i - 10 AS i, j - 2 AS j, v FROM x WHERE i >= 10 AND j >= 2 AND j < 6), b AS (SELECT i, j, v FROM s UNION ALL SELECT i + 1000000, j, v FROM s), m AS (SELECT j, avg(v) AS m FROM b GROUP BY j) SELECT i, j, round(v - m, 6) + 0 AS v FROM b JOIN m USING (j)")
 def submatrix_stack(spark, sf_dir):
     from ocellus.operators import linear
 
-    x = embeddings(spark, sf_dir).select(F.col("vec_id").alias("i"), F.posexplode(F.slice("e", 1, 8)).alias("j", "v")).withColumn("j", F.col("j").cast("long"))
-    s = linear.submatrix(x, (10, 40), (2, 6))
-    return linear.centered(linear.stacked(s, s, 30)).select("i", "j", (F.round("v", R) + 0.0).alias("v"))
+    x = embeddings(spark, sf_dir).select(F.col("vec_id").alias("i"), F.posexplode("e").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
+    s = linear.submatrix(x, (10, 1 << 40), (2, 6))
+    return linear.centered(linear.stacked(s, s, 1_000_000)).select("i", "j", (F.round("v", R) + 0.0).alias("v"))
 
 
 @query("SELECT p_size % 4 AS g, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_size % 4 ORDER BY p_retailprice DESC, p_partkey) <= 1")

@@ -7,8 +7,10 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from ocellus.functions import vec
 from ocellus.operators import cluster, gmm, learn, stats
 from ocellus.plans.fixtures import DESC, descriptors, read
+from ocellus.plans.fixtures import gmm as closed_gmm
 from ocellus.plans.registry import query
 
 _P = 0.6
@@ -16,11 +18,11 @@ _K = [1.0, 1 / math.cosh(math.pi * _P)]
 
 
 @query(
-    f"""WITH {DESC}, x AS (SELECT vec_id, abs(d[1]) AS x FROM descr)
+    f"""WITH {DESC}, x AS (SELECT vec_id, list_sum(list_transform(d, lambda v: abs(v))) AS x FROM descr)
 SELECT vec_id, round(sqrt(x * {_P * _K[0]!r}), 6) AS a, round(sqrt(x * {2 * _P * _K[1]!r}) * cos({_P} * ln(x)), 6) + 0 AS b, round(sqrt(x * {2 * _P * _K[1]!r}) * sin({_P} * ln(x)), 6) + 0 AS c FROM x"""
 )
 def homkermap(spark, sf_dir):
-    m = descriptors(spark, sf_dir).select("vec_id", learn.kernel_map(F.abs(F.col("d")[0]), "chi2", 1, _P).alias("m"))
+    m = descriptors(spark, sf_dir).select("vec_id", learn.kernel_map(vec.l1(F.col("d")), "chi2", 1, _P).alias("m"))
     return m.select("vec_id", *[(F.round(F.col("m")[i], 6) + 0.0).alias(n) for i, n in enumerate("abc")])
 
 
@@ -48,7 +50,7 @@ def hkm_quantize(spark, sf_dir):
 @query()
 def hashed_cell_neighbours(spark, sf_dir):
     d = descriptors(spark, sf_dir)
-    q = d.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("d").alias("q"))
+    q = d.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("d").alias("q"))
     return cluster.cell_neighbours(q, d.select(F.col("vec_id").alias("base_id"), F.col("d").alias("b")), 5, 3, 8)
 
 
@@ -75,7 +77,8 @@ def aib_merge(spark, sf_dir):
 
 @query()
 def spectral_clusters(spark, sf_dir):
-    rows = descriptors(spark, sf_dir).filter("vec_id < 200").orderBy("vec_id").collect()
-    x = np.array([r["d"] for r in rows])
-    own = cluster.spectral(np.exp(-((x[:, None] - x) ** 2).sum(2) / 0.1), 4)
-    return spark.createDataFrame([(r["vec_id"], int(c)) for r, c in zip(rows, own)], "vec_id long, k int")
+    rows = closed_gmm(spark, sf_dir).orderBy("k").collect()
+    x = np.array([r["mu"] for r in rows])
+    d = ((x[:, None] - x) ** 2).sum(2)
+    own = cluster.spectral(np.exp(-d / d.mean()), min(3, len(rows)))
+    return spark.createDataFrame([(r["k"], int(c)) for r, c in zip(rows, own)], "label int, k int")
