@@ -17,6 +17,7 @@ _U = np.uint64
 END, BEGIN = _U(0x1D8E4E27C47D124F), _U(0xEB44ACCAB455D165)
 RETAINED, HELD, UNSEEN = 0, 1, 2  # roles of documents: estimates, weights, neither
 LEVELS, GRID = 25, 128
+CHUNK_ROWS = 1250  # two keys a word, each with two counts, are held for a chunk
 
 
 @dataclass
@@ -98,7 +99,7 @@ def score(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), role.cast("int").alias("role"))
     small_batches(docs)
-    chunks = chunk_count(docs)
+    chunks = chunk_count(docs, CHUNK_ROWS)
     buckets = bucket_count(docs, chunks)
     held_chunks = max(1, chunks // 7)
     h = F.xxhash64("doc_id", "text")
@@ -113,14 +114,16 @@ def score(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str =
         counts = np.zeros((2, len(keys)), np.uint32)
         for r in (RETAINED, HELD):
             own = roles == r
-            counts[r] = np.bincount(unigram[own], minlength=len(keys)) + np.bincount(bigram[own], minlength=len(keys))
+            counts[r] = np.bincount(unigram[own], minlength=len(keys))
+            counts[r] += np.bincount(bigram[own], minlength=len(keys)).astype(np.uint32)
             counts[r][begin] = (kinds == r).sum()
         return send(table["chunk"][0].as_py(), keys, buckets, lambda a, z: planes(counts[:, a:z].reshape(-1)))
 
     def add(table: pa.Table) -> pa.Table:
         keys, inverse, cuts, sent_by, extras = merged(table)
-        each = [unplanes(x, np.uint32).reshape(2, -1) for x in extras]
-        total = np.stack([np.bincount(inverse, np.concatenate([e[r] for e in each]).astype(np.float64), len(keys)) for r in (0, 1)]).astype(np.uint64)
+        total = np.zeros((2, len(keys)), np.uint64)
+        for x, a, z in zip(extras, cuts[:-1], cuts[1:]):
+            total[:, inverse[a:z]] += unplanes(x, np.uint32).reshape(2, -1)  # a chunk's keys are distinct
         total = np.minimum(total, _U(0xFFFFFFFF)).astype(np.uint32)
         words = ((keys & _U(1)) == 1) & (keys != BEGIN | _U(1))
         both = total.astype(np.int64)
