@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ocellus.llm.common import blocks, read_table, shuffle_partitions, small, small_batches, stored, text_buffer
@@ -13,6 +13,7 @@ from ocellus.llm.hashing import mix, window_hashes, window_starts, word_bounds,
 
 _U = np.uint64
 TREES, DEPTH, LEAST_DEPTH, REGION = 24, 8, 5, 4096
+HUBS = 16
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint32) | np.uint32(1)
@@ -78,14 +79,12 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, sig binary")
 
 
-def regions(order: DataFrame, least_depth: int = LEAST_DEPTH, region: int = REGION) -> DataFrame:
-    """(id, head) links of all regions in sorted orders of (tree, key, id).
+def regions(order: DataFrame, least_depth: int = LEAST_DEPTH) -> DataFrame:
+    """(tree, id, head) of the rows in runs of sorted orders of (tree, key, id).
 
-    A region is a maximal run of rows of one tree whose neighbours share a key prefix of
-    ``least_depth`` hash values; in a run of more than ``region`` rows the depth grows, value by value,
-    until the parts are small or the whole key is shared; a run of one key is cut every ``region`` rows.
-    Each row links to the first row of its run or part, and a run's first row to those of its parts, so
-    it is compared with all of them. The rows on both sides of a partition's border are compared too: two rows for each partition.
+    A run is a maximal stretch of rows of one tree that share a key prefix of ``least_depth`` hash
+    values, whatever its size; its head is its first row. Where a run goes on over partitions, the
+    driver, which sees two rows of each partition, gives its later heads the first one.
     """
 
     def run(batches):
@@ -100,23 +99,33 @@ def regions(order: DataFrame, least_depth: int = LEAST_DEPTH, region: int = REGI
         lcp = np.zeros(len(ids), np.int64)
         same = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(1)
         lcp[1:] = np.where(tree[1:] == tree[:-1], same, 0)
-        run_head = _heads(lcp, least_depth, region)
-        head = run_head + (np.arange(len(ids)) - run_head) // region * region
-        cut = np.flatnonzero((head == np.arange(len(ids))) & (head != run_head))
-        link = np.concatenate([np.flatnonzero(head != np.arange(len(ids))), run_head[cut]])
-        to = np.concatenate([head[link[: len(link) - len(cut)]], cut])
-        part = TaskContext.get().partitionId()
+        head = _heads(lcp, least_depth, len(ids))
         edge = [0, len(ids) - 1]
+        some = np.bincount(head, minlength=len(ids))[head] > 1
+        some[edge] = some[head[-1]] = True
+        some = np.flatnonzero(some)
+        part = TaskContext.get().partitionId()
+        at = np.concatenate([some, edge])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([ids[link], ids[edge]])), pa.array(np.concatenate([ids[to], ids[edge]])), pa.array([None] * len(link) + [2 * part, 2 * part + 1], pa.int32()), pa.array([None] * len(link) + [int(tree[k]).to_bytes(2, "big") + keys[k].tobytes() for k in edge], pa.binary())],
-            ["a", "b", "border", "key"],
+            [pa.array(tree[at], pa.int16()), pa.array(ids[at]), pa.array(ids[head[at]]), pa.array([None] * len(some) + [2 * part, 2 * part + 1], pa.int32()), pa.array([None] * len(some) + [keys[k, :least_depth].tobytes() for k in edge], pa.binary())],
+            ["tree", "id", "head", "border", "key"],
         )
 
-    found = stored(order.mapInArrow(run, "a long, b long, border int, key binary"), "forest")
-    ends = sorted(found.filter("border IS NOT NULL").select("border", "key", "a").collect())
-    close = [(int(z["a"]), int(y["a"])) for y, z in zip(ends[1::2], ends[2::2]) if y["key"][: 2 + 2 * least_depth] == z["key"][: 2 + 2 * least_depth]]
-    links = found.filter("border IS NULL").select("a", "b")
-    return links.union(found.sparkSession.createDataFrame(close, "a long, b long")) if close else links
+    found = stored(order.mapInArrow(run, "tree short, id long, head long, border int, key binary"), "forest")
+    ends = found.filter("border IS NOT NULL").orderBy("border").collect()
+    moved, last, last_head = [], None, None
+    for y, z in zip(ends[::2], ends[1::2]):
+        first, first_head = (y["tree"], bytes(y["key"])), y["head"]
+        if first == last:
+            moved.append((y["tree"], first_head, last_head))
+            first_head = last_head
+        last = (z["tree"], bytes(z["key"]))
+        last_head = first_head if last == first else z["head"]
+    runs = found.filter("border IS NULL").select("tree", "id", "head")
+    if not moved:
+        return runs
+    moved = found.sparkSession.createDataFrame(moved, "tree short, head long, top long")
+    return runs.join(F.broadcast(moved), ["tree", "head"], "left").select("tree", "id", F.coalesce("top", "head").alias("head"))
 
 
 def _heads(lcp: np.ndarray, depth: int, region: int) -> np.ndarray:
@@ -132,15 +141,22 @@ def _heads(lcp: np.ndarray, depth: int, region: int) -> np.ndarray:
         first |= large & (lcp < depth)
 
 
-def confirm(sets: list[np.ndarray], percent: int) -> np.ndarray:
+def _centrality(flat: np.ndarray, doc: np.ndarray, df: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Mean, over a set's elements, of the number of sets that have the element, if others have it."""
+    return np.bincount(doc, df[flat].astype(np.float64), minlength=len(size)) / np.maximum(1, size)
+
+
+def confirm(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
     """Component of each set under links 100 * |a & b| >= percent * |a | b|: every link between components is found.
 
+    ``known``: labels of sets whose equals are linked already.
+
     A set's overlaps with all others come from one pass over their elements. Central sets go first;
     once they have grown a large component, only sets outside the largest one are compared with all,
     as every pair of different components has such a member.
     """
     n = len(sets)
-    root = np.arange(n)
+    root = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]
     if n < 2:
         return root
     size = np.array([len(s) for s in sets])
@@ -163,7 +179,7 @@ def confirm(sets: list[np.ndarray], percent: int) -> np.ndarray:
         roots = np.unique(np.append(root[linked], root[k]))
         root[np.isin(root, roots)] = roots[0]
 
-    central = np.bincount(doc, df[flat].astype(np.float64), minlength=n) / np.maximum(1, size)
+    central = _centrality(flat, doc, df, size)
     for k in np.argsort(-central, kind="stable")[: min(n, 16)]:
         compare(int(k))
     while True:
@@ -179,11 +195,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
 
     Equal sets first become one class, by two 64-bit hashes and the size, aggregated map-side. Class
     representatives (smallest id) go into TREES sorted orders of signature keys; rows that share a key
-    prefix form regions (see ``regions``); representatives that regions connect, directly or not, are
+    prefix form runs (see ``regions``); representatives that runs connect, directly or not, are
     a block, and blocks are confirmed on full sets (see ``confirm``), so a pair is lost only if no
-    order brings it together: at a similarity of 0.85, (1 - 0.85 ** 5) ** 24 = 1e-6.
-    A block of more than REGION documents is not given to one task: its documents are dealt to one
-    block for each order and region, and the links found are put together by ``connected``.
+    order brings it together: (1 - s ** LEAST_DEPTH) ** TREES at a similarity of s.
+    A block of more than REGION documents is not given to one task: each of its runs is, and runs of
+    more than REGION documents go to ``_between_parts``, which also misses no link; what is found is
+    put together by ``connected``.
 
     Null and empty texts and rows without id have an empty or no set: linked with nothing; a null id
     has a null component and is kept. Rows that repeat an id are one document.
@@ -194,52 +211,120 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     classes = stored(sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     order = classes.select("id", "sig", tree).select(F.col("tree").cast("short").alias("tree"), F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "id")
-    links = regions(order.repartitionByRange(2 * shuffle_partitions(spark), "tree", "key", "id").sortWithinPartitions("tree", "key", "id"))
-    links = stored(links, "regions")
-    blocks_ = stored(connected(links), "blocks")
+    runs = regions(order.repartitionByRange(2 * shuffle_partitions(spark), "tree", "key", "id").sortWithinPartitions("tree", "key", "id"))
+    blocks_ = stored(connected(runs.filter("id <> head"), "id", "head"), "blocks")
     sizes = blocks_.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     huge = sizes.filter(F.col("size") > REGION).select("root")
     members = blocks_.select("id", F.col("root").alias("block"))
     split = huge.limit(1).count() > 0
     if split:
-        inner = blocks_.join(huge, "root", "left_semi").select("id")
-        runs = links.select(F.col("a").alias("id"), F.col("b").alias("block")).union(links.select(F.col("b").alias("id"), F.col("b").alias("block"))).distinct().join(inner, "id", "left_semi")
-        members = blocks_.join(huge, "root", "left_anti").select("id", F.col("root").alias("block")).union(runs)
+        inner = blocks_.join(F.broadcast(huge), "root", "left_semi").select("id")
+        runs = stored(runs.join(inner, "id", "left_semi"), "runs")
+        sizes = runs.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(id))").alias("x"))
+        # Orders that bring the same documents together count once.
+        once = stored(sizes.filter("n > 1").groupBy("head", "n", "x").agg(F.min("tree").alias("tree")), "run-sizes")
+        over = once.filter(F.col("n") > REGION).select("tree", "head", "n")
+        block = F.xxhash64("tree", "head").alias("block")
+        large = runs.join(F.broadcast(over), ["tree", "head"]).select("id", block, "n")
+        # Dropped first, so that the other join has no hot key.
+        hot = sizes.filter(F.col("n") > REGION).select("tree", "head")
+        rest = runs.join(F.broadcast(hot), ["tree", "head"], "left_anti").join(once, ["tree", "head"]).select("id", block)
+        members = blocks_.join(F.broadcast(huge), "root", "left_anti").select("id", F.col("root").alias("block")).union(rest)
     found = _confirmed(docs, members, width, percent)
     if split:
-        found = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        if over.limit(1).count():
+            found = _between_parts(docs, stored(large, "large-runs"), found, width, percent)
+        found = connected(found, "id", "root")
     roots = found.filter("root <> id").select(F.col("id").alias("rep"), F.col("root"))
     rep = sketched.select("doc_id", *key).join(classes.select(*key, F.col("id").alias("rep")), key, "left")
     out = rep.join(roots, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, root) within each block. members: (id, block)."""
+def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """members with the column elements: the shingles of the document of each id."""
     members = stored(members, "members")
+    columns, schema = members.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
     if members.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(members, "id")
 
     def to_sets(batches):
         for b in small(batches):
-            buf, offsets = text_buffer(b.column(2))
+            buf, offsets = text_buffer(b.column(len(columns)))
             out = []
             for i, j in blocks(offsets):
                 h, cuts = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 out += [h[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "block", "elements"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(out, pa.binary())], [*columns, "elements"])
+
+    return texts.select(*columns, "text").mapInArrow(to_sets, f"{schema}, elements binary")
+
+
+def _first_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(ids, the row of each, its set)."""
+    ids, at = np.unique(table["id"].to_numpy(), return_index=True)
+    elements = table["elements"]
+    return ids, at, [np.frombuffer(elements[int(k)].as_py(), np.uint64) for k in at]
+
+
+def _confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, root) within each block. members: (id, block), and known if what has one value of it is linked already."""
 
     def judge(table: pa.Table) -> pa.Table:
-        ids, at = np.unique(table["id"].to_numpy(), return_index=True)
-        elements = table["elements"]
-        root = confirm([np.frombuffer(elements[int(k)].as_py(), np.uint64) for k in at], percent)
+        ids, at, sets = _first_rows(table)
+        root = confirm(sets, percent, table["known"].to_numpy()[at] if "known" in table.column_names else None)
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, root, ids)
         return pa.table([pa.array(ids), pa.array(least[root])], ["id", "root"])
 
-    sets = texts.select("id", "block", "text").mapInArrow(to_sets, "id long, block long, elements binary")
-    return stored(sets.groupBy("block").applyInArrow(judge, "id long, root long"), "confirmed")
+    return stored(_sets(docs, members, width).groupBy("block").applyInArrow(judge, "id long, root long"), "confirmed")
+
+
+def _between_parts(docs: DataFrame, large: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """found and all links between components within runs of more than REGION documents. large: (id, block, n).
+
+    A run is dealt by hash to parts of about REGION / 2. Each part is confirmed together with the run's
+    HUBS most central documents, which joins what are copies of one document in one pass. As in
+    ``confirm``, a link between two components then has an end outside the run's largest one: the
+    documents outside are dealt to parts too, and each of these is confirmed with each part of the run.
+    """
+    half = max(1, REGION // 2)
+
+    def dealt(n: str, seed: int):
+        return F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col(n) / half))
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / half) - 1))
+
+    def central(table: pa.Table) -> pa.Table:
+        ids, at, sets = _first_rows(table)
+        size = np.array([len(s) for s in sets])
+        values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        df, doc = np.bincount(flat, minlength=len(values)), np.repeat(np.arange(len(ids)), size)
+        shared = df[flat] > 1
+        score = _centrality(flat[shared], doc[shared], df, size)
+        best = np.argsort(-score, kind="stable")[:HUBS]
+        return pa.table([pa.array(ids[best]), table["run"].take(pa.array(at[best])), pa.array(score[best])], ["id", "run", "score"])
+
+    runs = large.select("id", F.col("block").alias("run"), "n", dealt("n", 1).alias("part"))
+    part = F.xxhash64("run", "part").alias("block")
+    hubs = _sets(docs, runs.select("id", "run", part), width).groupBy("block").applyInArrow(central, "id long, run long, score double")
+    order = Window.partitionBy("run").orderBy(F.desc("score"), "id")
+    hubs = stored(hubs.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= HUBS).select("id", "run"), "hubs")
+    sizes = F.broadcast(large.select(F.col("block").alias("run"), "n").distinct())
+    seen = runs.select("id", part).union(hubs.join(sizes, "run").select("id", "run", every("n").alias("part")).select("id", part))
+    found = found.union(_confirmed(docs, seen, width, percent))
+    known = stored(runs.select("id", "run", "n", dealt("n", 2).alias("j")).join(connected(found, "id", "root").withColumnRenamed("root", "known"), "id"), "known")
+    most = known.groupBy("run", "known").count().groupBy("run").agg(F.max(F.struct("count", "known"))["known"].alias("most"))
+    outside = stored(known.join(F.broadcast(most), "run").filter("known <> most").select("id", "run", "n", "known"), "outside")
+    many = stored(outside.groupBy("run").agg(F.count(F.lit(1)).alias("m")), "outside-sizes")
+    if not many.limit(1).count():
+        return found
+    block = F.xxhash64("run", "i", "j").alias("block")
+    own = outside.join(F.broadcast(many), "run").select("id", "run", "known", dealt("m", 3).alias("i"), every("n").alias("j"))
+    all_ = known.join(F.broadcast(many), "run").select("id", "run", "known", every("m").alias("i"), "j")
+    return found.union(_confirmed(docs, own.select("id", block, "known").union(all_.select("id", block, "known")), width, percent))
 
 
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -457,3 +457,42 @@ def test_runs_of_one_key_are_cut():
     heads = neardup._heads(lcp, 5, 4)
     assert heads.tolist() == [0] * 10 + [10, 10, 10, 10, 14]
     assert neardup._heads(lcp, 5, 3).tolist() == [0] * 10 + [10, 10, 10, 13, 14]
+
+
+def test_op8_links_between_parts_of_a_hot_run(spark, monkeypatch):
+    """Edits of one document, each near to it and not to each other, in runs cut by many partition borders."""
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for k in range(260):
+        w = list(base)
+        for spot in rng.choice(100, 5, replace=False):
+            w[3 * spot + 1] = f"e{k}x{spot}"
+        rows.append((k, " ".join(w)))
+    rows[131] = (131, " ".join(base))
+    want = brute.near(rows, 3, 85)
+    assert len({r for _, r in want.values()}) == 1
+    near = {k for k, _ in rows if brute.near([rows[0], rows[k]], 3, 85)[k][1] == 0}
+    assert len(near) < 26
+    monkeypatch.setattr(neardup, "REGION", 20)
+    monkeypatch.setattr(neardup, "shuffle_partitions", lambda s: 120)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == want
+
+
+def test_op8_chains_in_large_runs(spark, monkeypatch):
+    """Two chains, in which no document is central: links between components of a run are found part by part."""
+    ids = np.random.default_rng(5).permutation(160)
+    rows = [(int(ids[k]), " ".join(f"{k // 80}w{i}" for i in range(k % 80 * 12, k % 80 * 12 + 300))) for k in range(160)]
+    monkeypatch.setattr(neardup, "REGION", 6)
+    monkeypatch.setattr(neardup, "HUBS", 1)
+    outside = []
+    between = neardup._between_parts
+
+    def counted(docs, large, found, width, percent):
+        outside.append(large.count())
+        return between(docs, large, found, width, percent)
+
+    monkeypatch.setattr(neardup, "_between_parts", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute.near(rows, 3, 85) and outside[0] > 0
