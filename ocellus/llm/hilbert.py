@@ -105,8 +105,11 @@ def _cosines(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _nearest(query_ids, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, first=None, last=None):
-    """(query, id, cosine) of each query's k nearest rows; first, last: the rows that count for a query."""
+    """(query, id, cosine) of each query's k nearest ids, with their nearest rows; first, last: the rows that count for a query."""
     out: list[tuple[int, int, float]] = []
+    known, of = np.unique(ids, return_inverse=True)
+    order = np.argsort(of, kind="stable") if len(known) < len(ids) else None
+    cuts = np.searchsorted(of[order], np.arange(len(known))) if order is not None else None
     units = rows / np.linalg.norm(rows, axis=1)[:, None]
     for at in range(0, len(queries), 128):
         near = (queries[at : at + 128] / np.linalg.norm(queries[at : at + 128], axis=1)[:, None]) @ units.T
@@ -116,11 +119,14 @@ def _nearest(query_ids, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray,
             own[:a] = own[z:] = -np.inf
             own[ids == query_ids[n]] = -np.inf
             some = np.flatnonzero(own > -np.inf)
-            if len(some) > k:
-                least = np.partition(own[some], len(some) - k)[len(some) - k]
+            each = own[some] if order is None else np.maximum.reduceat(own[order], cuts)
+            each = each[each > -np.inf]  # the best row of each id
+            if len(each) > k:
+                least = np.partition(each, len(each) - k)[len(each) - k]
                 some = some[own[some] >= least - 1e-9]  # ties and rounding are settled below
             exact = _cosines(queries[n], rows[some])
-            best = np.lexsort((ids[some], -exact))[: k + 8]
+            best = np.lexsort((ids[some], -exact))
+            best = best[np.sort(np.unique(ids[some[best]], return_index=True)[1])][:k]
             out += [(int(query_ids[n]), int(ids[some[x]]), float(exact[x])) for x in best]
     return out
 

@@ -173,6 +173,27 @@ def test_op3_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_op3_repeated_ids(spark):
+    """Every row twice, and one id 40 times near each query: k ids are found, not k rows."""
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((150, 6)))]
+    rows += rows + [(7, (np.array(rows[q][1]) + 1e-3 * rng.standard_normal(6)).tolist()) for q in (0, 50, 100) for _ in range(40)]
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
+    want = []
+    for q in (0, 50, 100):
+        cos = hilbert._cosines(v[q], v)
+        best = {i: cos[ids == i].max() for i in set(ids.tolist()) - {q}}
+        want += [(q, n + 1, i) for n, i in enumerate(sorted(best, key=lambda i: (-best[i], i))[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    table, dim = hilbert.vectors(df)
+    brute_ = hilbert.brute_force(table.coalesce(1), dim, [(q, v[q].tobytes()) for q in (0, 50, 100)], 5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in brute_) == want
+    found = hilbert._nearest([0, 50, 100], v[[0, 50, 100]], ids, v, 5)
+    assert sorted((q, i) for q, i, _ in found) == sorted((q, i) for q, _, i in want)
+    got = hilbert.search(df, F.col("id") % 50 == 0, 5, recall=1.0).collect()
+    assert all(sum(r.query_id == q for r in got) == 5 for q in (0, 50, 100))
+
+
 # --- op4
 
 
