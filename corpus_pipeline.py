@@ -35,12 +35,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(COLUMNS)
 
 
+def own_ids(docs: DataFrame) -> DataFrame:
+    """COLUMNS and own: an id for each pair of doc_id and text; null where doc_id is.
+
+    Of rows with one doc_id and one text one stays, that with the least other columns. Of several texts
+    of one doc_id one takes it as its own; others get a hash of both above 2**62. Rows without doc_id all stay.
+    """
+    of = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.xxhash64("text")).alias("first"))
+    repeated = stored(of.filter("rows > 1").select("doc_id", "first"), "repeated")
+    n = repeated.count()
+    if not n:
+        return docs.select(*COLUMNS, F.col("doc_id").alias("own"))
+    if n <= neardup.BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
+    once = docs.join(repeated, "doc_id", "left_anti").select(*COLUMNS, F.col("doc_id").alias("own"))
+    rest = docs.join(repeated, "doc_id").groupBy("doc_id", "text", "first").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
+    further = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = F.when(F.xxhash64("text") == F.col("first"), F.col("doc_id")).otherwise(further)
+    return once.union(rest.select("doc_id", "text", "row.lang", "row.source", "row.n_chars", own.alias("own")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingle sets with a similarity of 0.8, the smallest id stays."""
-    found = stored(neardup.near_duplicates(docs, width=5, percent=80), "near")
-    kept = without(docs, found.filter("NOT kept"))
-    repeated = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).select(COLUMNS)
+    """Of each group of documents linked by five-word shingle sets with a similarity of 0.8, the smallest id stays.
+
+    Different texts with one doc_id are documents of their own, and stay or go each for itself (see ``own_ids``).
+    """
+    docs = own_ids(docs)
+    found = neardup.near_duplicates(docs.select(F.col("own").alias("doc_id"), "text"), width=5, percent=80)
+    gone = stored(found.filter("NOT kept").select("doc_id").distinct(), "gone").withColumnRenamed("doc_id", "own")
+    return docs.join(F.broadcast(gone) if gone.count() <= neardup.BROADCAST_ROWS else gone, "own", "left_anti").select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,13 @@ def test_odd_rows(spark):
     for name, stage in cp.STAGES:
         assert stage(spark, docs, DATA).count() >= 0, name
         assert stage(spark, docs.limit(0), DATA).count() == 0, name
+
+
+def test_near_dedup_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (1, text("d")), (1, text("d")), (2, text("e")), (2, text("f")), (2, text("g") + " x"), (3, text("g"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.near_dedup(spark, docs, DATA).collect()]
+    assert sorted(t for i, t in got if i is None) == [text("a"), text("b"), text("c")]
+    assert got.count((1, text("d"))) == 1 and (2, text("e")) in got and (2, text("f")) in got
+    assert ((2, text("g") + " x") in got) + ((3, text("g")) in got) == 1 and len(got) == 7
