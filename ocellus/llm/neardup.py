@@ -12,12 +12,12 @@ from ocellus.llm.components import connected
 from ocellus.llm.hashing import mix, window_hashes, window_starts, word_bounds, word_hashes
 
 _U = np.uint64
-TREES, DEPTH, LEAST_DEPTH, REGION = 24, 8, 5, 4096
+TREES, DEPTH, LEAST_DEPTH, REGION = 35, 8, 5, 4096
 HUBS = 16
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_A = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint32) | np.uint32(1)
+_A = _rng.integers(0, 1 << 32, TREES * LEAST_DEPTH, np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, TREES * LEAST_DEPTH, np.uint32) | np.uint32(1)
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,12 +47,12 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def signatures(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """16 bits of each of TREES * DEPTH minima, for texts with a shingle at least; others get zeros."""
-    out = np.zeros((len(cuts) - 1, TREES * DEPTH), np.uint16)
+    """16 bits of each of TREES * LEAST_DEPTH minima, for texts with a shingle at least; others get zeros."""
+    out = np.zeros((len(cuts) - 1, TREES * LEAST_DEPTH), np.uint16)
     some = np.flatnonzero(np.diff(cuts))
     if len(some):
         low, at = (h >> _U(32)).astype(np.uint32), cuts[:-1][some]
-        for k in range(TREES * DEPTH):
+        for k in range(TREES * LEAST_DEPTH):
             x = low * _A[k]
             x ^= x >> np.uint32(15)
             x *= _B[k]
@@ -79,11 +79,11 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, sig binary")
 
 
-def regions(order: DataFrame, least_depth: int = LEAST_DEPTH) -> DataFrame:
+def regions(order: DataFrame) -> DataFrame:
     """(tree, id, head) of the rows in runs of sorted orders of (tree, key, id).
 
-    A run is a maximal stretch of rows of one tree that share a key prefix of ``least_depth`` hash
-    values, whatever its size; its head is its first row. Where a run goes on over partitions, the
+    A run is a maximal stretch of rows of one tree that share a key, whatever its size; its head is its
+    first row. Where a run goes on over partitions, the
     driver, which sees two rows of each partition, gives its later heads the first one.
     """
 
@@ -95,11 +95,11 @@ def regions(order: DataFrame, least_depth: int = LEAST_DEPTH) -> DataFrame:
             return
         t = pa.concat_tables(tables)
         ids, tree = t["id"].to_numpy(), t["tree"].to_numpy()
-        keys = np.frombuffer(b"".join(t["key"].to_pylist()), ">u2").reshape(len(ids), DEPTH)
+        keys = np.frombuffer(b"".join(t["key"].to_pylist()), ">u2").reshape(len(ids), LEAST_DEPTH)
         lcp = np.zeros(len(ids), np.int64)
         same = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(1)
         lcp[1:] = np.where(tree[1:] == tree[:-1], same, 0)
-        head = _heads(lcp, least_depth, len(ids))
+        head = _heads(lcp, LEAST_DEPTH, len(ids))
         edge = [0, len(ids) - 1]
         some = np.bincount(head, minlength=len(ids))[head] > 1
         some[edge] = some[head[-1]] = True
@@ -107,7 +107,7 @@ def regions(order: DataFrame, least_depth: int = LEAST_DEPTH) -> DataFrame:
         part = TaskContext.get().partitionId()
         at = np.concatenate([some, edge])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(tree[at], pa.int16()), pa.array(ids[at]), pa.array(ids[head[at]]), pa.array([None] * len(some) + [2 * part, 2 * part + 1], pa.int32()), pa.array([None] * len(some) + [keys[k, :least_depth].tobytes() for k in edge], pa.binary())],
+            [pa.array(tree[at], pa.int16()), pa.array(ids[at]), pa.array(ids[head[at]]), pa.array([None] * len(some) + [2 * part, 2 * part + 1], pa.int32()), pa.array([None] * len(some) + [keys[k].tobytes() for k in edge], pa.binary())],
             ["tree", "id", "head", "border", "key"],
         )
 
@@ -195,9 +195,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
 
     Equal sets first become one class, by two 64-bit hashes and the size, aggregated map-side. Class
     representatives (smallest id) go into TREES sorted orders of signature keys; rows that share a key
-    prefix form runs (see ``regions``); representatives that runs connect, directly or not, are
+    form runs (see ``regions``); representatives that runs connect, directly or not, are
     a block, and blocks are confirmed on full sets (see ``confirm``), so a pair is lost only if no
-    order brings it together: (1 - s ** LEAST_DEPTH) ** TREES at a similarity of s.
+    order brings it together: (1 - s ** LEAST_DEPTH) ** TREES at a similarity of s, 1e-9 at 0.85 and 1e-6 at 0.8.
     A block of more than REGION documents is not given to one task: each of its runs is, and runs of
     more than REGION documents go to ``_between_parts``, which also misses no link; what is found is
     put together by ``connected``.
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     key = ["n", "set_a", "set_b"]
     classes = stored(sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    order = classes.select("id", "sig", tree).select(F.col("tree").cast("short").alias("tree"), F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "id")
+    order = classes.select("id", "sig", tree).select(F.col("tree").cast("short").alias("tree"), F.expr(f"substring(sig, tree * {2 * LEAST_DEPTH} + 1, {2 * LEAST_DEPTH})").alias("key"), "id")
     runs = regions(order.repartitionByRange(2 * shuffle_partitions(spark), "tree", "key", "id").sortWithinPartitions("tree", "key", "id"))
     blocks_ = stored(connected(runs.filter("id <> head"), "id", "head"), "blocks")
     sizes = blocks_.groupBy("root").agg(F.count(F.lit(1)).alias("size"))

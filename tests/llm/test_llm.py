@@ -517,3 +517,10 @@ def test_op8_chains_in_large_runs(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_between_parts", counted)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
     assert got == brute.near(rows, 3, 85) and outside[0] > 0
+
+
+def test_near_duplicate_loss_at_each_threshold():
+    for s in (0.8, 0.85):
+        assert (1 - s**neardup.LEAST_DEPTH) ** neardup.TREES <= 1e-6
+    h = np.arange(1, 400, dtype=np.uint64) << np.uint64(32)
+    assert neardup.signatures(h, np.array([0, len(h)])).shape[1] == neardup.TREES * neardup.LEAST_DEPTH
