@@ -13,7 +13,7 @@ from ocellus.llm.common import blocks, id_crc, read_table, small_batches
 from ocellus.llm.hashing import NOT_SPACE, SPACE, word_bounds, word_hashes
 
 GRAMS, WORDS = 1 << 16, 1 << 16
-FIT_ROWS, SWITCH, SMOOTH, SCRIPT_SHARE, OFF_SCRIPT = 20_000, 12.0, 0.3, 0.01, -60.0
+FIT_ROWS, LEAST_ROWS, SWITCH, SMOOTH, SCRIPT_SHARE, OFF_SCRIPT = 20_000, 20, 12.0, 0.3, 0.01, -60.0
 
 # Script ranges by the first UTF-8 byte of a letter (fixed by the encoding): 1 Latin, 2 Greek, 3 Cyrillic,
 # 4 Armenian and Hebrew, 5 Arabic and Syriac, 6 Indic and Thai, 7 Georgian to Khmer, 8 kana and CJK
@@ -63,16 +63,20 @@ def _features(buf: np.ndarray, offsets: np.ndarray):
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learn from a bounded sample of the labelled rows: about ``fit_rows`` (default 20000), by hash of the id.
+    """Learn from a bounded sample of the labelled rows: about ``fit_rows`` (default 20000) over all languages.
 
-    Rows without text or label teach nothing. Counts are summed in Spark; what comes to the driver is
+    Each language gives about ``fit_rows`` / languages rows (LEAST_ROWS at least), or all if it has fewer,
+    by hash of id and text, and always the row of the least hash: every label is learned at every size. Rows without text or label teach nothing. Counts are summed in Spark; what comes to the driver is
     at most languages x 131072 features, however large the table. No labelled row: no languages.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     small_batches(docs)
-    n = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).count()
-    if n > fit_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(n)) < fit_rows)
+    chance = F.xxhash64("id", "text")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min(chance).alias("least")).toArrow()
+    if sum(sizes["rows"].to_pylist()) > fit_rows:
+        each = max(LEAST_ROWS, fit_rows // sizes.num_rows)
+        sizes = docs.sparkSession.createDataFrame(sizes.to_pylist(), "lang string, rows long, least long")
+        rows = rows.join(F.broadcast(sizes), "lang").filter((F.pmod(chance, F.col("rows")) < each) | (chance == F.col("least")))
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}

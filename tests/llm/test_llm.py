@@ -524,3 +524,12 @@ def test_near_duplicate_loss_at_each_threshold():
         assert (1 - s**neardup.LEAST_DEPTH) ** neardup.TREES <= 1e-6
     h = np.arange(1, 400, dtype=np.uint64) << np.uint64(32)
     assert neardup.signatures(h, np.array([0, len(h)])).shape[1] == neardup.TREES * neardup.LEAST_DEPTH
+
+
+def test_rare_languages_are_learned(spark):
+    """A language of 3 rows among 3000, and one whose rows have no id, with a sample of 60."""
+    rows = [(i, f"the quick words of number{i}", "en") for i in range(3000)] + [(9000 + i, f"der schnelle Satz Nummer{i}", "de") for i in range(3)] + [(None, f"la phrase rapide numero{i}", "fr") for i in range(600)]
+    model = langid.fit(docs(spark, rows), fit_rows=60)
+    assert model.langs == ["de", "en", "fr"]
+    taught = langid.fit(docs(spark, [(i, "a", "en") for i in range(300)] + [(None, f"b{k}", "fr") for k in range(3000)]), fit_rows=60)
+    assert taught.langs == ["en", "fr"]
