@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -12,43 +13,56 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of texts that go to Python at once; with documents of a few KB a batch is a few MB on either side.
-BATCH_ROWS = 2000
+#: Rows and bytes of texts that go to Python at once; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BROADCAST_BYTES = 32 << 20
 
-# Give freed arrays of 8 MB and more, and a free heap top of 32 MB, back to the system: glibc's own limits
-# grow with the largest array freed, after which a worker keeps its peak for good.
-with contextlib.suppress(OSError, AttributeError):
-    _libc = ctypes.CDLL("libc.so.6")
-    _libc.mallopt(-3, 8 << 20)
-    _libc.mallopt(-1, 32 << 20)
+def trim_heap() -> None:
+    """In a Python worker: give freed arrays of 8 MB and more, and a free heap top of 32 MB, back to the system.
+
+    glibc's own limits grow with the largest array freed, after which a worker keeps its peak for good.
+    """
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 8 << 20)
+        libc.mallopt(-1, 32 << 20)
+
+
+if getattr(getattr(sys.modules.get("__main__"), "__spec__", None), "name", "").startswith("pyspark."):  # pyspark.daemon, pyspark.worker
+    trim_heap()
 
 
 def small_batches(df: DataFrame) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS rows, if they are larger."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, where they are larger.
+
+    These settings are read when a query is run, so they stay lowered for the session; they change no result.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key).lower().rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset (tests, a
-    single machine) a temporary folder is made.
+    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset and the master is
+    local (tests, a single machine) a temporary folder is made. On a cluster an unset folder is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ocellus-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable: the cluster's folder, or a temporary one if there is none."""
+    """Make ``DataFrame.checkpoint`` usable: it writes to the folder of ``shared_dir``."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ocellus-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
 
 
 def forget(spark: SparkSession, path: str) -> None:
@@ -66,6 +80,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its values have at most ``most`` bytes, else df: it is counted, so it should be stored."""
+    wide = [f.name for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    fixed = 8 * (len(df.columns) - len(wide)) + 16
+    n, size = df.agg(F.count(F.lit(1)), sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in wide), F.lit(0))).head()
+    return F.broadcast(df) if n * fixed + size <= most else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

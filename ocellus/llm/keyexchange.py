@@ -60,6 +60,17 @@ def unplanes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in byte planes of the least width that holds them, behind that width."""
+    most = int(counts.max(initial=0))
+    dtype = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max)
+    return bytes([np.dtype(dtype).itemsize]) + planes(counts.astype(dtype))
+
+
+def widen(data: bytes) -> np.ndarray:
+    return unplanes(data[1:], f"u{data[0]}")
+
+
 def edges(buckets: int) -> np.ndarray:
     """First keys of all buckets: equal ranges of 64 bits."""
     return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocellus.llm.common import blocks, id_crc, read_table, small_batches
-from ocellus.llm.hashing import NOT_SPACE, SPACE, word_bounds, word_hashes
+from ocellus.llm.hashing import NOT_SPACE, SPACE, Hasher, mix, word_bounds
 
 GRAMS, WORDS = 1 << 16, 1 << 16
 FIT_ROWS, LEAST_ROWS, SWITCH, SMOOTH, SCRIPT_SHARE, OFF_SCRIPT = 20_000, 20, 12.0, 0.3, 0.01, -60.0
@@ -25,6 +25,7 @@ for _a, _z, _s in ((65, 90, 1), (97, 122, 1), (0xC3, 0xCB, 1), (0xCD, 0xCF, 2),
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[SPACE] = 32
+_HASHER = Hasher(0)  # word buckets are part of the model
 
 
 @dataclass
@@ -57,7 +58,7 @@ def _features(buf: np.ndarray, offsets: np.ndarray):
     starts, ends, before = word_bounds(buf, offsets)
     if not len(starts):
         return starts, ends, before, gram, np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    word = (word_hashes(fold, starts, ends) >> np.uint64(48)).astype(np.int64)
+    word = (mix(_HASHER.words(fold, starts, ends)) >> np.uint64(48)).astype(np.int64)
     script = np.maximum.reduceat(_SCRIPT[buf], starts)
     return starts, ends, before, gram, word, script
 

@@ -7,37 +7,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import blocks, read_table, shuffle_partitions, small, small_batches, stored, text_buffer
+from ocellus.llm.common import blocks, broadcast_if_small, read_table, shuffle_partitions, small, small_batches, stored, text_buffer
 from ocellus.llm.components import connected
-from ocellus.llm.hashing import mix, window_hashes, window_starts, word_bounds, word_hashes
+from ocellus.llm.hashing import Hasher, fresh, mix, window_starts, word_bounds
 
 _U = np.uint64
-TREES, DEPTH, LEAST_DEPTH, REGION = 35, 8, 5, 4096
-HUBS = 16
-BROADCAST_ROWS = 1_000_000
+TREES, LEAST_DEPTH, DEPTH, SPARSE = 35, 4, 5, 64
+REGION, REGION_ELEMENTS, HUBS = 1024, 1 << 21, 16
+ORDER_ROWS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_A = _rng.integers(0, 1 << 32, TREES * LEAST_DEPTH, np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, TREES * LEAST_DEPTH, np.uint32) | np.uint32(1)
+_A = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint32) | np.uint32(1)
 
 
-def shingles(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(buf: np.ndarray, offsets: np.ndarray, width: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of each text, sorted within it; where each text's begin: n + 1 values).
 
     Words have A-Z lowered. A text with fewer words than ``width`` has all of them as its one shingle.
     """
     starts, ends, before = word_bounds(buf, offsets)
     n = len(offsets) - 1
-    words = word_hashes(buf, starts, ends, fold=True) if len(starts) else np.zeros(0, np.uint64)
+    words = hasher.words(buf, starts, ends, fold=True)
     count = np.diff(before)
     inside = window_starts(before, width)
-    h = window_hashes(words, width)[inside]
-    doc = np.searchsorted(before, np.flatnonzero(inside), side="right") - 1
-    few = np.flatnonzero((count > 0) & (count < width))
-    if len(few):
-        short = np.empty(len(few), np.uint64)
-        for k, d in enumerate(few):
-            short[k] = window_hashes(words[before[d] : before[d + 1]] + _U(count[d]), int(count[d]))[0]
-        h, doc = np.concatenate([h, short]), np.concatenate([doc, few])
+    parts = [hasher.windows(words, width)[inside]]
+    docs = [np.searchsorted(before, np.flatnonzero(inside), side="right") - 1]
+    for few in range(1, width):
+        if len(short := np.flatnonzero(count == few)):
+            parts.append(hasher.windows(words, few)[before[short]])
+            docs.append(short)
+    h, doc = np.concatenate(parts), np.concatenate(docs)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
@@ -47,12 +46,12 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def signatures(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """16 bits of each of TREES * LEAST_DEPTH minima, for texts with a shingle at least; others get zeros."""
-    out = np.zeros((len(cuts) - 1, TREES * LEAST_DEPTH), np.uint16)
+    """16 bits of each of TREES * DEPTH minima, for texts with a shingle at least; others get zeros."""
+    out = np.zeros((len(cuts) - 1, TREES * DEPTH), np.uint16)
     some = np.flatnonzero(np.diff(cuts))
     if len(some):
         low, at = (h >> _U(32)).astype(np.uint32), cuts[:-1][some]
-        for k in range(TREES * LEAST_DEPTH):
+        for k in range(TREES * DEPTH):
             x = low * _A[k]
             x ^= x >> np.uint32(15)
             x *= _B[k]
@@ -61,17 +60,21 @@ def signatures(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, set_a, set_b, sig): number of shingles, two hashes of the whole set, signature bytes."""
+def sketch(docs: DataFrame, width: int, first: Hasher, second: Hasher) -> DataFrame:
+    """(doc_id, n, set_a, set_b, sig): number of shingles, the sum of their hashes by either hasher, signature bytes."""
+
+    def total(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ _U(0x2545F4914F6CDD1D)), dtype=np.uint64)])
+        return sums[cuts[1:]] - sums[cuts[:-1]]
 
     def run(batches):
         for b in small(batches):
             buf, offsets = text_buffer(b.column(1))
             parts = []
             for i, j in blocks(offsets):
-                h, cuts = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ _U(s)), dtype=np.uint64)]) for s in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)]
-                parts.append((np.diff(cuts), *(s[cuts[1:]] - s[cuts[:-1]] for s in sums), signatures(h, cuts)))
+                part, offs = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                h, cuts = shingles(part, offs, width, first)
+                parts.append((np.diff(cuts), total(h, cuts), total(*shingles(part, offs, width, second)), signatures(h, cuts)))
             n, x, y, sig = (np.concatenate(p) for p in zip(*parts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array([s.astype(">u2").tobytes() for s in sig], pa.binary())], ["doc_id", "n", "set_a", "set_b", "sig"])
 
@@ -82,9 +85,9 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 def regions(order: DataFrame) -> DataFrame:
     """(tree, id, head) of the rows in runs of sorted orders of (tree, key, id).
 
-    A run is a maximal stretch of rows of one tree that share a key, whatever its size; its head is its
-    first row. Where a run goes on over partitions, the
-    driver, which sees two rows of each partition, gives its later heads the first one.
+    A run is a region of the order whose rows share a prefix of their keys, with a depth that adapts to
+    it (see ``_heads``); its head is its first row. Where a full key goes on over partitions, the driver,
+    which sees two rows of each partition, gives the run's later heads the first one.
     """
 
     def run(batches):
@@ -95,11 +98,11 @@ def regions(order: DataFrame) -> DataFrame:
             return
         t = pa.concat_tables(tables)
         ids, tree = t["id"].to_numpy(), t["tree"].to_numpy()
-        keys = np.frombuffer(b"".join(t["key"].to_pylist()), ">u2").reshape(len(ids), LEAST_DEPTH)
+        keys = np.frombuffer(b"".join(t["key"].to_pylist()), ">u2").reshape(len(ids), DEPTH)
         lcp = np.zeros(len(ids), np.int64)
         same = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(1)
         lcp[1:] = np.where(tree[1:] == tree[:-1], same, 0)
-        head = _heads(lcp, LEAST_DEPTH, len(ids))
+        head = _heads(lcp)
         edge = [0, len(ids) - 1]
         some = np.bincount(head, minlength=len(ids))[head] > 1
         some[edge] = some[head[-1]] = True
@@ -128,17 +131,19 @@ def regions(order: DataFrame) -> DataFrame:
     return runs.join(F.broadcast(moved), ["tree", "head"], "left").select("tree", "id", F.coalesce("top", "head").alias("head"))
 
 
-def _heads(lcp: np.ndarray, depth: int, region: int) -> np.ndarray:
-    """First row of each row's run, for runs of neighbours with lcp >= depth, deeper where runs are large."""
-    first = lcp < depth
-    while True:
+def _heads(lcp: np.ndarray, least: int = LEAST_DEPTH, most: int = DEPTH, sparse: int = SPARSE) -> np.ndarray:
+    """First row of each row's run, from the longest common prefix of each row with the one before.
+
+    A run shares at least ``least`` values; where it has more than ``sparse`` rows it is parted by one more
+    value, and so on, down to runs of ``most`` values, which stay whole whatever their size.
+    """
+    first = lcp < least
+    for depth in range(least, most + 1):
         starts = np.flatnonzero(first)
         size = np.diff(np.append(starts, len(lcp)))
-        large = np.repeat(size > region, size)
-        if depth == DEPTH or not large.any():
+        if depth == most:
             return np.repeat(starts, size)
-        depth += 1
-        first |= large & (lcp < depth)
+        first |= np.repeat(size > sparse, size) & (lcp < depth + 1)
 
 
 def _centrality(flat: np.ndarray, doc: np.ndarray, df: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -193,47 +198,55 @@ def confirm(sets: list[np.ndarray], percent: int, known: np.ndarray | None = Non
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked by shingle sets that overlap by ``percent``.
 
-    Equal sets first become one class, by two 64-bit hashes and the size, aggregated map-side. Class
-    representatives (smallest id) go into TREES sorted orders of signature keys; rows that share a key
-    form runs (see ``regions``); representatives that runs connect, directly or not, are
+    Equal sets first become one class, by their size and two sums of hashes, aggregated map-side. Class
+    representatives (smallest id) go into TREES sorted orders of signature keys; rows that share a
+    prefix of a key form runs (see ``regions``); representatives that runs connect, directly or not, are
     a block, and blocks are confirmed on full sets (see ``confirm``), so a pair is lost only if no
-    order brings it together: (1 - s ** LEAST_DEPTH) ** TREES at a similarity of s, 1e-9 at 0.85 and 1e-6 at 0.8.
-    A block of more than REGION documents is not given to one task: each of its runs is, and runs of
-    more than REGION documents go to ``_between_parts``, which also misses no link; what is found is
-    put together by ``connected``.
+    order brings it together: at most (1 - s ** DEPTH) ** TREES at a similarity of s, 1e-9 at 0.85 and
+    1e-6 at 0.8. Sets are confirmed by other hashes than those that made the signatures.
+    A block of more than REGION documents, or as many REGION_ELEMENTS shingles, is not given to one task:
+    each of its runs is, and runs of more than that go to ``_between_parts``, which also misses no link;
+    what is found is put together by ``connected``. So one task's sets have bounded bytes, but for a
+    single document's.
 
     Null and empty texts and rows without id have an empty or no set: linked with nothing; a null id
     has a null component and is kept. Rows that repeat an id are one document.
     """
     spark = docs.sparkSession
-    sketched = stored(sketch(docs, width), "sketch")
+    first, second = fresh(), fresh()
+    sketched = stored(sketch(docs, width, first, second), "sketch")
     key = ["n", "set_a", "set_b"]
     classes = stored(sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    order = classes.select("id", "sig", tree).select(F.col("tree").cast("short").alias("tree"), F.expr(f"substring(sig, tree * {2 * LEAST_DEPTH} + 1, {2 * LEAST_DEPTH})").alias("key"), "id")
-    runs = regions(order.repartitionByRange(2 * shuffle_partitions(spark), "tree", "key", "id").sortWithinPartitions("tree", "key", "id"))
-    blocks_ = stored(connected(runs.filter("id <> head"), "id", "head"), "blocks")
-    sizes = blocks_.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    huge = sizes.filter(F.col("size") > REGION).select("root")
+    order = classes.select("id", "sig", tree).select(F.col("tree").cast("short").alias("tree"), F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "id")
+    parts = max(2 * shuffle_partitions(spark), -(-classes.count() * TREES // ORDER_ROWS))
+    runs = regions(order.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id"))
+    # A document of many shingles counts as several rows.
+    rows = F.greatest(F.lit(1.0), F.col("n") * (REGION / REGION_ELEMENTS)).alias("rows")
+    weights = classes.select("id", rows)
+    blocks_ = stored(connected(runs.filter("id <> head"), "id", "head").join(weights, "id"), "blocks")
+    huge = stored(blocks_.groupBy("root").agg(F.sum("rows").alias("size")).filter(F.col("size") > REGION).select("root"), "huge")
     members = blocks_.select("id", F.col("root").alias("block"))
     split = huge.limit(1).count() > 0
     if split:
-        inner = blocks_.join(F.broadcast(huge), "root", "left_semi").select("id")
-        runs = stored(runs.join(inner, "id", "left_semi"), "runs")
-        sizes = runs.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(id))").alias("x"))
+        huge = broadcast_if_small(huge)
+        inner = blocks_.join(huge, "root", "left_semi").select("id", "rows")
+        runs = stored(runs.join(inner, "id"), "runs")
+        sizes = runs.groupBy("tree", "head").agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(id))").alias("x"))
         # Orders that bring the same documents together count once.
-        once = stored(sizes.filter("n > 1").groupBy("head", "n", "x").agg(F.min("tree").alias("tree")), "run-sizes")
-        over = once.filter(F.col("n") > REGION).select("tree", "head", "n")
+        once = stored(sizes.filter("m > 1").groupBy("head", "m", "x").agg(F.min(F.struct("tree", "n")).alias("t")).select("t.tree", "head", "t.n"), "run-sizes")
+        over = stored(once.filter(F.col("n") > REGION), "over")
         block = F.xxhash64("tree", "head").alias("block")
-        large = runs.join(F.broadcast(over), ["tree", "head"]).select("id", block, "n")
+        large = runs.select("tree", "head", "id", "rows").join(broadcast_if_small(over), ["tree", "head"]).select("id", block, "n", "rows")
         # Dropped first, so that the other join has no hot key.
-        hot = sizes.filter(F.col("n") > REGION).select("tree", "head")
-        rest = runs.join(F.broadcast(hot), ["tree", "head"], "left_anti").join(once, ["tree", "head"]).select("id", block)
-        members = blocks_.join(F.broadcast(huge), "root", "left_anti").select("id", F.col("root").alias("block")).union(rest)
-    found = _confirmed(docs, members, width, percent)
+        hot = stored(sizes.filter(F.col("n") > REGION).select("tree", "head"), "hot")
+        rest = runs.join(broadcast_if_small(hot), ["tree", "head"], "left_anti").select("tree", "head", "id").join(once.select("tree", "head"), ["tree", "head"]).select("id", block)
+        members = blocks_.join(huge, "root", "left_anti").select("id", F.col("root").alias("block")).union(rest)
+    sets = _Sets(docs, width, second)
+    found = _confirmed(sets, members, percent)
     if split:
         if over.limit(1).count():
-            found = _between_parts(docs, stored(large, "large-runs"), found, width, percent)
+            found = _between_parts(sets, stored(large, "large-runs"), found, percent)
         found = connected(found, "id", "root")
     roots = found.filter("root <> id").select(F.col("id").alias("rep"), F.col("root"))
     rep = sketched.select("doc_id", *key).join(classes.select(*key, F.col("id").alias("rep")), key, "left")
@@ -241,24 +254,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """members with the column elements: the shingles of the document of each id."""
-    members = stored(members, "members")
-    columns, schema = members.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
-    if members.count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(members, "id")
+class _Sets:
+    """The shingles of documents, made from their texts as they are asked for."""
 
-    def to_sets(batches):
-        for b in small(batches):
-            buf, offsets = text_buffer(b.column(len(columns)))
-            out = []
-            for i, j in blocks(offsets):
-                h, cuts = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                out += [h[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(out, pa.binary())], [*columns, "elements"])
+    def __init__(self, docs: DataFrame, width: int, hasher: Hasher):
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        self.width, self.hasher = width, hasher
+
+    def of(self, members: DataFrame) -> DataFrame:
+        """members with the column elements: the shingles of the document of each id."""
+        members, width, hasher = stored(members, "members"), self.width, self.hasher
+        columns, schema = members.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
 
-    return texts.select(*columns, "text").mapInArrow(to_sets, f"{schema}, elements binary")
+        def to_sets(batches):
+            for b in small(batches):
+                buf, offsets = text_buffer(b.column(len(columns)))
+                out = []
+                for i, j in blocks(offsets):
+                    h, cuts = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, hasher)
+                    out += [h[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(out, pa.binary())], [*columns, "elements"])
+
+        return self.texts.join(broadcast_if_small(members), "id").select(*columns, "text").mapInArrow(to_sets, f"{schema}, elements binary")
 
 
 def _first_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -268,7 +285,7 @@ def _first_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
     return ids, at, [np.frombuffer(elements[int(k)].as_py(), np.uint64) for k in at]
 
 
-def _confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(sets_: _Sets, members: DataFrame, percent: int) -> DataFrame:
     """(id, root) within each block. members: (id, block), and known if what has one value of it is linked already."""
 
     def judge(table: pa.Table) -> pa.Table:
@@ -278,11 +295,13 @@ def _confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
         np.minimum.at(least, root, ids)
         return pa.table([pa.array(ids), pa.array(least[root])], ["id", "root"])
 
-    return stored(_sets(docs, members, width).groupBy("block").applyInArrow(judge, "id long, root long"), "confirmed")
+    return stored(sets_.of(members).groupBy("block").applyInArrow(judge, "id long, root long"), "confirmed")
+
 
+def _between_parts(sets_: _Sets, large: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """found and all links between components within runs of more than REGION rows. large: (id, block, n, rows).
 
-def _between_parts(docs: DataFrame, large: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
-    """found and all links between components within runs of more than REGION documents. large: (id, block, n).
+    rows: 1, or more for a document of very many shingles; n: their sum over the run.
 
     A run is dealt by hash to parts of about REGION / 2. Each part is confirmed together with the run's
     HUBS most central documents, which joins what are copies of one document in one pass. As in
@@ -307,24 +326,25 @@ def _between_parts(docs: DataFrame, large: DataFrame, found: DataFrame, width: i
         best = np.argsort(-score, kind="stable")[:HUBS]
         return pa.table([pa.array(ids[best]), table["run"].take(pa.array(at[best])), pa.array(score[best])], ["id", "run", "score"])
 
-    runs = large.select("id", F.col("block").alias("run"), "n", dealt("n", 1).alias("part"))
+    runs = large.select("id", F.col("block").alias("run"), "n", "rows", dealt("n", 1).alias("part"))
     part = F.xxhash64("run", "part").alias("block")
-    hubs = _sets(docs, runs.select("id", "run", part), width).groupBy("block").applyInArrow(central, "id long, run long, score double")
+    hubs = sets_.of(runs.select("id", "run", part)).groupBy("block").applyInArrow(central, "id long, run long, score double")
     order = Window.partitionBy("run").orderBy(F.desc("score"), "id")
     hubs = stored(hubs.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= HUBS).select("id", "run"), "hubs")
-    sizes = F.broadcast(large.select(F.col("block").alias("run"), "n").distinct())
+    sizes = broadcast_if_small(stored(large.select(F.col("block").alias("run"), "n").distinct(), "large-sizes"))
     seen = runs.select("id", part).union(hubs.join(sizes, "run").select("id", "run", every("n").alias("part")).select("id", part))
-    found = found.union(_confirmed(docs, seen, width, percent))
-    known = stored(runs.select("id", "run", "n", dealt("n", 2).alias("j")).join(connected(found, "id", "root").withColumnRenamed("root", "known"), "id"), "known")
-    most = known.groupBy("run", "known").count().groupBy("run").agg(F.max(F.struct("count", "known"))["known"].alias("most"))
-    outside = stored(known.join(F.broadcast(most), "run").filter("known <> most").select("id", "run", "n", "known"), "outside")
-    many = stored(outside.groupBy("run").agg(F.count(F.lit(1)).alias("m")), "outside-sizes")
+    found = found.union(_confirmed(sets_, seen, percent))
+    known = stored(runs.select("id", "run", "n", "rows", dealt("n", 2).alias("j")).join(connected(found, "id", "root").withColumnRenamed("root", "known"), "id"), "known")
+    most = stored(known.groupBy("run", "known").count().groupBy("run").agg(F.max(F.struct("count", "known"))["known"].alias("most")), "most")
+    outside = stored(known.join(broadcast_if_small(most), "run").filter("known <> most").select("id", "run", "n", "rows", "known"), "outside")
+    many = stored(outside.groupBy("run").agg(F.sum("rows").alias("m")), "outside-sizes")
     if not many.limit(1).count():
         return found
+    many = broadcast_if_small(many)
     block = F.xxhash64("run", "i", "j").alias("block")
-    own = outside.join(F.broadcast(many), "run").select("id", "run", "known", dealt("m", 3).alias("i"), every("n").alias("j"))
-    all_ = known.join(F.broadcast(many), "run").select("id", "run", "known", every("m").alias("i"), "j")
-    return found.union(_confirmed(docs, own.select("id", block, "known").union(all_.select("id", block, "known")), width, percent))
+    own = outside.join(many, "run").select("id", "run", "known", dealt("m", 3).alias("i"), every("n").alias("j"))
+    all_ = known.join(many, "run").select("id", "run", "known", every("m").alias("i"), "j")
+    return found.union(_confirmed(sets_, own.select("id", block, "known").union(all_.select("id", block, "known")), percent))
 
 
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

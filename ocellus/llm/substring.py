@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import blocks, read_table, text_buffer
-from ocellus.llm.hashing import window_hashes, window_starts, word_bounds, word_hashes
-from ocellus.llm.keyexchange import SENT, answers, bucket_count, chunk_count, chunked, merged, ranges, send
+from ocellus.llm.common import blocks, read_table, stored, text_buffer
+from ocellus.llm.hashing import Hasher, fresh, window_starts, word_bounds
+from ocellus.llm.keyexchange import SENT, answers, bucket_count, chunk_count, chunked, merged, planes, ranges, send, unpack_keys, unplanes
 
 WINDOW = 35
 
 
-def chunk_windows(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chunk_windows(texts: pa.ChunkedArray, width: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each window, its first word's number in the chunk, words before each text)."""
     buf, offsets = text_buffer(texts)
     keys, at, before, done = [], [], [np.zeros(1, np.int64)], 0
@@ -25,7 +25,7 @@ def chunk_windows(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.nd
         starts, ends, counts = word_bounds(part, offs)
         inside = window_starts(counts, width)
         if inside.any():
-            keys.append(window_hashes(word_hashes(part, starts, ends), width)[inside])
+            keys.append(hasher.windows(hasher.words(part, starts, ends), width)[inside])
             at.append(np.flatnonzero(inside) + done)
         before.append(counts[1:] + done)
         done += len(starts)
@@ -56,36 +56,82 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, text_col: str = "text",
     kept words joined by one space; with ``whole``, a text that loses nothing is kept as it is. ``row`` has the columns ``keep`` (default: all but the text).
     Null and empty texts have no words; repeated rows repeat each other's windows, whatever their id.
 
-    Hashes are 64-bit Rabin-Karp polynomials of word hashes; among n windows about n * n / 2**65 pairs
-    of different ones share a hash. All are counted: a chunk sends each of its distinct hashes once,
-    with a bit for those that it has twice.
+    A first Rabin-Karp hash of every window is counted: a chunk sends each of its distinct hashes once,
+    with a bit for those that it has twice. Windows whose hash repeats are then sent with a second hash
+    of other bases, and count as repeated only if the pair does. Two different windows so are taken for
+    equal with a chance of about (width / 2**61)**2 over the seeds, 1e-33, whatever their words are.
+    Rows that are equal in all of ``keep`` and the text are dealt to one chunk, as a task must get the
+    same rows again.
     """
     chunks = chunk_count(docs)
     buckets = bucket_count(docs, chunks)
     texts = chunked(docs, chunks, text_col, keep)
+    first, second = fresh(), fresh()
+
+    def bits(x: np.ndarray) -> bytes:
+        return np.packbits(x).tobytes()
+
+    def unbits(x: bytes, n: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool)
 
     def emit(table: pa.Table) -> pa.Table:
-        keys, _, _ = chunk_windows(table["text"], width)
-        keys, n = np.unique(keys, return_counts=True)
-        return send(table["chunk"][0].as_py(), keys, buckets, lambda a, z: np.packbits(n[a:z] > 1).tobytes())
+        keys, n = np.unique(chunk_windows(table["text"], width, first)[0], return_counts=True)
+        return send(table["chunk"][0].as_py(), keys, buckets, lambda a, z: bits(n[a:z] > 1))
 
     def judge(table: pa.Table) -> pa.Table:
         keys, inverse, cuts, sent_by, twice = merged(table)
         repeated = np.bincount(inverse, minlength=len(keys)) > 1
-        for k, bits in enumerate(twice):
+        for k, x in enumerate(twice):
             own = inverse[cuts[k] : cuts[k + 1]]
-            repeated[own[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)]] = True
+            repeated[own[unbits(x, len(own))]] = True
         found = [(k, repeated[inverse[cuts[k] : cuts[k + 1]]]) for k in range(len(sent_by))]
         found = [(k, x) for k, x in found if x.any()]
-        return pa.table([pa.array([sent_by[k] for k, _ in found], pa.int32()), pa.array([table["bucket"][0].as_py()] * len(found), pa.int32()), pa.array([np.packbits(x).tobytes() for _, x in found], pa.binary())], ["chunk", "bucket", "answer"])
+        return pa.table([pa.array([sent_by[k] for k, _ in found], pa.int32()), pa.array([table["bucket"][0].as_py()] * len(found), pa.int32()), pa.array([bits(x) for _, x in found], pa.binary())], ["chunk", "bucket", "answer"])
 
-    def apply(table: pa.Table, told: pa.Table) -> pa.Table:
-        hashes, at, before = chunk_windows(table["text"], width)
+    def repeats(hashes: np.ndarray, told: pa.Table) -> np.ndarray:
+        """Which windows have a hash that repeats."""
         keys, inverse = np.unique(hashes, return_inverse=True)
         repeated, cuts = np.zeros(len(keys), bool), ranges(keys, buckets)
-        for b, bits in answers(told):
-            repeated[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[b + 1] - cuts[b])
-        gone = covered(at[repeated[inverse]], width, int(before[-1]))
+        for b, x in answers(told):
+            if b >= 0:
+                repeated[cuts[b] : cuts[b + 1]] = unbits(x, cuts[b + 1] - cuts[b])
+        return repeated[inverse]
+
+    def pairs(table: pa.Table, told: pa.Table) -> pa.Table:
+        """The pairs of hashes of windows whose first hash repeats, to the first hash's bucket."""
+        if not told.num_rows or not table.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], ["bucket", "chunk", "keys", "extra"])
+        x = chunk_windows(table["text"], width, first)[0]
+        some = np.flatnonzero(repeats(x, told))
+        x, y = x[some], chunk_windows(table["text"], width, second)[0][some]
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        at = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        n, x, y = np.diff(np.append(at, len(x))), x[at], y[at]
+        return send(table["chunk"][0].as_py(), x, buckets, lambda a, z: planes(y[a:z]) + bits(n[a:z] > 1))
+
+    def refute(table: pa.Table) -> pa.Table:
+        """Pairs that do not repeat, although their first hash does: none, but for chance."""
+        x = [unpack_keys(k) for k in table["keys"].to_pylist()]
+        sizes = [len(k) for k in x]
+        y = [unplanes(e[: 8 * n], np.uint64) for e, n in zip(table["extra"].to_pylist(), sizes)]
+        twice = np.concatenate([unbits(e[8 * n :], n) for e, n in zip(table["extra"].to_pylist(), sizes)])
+        x, y, by = np.concatenate(x), np.concatenate(y), np.repeat(table["chunk"].to_numpy(), sizes)
+        order = np.lexsort((y, x))
+        x, y, by, twice = x[order], y[order], by[order], twice[order]
+        at = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        alone = at[(np.diff(np.append(at, len(x))) == 1) & ~twice[at]]
+        return pa.table([pa.array(by[alone].astype(np.int32)), pa.array(np.full(len(alone), -1, np.int32)), pa.array([np.array([a, b], "<u8").tobytes() for a, b in zip(x[alone], y[alone])], pa.binary())], ["chunk", "bucket", "answer"])
+
+    def apply(table: pa.Table, told: pa.Table) -> pa.Table:
+        hashes, at, before = chunk_windows(table["text"], width, first)
+        repeated = repeats(hashes, told)
+        wrong = {x for b, x in answers(told) if b < 0}
+        if wrong:
+            other = chunk_windows(table["text"], width, second)[0]
+            for k in np.flatnonzero(repeated):
+                repeated[k] = np.array([hashes[k], other[k]], "<u8").tobytes() not in wrong
+        gone = covered(at[repeated], width, int(before[-1]))
         n_removed = np.concatenate([[0], np.cumsum(gone)])
         n_removed = n_removed[before[1:]] - n_removed[before[:-1]]
         texts, runs = [], []
@@ -106,6 +152,9 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, text_col: str = "text",
 
     sent = texts.groupBy("chunk").applyInArrow(emit, SENT)
     told = sent.groupBy("bucket").applyInArrow(judge, "chunk int, bucket int, answer binary")
+    told = stored(told, "repeated-windows")
+    wrong = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(pairs, SENT).groupBy("bucket").applyInArrow(refute, told.schema)
+    told = told.union(wrong)
     schema = f"row {texts.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept_text string, removed array<struct<start:int,stop:int>>"
     return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(apply, schema)
 
