@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocellus.llm import langid, mixing, neardup, packing, substring
-from ocellus.llm.common import read_table, stored
+from ocellus.llm.common import broadcast_if_small, read_table, stored
 from ocellus.llm.tokens import default_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -14,9 +14,9 @@ LEAST_SHARE = 0.5
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't in ``gone``; by broadcast if gone has few rows, else both sides are dealt by id."""
+    """docs whose doc_id isn't in ``gone``; by broadcast if gone is small, else both sides are dealt by id."""
     gone = stored(gone.select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= neardup.BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +43,9 @@ def own_ids(docs: DataFrame) -> DataFrame:
     """
     of = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.xxhash64("text")).alias("first"))
     repeated = stored(of.filter("rows > 1").select("doc_id", "first"), "repeated")
-    n = repeated.count()
-    if not n:
+    if not repeated.limit(1).count():
         return docs.select(*COLUMNS, F.col("doc_id").alias("own"))
-    if n <= neardup.BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
+    repeated = broadcast_if_small(repeated)
     once = docs.join(repeated, "doc_id", "left_anti").select(*COLUMNS, F.col("doc_id").alias("own"))
     rest = docs.join(repeated, "doc_id").groupBy("doc_id", "text", "first").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
     further = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
@@ -63,7 +61,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = own_ids(docs)
     found = neardup.near_duplicates(docs.select(F.col("own").alias("doc_id"), "text"), width=5, percent=80)
     gone = stored(found.filter("NOT kept").select("doc_id").distinct(), "gone").withColumnRenamed("doc_id", "own")
-    return docs.join(F.broadcast(gone) if gone.count() <= neardup.BROADCAST_ROWS else gone, "own", "left_anti").select(COLUMNS)
+    return docs.join(broadcast_if_small(gone), "own", "left_anti").select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
