@@ -1,9 +1,10 @@
 """Plain versions of the operators, to hold them against."""
 
+import hashlib
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import combinations
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,3 +96,62 @@ def interpolated(docs, role, level, weights=None):
             score += math.log10(a * (bi[h, w] / ctx[h] if ctx[h] else 0) + b * uni[w] / max(1, n) + c / (v + 1))
         out[k] = (len(t), sum(uni[w] > 0 for w in t), base, score)
     return out, weights, n
+
+
+def mixed(docs, mixing):
+    """id -> (source, lang, topic, probability, kept) of (id, text, lang, source), with the constants of ``mixing``."""
+    label = lambda v: "?" if v is None else "?" * v.startswith("?") + v
+    x, weight = {}, {}
+    for k, t, _, _ in docs:
+        t = t or ""
+        weight[k] = len(words(t))
+        x[k] = [len(re.findall(p, t)) / max(1, len(t)) for p in mixing.FORMS.values()] + [weight[k] / max(1, len(t))]
+    n = len(mixing.FORMS) + 1
+    mean = [round(sum(v[j] for v in x.values()) / len(x), 6) for j in range(n)]
+    dev = [round((sum((v[j] - sum(u[j] for u in x.values()) / len(x)) ** 2 for v in x.values()) / len(x)) ** 0.5, 6) or 1.0 for j in range(n)]
+    x = {k: [(v[j] - mean[j]) / dev[j] for j in range(n)] for k, v in x.items()}
+    centers = [[2.0 if k == j + 1 else 0.0 for j in range(n)] for k in range(n + 1)]
+
+    def nearest(v):
+        return min(range(n + 1), key=lambda c: (sum((a - b) ** 2 for a, b in zip(v, centers[c])), c))
+
+    for _ in range(mixing.TOPIC_ROUNDS):
+        own = defaultdict(list)
+        for v in x.values():
+            own[nearest(v)].append(v)
+        for c, vs in own.items():
+            centers[c] = [round(sum(v[j] for v in vs) / len(vs), 6) for j in range(n)]
+    cell = {k: (label(s), label(g), "none" if t is None else mixing.TOPICS[nearest(x[k])]) for k, t, g, s in docs}
+    mass = Counter()
+    for k, c in cell.items():
+        mass[c] += weight[k]
+    mass = {c: m for c, m in mass.items() if m}
+    targets = []
+    for a in range(3):
+        shares = Counter()
+        for c, m in mass.items():
+            shares[c[a]] += m
+        total = sum(v**mixing.TEMPERATURE for v in shares.values())
+        targets.append({v: m**mixing.TEMPERATURE / total for v, m in shares.items()})
+    fitted = dict(mass)
+    for _ in range(400):
+        for a in range(3):
+            sums = Counter()
+            for c, f in fitted.items():
+                sums[c[a]] += f
+            fitted = {c: f * targets[a][c[a]] / sums[c[a]] for c, f in fitted.items()}
+    scale = top = max(mass[c] / fitted[c] for c in mass)
+    for k in range(mixing.SCALES):
+        scale = top * mixing.STEP**k
+        given = {c: min(mass[c], scale * fitted[c]) for c in mass}
+        off = 0.0
+        for a in range(3):
+            sums = Counter()
+            for c, g in given.items():
+                sums[c[a]] += g
+            off = max(off, *(abs(s / sum(given.values()) - targets[a][v]) for v, s in sums.items()))
+        if round(off, 9) <= mixing.BOUND:
+            break
+    p = {c: min(1.0, scale * fitted[c] / mass[c]) for c in mass}
+    chance = lambda k: int(hashlib.md5(f"{k}:0".encode()).hexdigest()[:13], 16) / 2**52
+    return {k: (*c, p.get(c, 1.0), chance(k) < p.get(c, 1.0)) for k, c in cell.items()}
