@@ -13,7 +13,7 @@ from ocellus.llm.hashing import Hasher, fresh, mix, window_starts, word_bounds
 
 _U = np.uint64
 TREES, LEAST_DEPTH, DEPTH, SPARSE = 35, 4, 5, 64
-REGION, REGION_ELEMENTS, HUBS = 1024, 1 << 21, 16
+REGION, REGION_ELEMENTS, HUBS = 4096, 1 << 22, 16
 ORDER_ROWS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint32) | np.uint32(1)
