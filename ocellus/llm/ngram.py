@@ -18,7 +18,7 @@ END = _U(PRIME)  # words are below it
 BIGRAM, WORD, BEGIN = 0, 1, 2  # low bits of keys; the begin of a text only is a context
 _BEGIN = _U(PRIME << 3 | BEGIN)
 RETAINED, HELD, UNSEEN = 0, 1, 2  # roles of documents: estimates, weights, neither
-LEVELS, OCTAVE, GRID = 25, 16, 1024
+LEVELS, OCTAVE, GRID = 25, 8, 512
 CHUNK_ROWS = 1250  # two keys a word, each with two counts, are held for a chunk
 
 
@@ -94,8 +94,8 @@ def score(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str =
     and then give counts too, 2 for those that teach nothing. A null text has only the end token.
     Unigram and bigram counts cover all training documents, without a frequency cut. The weights come
     from held-out tokens under the counts of role 0: events of one context bucket whose probabilities lie
-    in one sixteenth of an octave each are summed in Spark with their number and both means, so EM runs
-    over a table of bounded size and sees the exact probabilities to second order in that sixteenth.
+    in one eighth of an octave each are summed in Spark with their number and both means, so EM runs
+    over a table of bounded size and sees the exact probabilities to second order in that eighth.
     Counts have 64 bits. Words and bigrams are told apart by one hash modulo 2**61 - 1 under this run's
     seed: among n different ones about n * n / 2**62 pairs share their count.
     With no training document every estimate but the uniform one is 0; the base score is
@@ -147,7 +147,7 @@ def score(docs: DataFrame, role: Column, id_col: str = "doc_id", text_col: str =
     def observe(table: pa.Table, told: pa.Table) -> pa.Table:
         _, unigram, bigram, context, counts = looked_up(table, told)
         c = counts[RETAINED]
-        # Bins: 0 for probability 0, else 1 + the sixteenth of an octave below 1.
+        # Bins: 0 for probability 0, else 1 + the eighth of an octave below 1.
         p2 = np.divide(c[bigram], c[context], out=np.zeros(len(bigram)), where=c[context] > 0)
         p1 = c[unigram] / max(1, n_ret)
         b2, b1 = (np.where(p > 0, 1 + np.minimum(GRID - 2, np.rint(-OCTAVE * np.log2(np.where(p > 0, p, 1)))), 0).astype(np.int64) for p in (p2, p1))
