@@ -7,29 +7,29 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ocellus.llm.common import read_table, shuffle_partitions, small, small_batches, stored
+from ocellus.llm.common import broadcast_if_small, read_table, shuffle_partitions, small, small_batches, stored
 from ocellus.llm.tokens import arrow_bytes, default_path, tokenizer
 
-MAGIC = b"EFIDS1\0\0"
+MAGIC = b"EFIDS2\0\0"
 _HEAD = struct.Struct("<8sQQBBHI")
 SAMPLE = 256
-SHARD_BYTES = 400_000
+SHARD_BYTES, SHARD_DOCS = 400_000, 20_000
+BORDERS = 10_000
 
 
 class EliasFano:
-    """A non-decreasing sequence of n values up to u in about n * (2 + log2(u / n)) bits.
+    """A non-decreasing sequence of n values up to u in about n * (2 + log2(u / n)) bits, and n / 8 for select.
 
-    Low bits lie packed; high bits are unary: bit (v >> low) + i is set for value i. select1 gives the
-    i-th set bit from a sampled directory (one entry for each 256 ones) and a scan of 64-bit words.
+    Low bits lie packed; high bits are unary: bit (v >> low) + i is set for value i. The place of every
+    256th set bit is stored with it (``samples``, 32 bits each); select goes from there over 64-bit words by their
+    numbers of set bits. No table of all values or ranks is made: ``select`` answers a batch of places.
     """
 
-    def __init__(self, n: int, universe: int, low: int, lows: np.ndarray, highs: np.ndarray):
-        self.n, self.universe, self.low, self.lows, self.highs = n, universe, low, lows, highs
-        self._ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(highs), dtype=np.int64)])
-        self._samples = np.searchsorted(self._ranks, np.arange(0, max(n, 1), SAMPLE), side="right") - 1
+    def __init__(self, n: int, universe: int, low: int, lows: np.ndarray, highs: np.ndarray, samples: np.ndarray):
+        self.n, self.universe, self.low, self.lows, self.highs, self.samples = n, universe, low, lows, highs, samples
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -37,52 +37,61 @@ class EliasFano:
         n, universe = len(v), int(v[-1]) if len(v) else 0
         low = max(0, (universe // n).bit_length() - 1) if n else 0
         bits = ((v[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
-        lows = _to_words(bits.reshape(-1))
+        at = (v >> np.uint64(low)).astype(np.int64) + np.arange(n)
         marks = np.zeros((universe >> low) + n + 1 if n else 0, np.uint8)
-        if n:
-            marks[(v >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, universe, low, lows, _to_words(marks))
-
-    def select1(self, i: int) -> int:
-        """Position of the i-th set bit, from 0."""
-        at = int(self._samples[i // SAMPLE])
-        while self._ranks[at + 1] <= i:
-            at += 1
-        word = int(self.highs[at])
-        for _ in range(i - int(self._ranks[at])):
-            word &= word - 1
-        return 64 * at + (word & -word).bit_length() - 1
+        marks[at] = 1
+        return cls(n, universe, low, _to_words(bits.reshape(-1)), _to_words(marks), at[::SAMPLE].astype("<u4"))
+
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """Positions of the i-th set bits, from 0; ``i`` ascends.
+
+        From the sample before each, one word forward at a time for all that haven't met theirs; then the bit within the word
+        by halves.
+        """
+        i = np.asarray(i, np.int64)
+        start = self.samples[i // SAMPLE].astype(np.int64)
+        at, left = start >> 6, i % SAMPLE
+        word = self.highs[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) << (start & 63).astype(np.uint64))
+        todo = np.arange(len(i))
+        while len(todo):
+            ones = np.bitwise_count(word[todo]).astype(np.int64)
+            todo, ones = todo[left[todo] >= ones], ones[left[todo] >= ones]
+            left[todo] -= ones
+            at[todo] += 1
+            word[todo] = self.highs[at[todo]]
+        bit = np.zeros(len(i), np.uint64)
+        for width in (32, 16, 8, 4, 2, 1):
+            below = np.bitwise_count((word >> bit) & np.uint64((1 << width) - 1)).astype(np.int64)
+            further = left >= below
+            left -= np.where(further, below, 0)
+            bit += np.where(further, np.uint64(width), np.uint64(0))
+        return (at << 6) + bit.astype(np.int64)
+
+    def values(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values; ``i`` ascends."""
+        i = np.asarray(i, np.int64)
+        high = (self.select(i) - i) << self.low
+        if not self.low:
+            return high
+        at = i * self.low
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        low = self.lows[word] >> shift
+        over = np.flatnonzero(shift.astype(np.int64) + self.low > 64)
+        low[over] |= self.lows[word[over] + 1] << (np.uint64(64) - shift[over])
+        return high | (low & np.uint64((1 << self.low) - 1)).astype(np.int64)
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
-        return ((self.select1(i) - i) << self.low) | self._low(i)
-
-    def _low(self, i: int) -> int:
-        if not self.low:
-            return 0
-        at, shift = divmod(i * self.low, 64)
-        word = int(self.lows[at]) >> shift
-        if shift + self.low > 64:
-            word |= int(self.lows[at + 1]) << (64 - shift)
-        return word & ((1 << self.low) - 1)
-
-    def all(self) -> np.ndarray:
-        """All values by vector operations."""
-        marks = np.flatnonzero(np.unpackbits(self.highs.view(np.uint8), bitorder="little"))[: self.n]
-        high = (marks - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
-        if not self.low:
-            return high.astype(np.int64)
-        bits = np.unpackbits(self.lows.view(np.uint8), bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
-        return (high | (bits.astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(1, dtype=np.uint64)).astype(np.int64)
+        return int(self.values(np.array([i]))[0])
 
     def dumps(self) -> bytes:
-        return struct.pack("<QQQQQ", self.n, self.universe, self.low, len(self.lows), len(self.highs)) + self.lows.astype("<u8").tobytes() + self.highs.astype("<u8").tobytes()
+        return struct.pack("<QQQQQ", self.n, self.universe, self.low, len(self.lows), len(self.highs)) + self.lows.astype("<u8").tobytes() + self.highs.astype("<u8").tobytes() + self.samples.tobytes()
 
     @classmethod
     def loads(cls, data: bytes) -> EliasFano:
         n, universe, low, a, b = struct.unpack_from("<QQQQQ", data)
-        return cls(n, universe, low, np.frombuffer(data, "<u8", a, 40), np.frombuffer(data, "<u8", b, 40 + 8 * a))
+        return cls(n, universe, low, np.frombuffer(data, "<u8", a, 40), np.frombuffer(data, "<u8", b, 40 + 8 * a), np.frombuffer(data, "<u4", -(-n // SAMPLE), 40 + 8 * (a + b)))
 
 
 def _to_words(bits: np.ndarray) -> np.ndarray:
@@ -91,7 +100,7 @@ def _to_words(bits: np.ndarray) -> np.ndarray:
 
 
 def write_shard(ids: list[bytes], width: int) -> bytes:
-    """A shard file: header, Elias-Fano coded ends of the documents, then all ids of ``width`` bytes each."""
+    """A shard file: header, Elias-Fano coded ends of the documents with its select samples, then all ids of ``width`` bytes each."""
     ends = EliasFano.build(np.cumsum([len(x) // width for x in ids]) if ids else np.zeros(0)).dumps()
     body = b"".join(ids)
     return _HEAD.pack(MAGIC, len(ids), len(body) // width, width, 0, 0, len(ends)) + ends + body
@@ -113,71 +122,88 @@ class Shard:
     def __getitem__(self, i: int) -> np.ndarray:
         return self.ids[self.ends[i - 1] if i else 0 : self.ends[i]]
 
+    def offsets(self, first: int, stop: int) -> np.ndarray:
+        """Where documents first .. stop - 1 begin, and where the last ends: a batch of selects."""
+        ends = self.ends.values(np.arange(max(0, first - 1), stop))
+        return ends if first else np.append(0, ends)
 
-def token_ids(docs: DataFrame, path: str, end_id: int, borders: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(shard, doc_id, ids binary): the ids of each whole text and the end id, little-endian. Null texts: the end id.
 
-    shard: the range among the sorted ``borders`` in which the document's id lies; null ids are in the first.
-    """
+def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids binary): the ids of each whole text and the end id, little-endian. Null texts: the end id."""
     small_batches(docs)
-    borders = np.zeros(0, np.int64) if borders is None else borders
 
     def run(batches):
         t = tokenizer(path)
         end = np.array([end_id], t.dtype).tobytes()
         for b in small(batches):
-            ids = b.column(0)
-            at = np.searchsorted(borders, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), ids, pa.array([x.tobytes() + end for x in t.encode_batch(arrow_bytes(b.column(1)))], pa.binary())], ["shard", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() + end for x in t.encode_batch(arrow_bytes(b.column(1)))], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "shard int, doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, end_id: int, shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Shard files of consecutive doc ids, as a stored table (shard, file, doc_ids, n_ids, data).
 
-    Shards are ranges of doc ids with about equal numbers of documents: the borders are approximate
-    quantiles of the id column alone, so the texts are tokenized once and only ids are shuffled. Each range
-    is cut into files of about ``shard_bytes``, as huge values fragment the heap.
-    Within a shard documents lie in ascending id order; ties lie in the order of their ids' bytes, and
-    null ids come first. An empty table gives no shard.
+    Shards are ranges of the order (doc_id, hash of the ids, ids), of about ``shard_docs`` documents
+    each, two for each shuffle partition at least, by Spark's range partitioning over (doc_id, hash): their number follows the
+    number of documents, and rows that repeat an id are split like others, but for those whose ids are
+    equal too. Texts are tokenized once and stored as ids, and only ids are shuffled. A shard streams
+    through its task and is cut into files of about ``shard_bytes``, so a task holds one file. Null ids come first. An
+    empty table gives no shard.
     """
     spark = docs.sparkSession
-    shards = shards or max(2 * shuffle_partitions(spark), 1)
-    borders = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / shards for k in range(shards + 1)], 10000)).head()[0] or []
-    borders = np.unique(np.array(borders[1:-1], np.int64))
     width = tokenizer(path).width
+    ids = stored(token_ids(docs, path, end_id), "token-ids")
+    shards = max(2 * shuffle_partitions(spark), -(-ids.count() // shard_docs))
+    order = ["doc_id", "h", "ids"]
+    ranged = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions(*order)
 
-    def build(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["doc_id"].to_pylist(), table["ids"].to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        sizes = np.cumsum([len(r[1]) for r in rows]) // shard_bytes
-        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(rows)]
-        parts = [rows[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
-        own = [[r[1] for r in p] for p in parts]
-        return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(parts), pa.int32()), "file": pa.array(range(len(parts)), pa.int32()), "doc_ids": pa.array([[r[0] for r in p] for p in parts], pa.list_(pa.int64())), "n_ids": pa.array([sum(map(len, x)) // width for x in own], pa.int64()), "data": pa.array([write_shard(x, width) for x in own], pa.binary())})
+    def build(batches):
+        from pyspark import TaskContext
 
-    return stored(token_ids(docs, path, end_id, borders).groupBy("shard").applyInArrow(build, "shard int, file int, doc_ids array<bigint>, n_ids bigint, data binary"), "id-shards")
+        part, file, size = TaskContext.get().partitionId(), 0, 0
+        docs_: list[int | None] = []
+        own: list[bytes] = []
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([docs_], pa.list_(pa.int64())), pa.array([sum(map(len, own)) // width], pa.int64()), pa.array([write_shard(own, width)], pa.binary())], ["shard", "file", "doc_ids", "n_ids", "data"])
+
+        for b in batches:
+            for doc, x in zip(b.column(0).to_pylist(), b.column(1)):
+                docs_.append(doc)
+                own.append(x.as_py())
+                size += len(own[-1])
+                if size >= shard_bytes:
+                    yield close()
+                    file, size, docs_, own = file + 1, 0, [], []
+        if own:
+            yield close()
+
+    return stored(ranged.select("doc_id", "ids").mapInArrow(build, "shard int, file int, doc_ids array<bigint>, n_ids bigint, data binary"), "id-shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the shard files' bytes.
 
-    start counts all ids before the document, over all shards: a running sum over one row a shard.
+    start counts all ids before the document: ids of the shards before, summed over one row a shard, ids
+    of the shard's files before, and the offset that select gives.
     """
-    from pyspark.sql import Window
-
-    before = shards.select("shard", "file", (F.sum("n_ids").over(Window.orderBy("shard", "file")) - F.col("n_ids")).alias("before"))
+    within = Window.partitionBy("shard").orderBy("file")
+    files = shards.select("shard", "file", "n_ids", (F.sum("n_ids").over(within) - F.col("n_ids")).alias("own"))
+    totals = stored(shards.groupBy("shard").agg(F.sum("n_ids").alias("total")), "shard-totals")  # one row a shard
+    before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("first"))
+    places = stored(files.join(broadcast_if_small(stored(before, "shard-starts")), "shard").select("shard", "file", (F.col("own") + F.col("first")).alias("before")), "file-starts")
 
     def run(batches):
         for b in batches:
             for ids, before_, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 shard = Shard(data.as_py())
-                ends = shard.ends.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                crcs = [zlib.crc32(shard.ids[a:z].astype("<u4").tobytes()) for a, z in zip(starts, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts + before_), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for at in range(0, len(shard), 4096):
+                    cuts = shard.offsets(at, min(at + 4096, len(shard)))
+                    crcs = [zlib.crc32(shard.ids[a:z].astype("<u4").tobytes()) for a, z in zip(cuts[:-1], cuts[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 4096], pa.int64()), pa.array(cuts[:-1] + before_), pa.array(np.diff(cuts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(before, ["shard", "file"]).select("doc_ids", "before", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.join(broadcast_if_small(places), ["shard", "file"]).select("doc_ids", "before", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
