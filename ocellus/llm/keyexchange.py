@@ -24,8 +24,8 @@ SENT = "bucket int, chunk int, keys binary, extra binary"
 
 
 def chunk_count(docs: DataFrame, rows: int = CHUNK_ROWS) -> int:
-    """Two chunks for each shuffle partition, and one for each ``rows`` rows at least."""
-    return max(2 * shuffle_partitions(docs.sparkSession), -(-docs.count() // rows))
+    """One chunk for each shuffle partition, and one for each ``rows`` rows at least."""
+    return max(shuffle_partitions(docs.sparkSession), -(-docs.count() // rows))
 
 
 def bucket_count(docs: DataFrame, chunks: int) -> int:
