@@ -34,6 +34,20 @@ def index_dataset(spark: SparkSession, a: argparse.Namespace) -> None:
     index.save(out, a.output)
 
 
+def binarize(spark: SparkSession, a: argparse.Namespace) -> None:
+    """An index with its words' signs packed beside or, with --drop, instead of the values."""
+    index = spark.read.parquet(a.index).withColumn("bits", vec.pack_signs(F.col("fv")))
+    (index.drop("fv") if a.drop else index).write.mode("overwrite").parquet(a.output)
+
+
+def point_index(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Each local descriptor's word, weight, residual and bits."""
+    model = binary.read_gmm(spark, a.gmm) if a.gmm_format == "binary" else spark.read.parquet(a.gmm)
+    desc = _descriptors(spark, a.descriptors, a.format).withColumn("vec_id", F.xxhash64("path", "feat_id"))
+    points = gmm.point_index(gmm.posterior(desc, model), model)
+    points.join(desc.select("vec_id", "path", "feat_id"), "vec_id").write.mode("overwrite").parquet(a.output)
+
+
 def join_indexes(spark: SparkSession, a: argparse.Namespace) -> None:
     parts = [spark.read.parquet(p) for p in a.inputs]
     index.concatenated(parts, a.item).write.mode("overwrite").parquet(a.output)
@@ -47,8 +61,7 @@ def retrieve(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.groups:
         short = scoring.search(q, d, scoring.QueryParams(**{**p.__dict__, "top_k": a.rerank}))
         members = binary.read_groups(spark, a.groups).select(F.col("scene_id").alias("group_id"), F.col("shot_id").alias("member_id"))
-        second = scoring.search(q, spark.read.parquet(a.second), scoring.QueryParams(**{**p.__dict__, "top_k": 1 << 30}))
-        first = scoring.rerank(short, members, second, a.rerank, a.output_results)
+        first = scoring.rescore(short, members, *scoring.prepared(q, spark.read.parquet(a.second), p), a.rerank, a.output_results)
     first.write.mode("overwrite").parquet(a.output)
 
 
@@ -83,6 +96,8 @@ def parser() -> argparse.ArgumentParser:
 
     need = lambda n: ((n,), {"required": True})
     command(index_dataset, need("--descriptors"), need("--gmm"), need("--output"), (("--shots",), {}), (("--format",), {"choices": ["table", "siftb", "siftgeo"], "default": "table"}), (("--gmm-format",), {"choices": ["table", "binary"], "default": "table"}), (("--intra-normalization",), {"action": "store_true"}), (("--power",), {"type": float, "default": 0.5}))
+    command(binarize, need("--index"), need("--output"), (("--drop",), {"action": "store_true"}))
+    command(point_index, need("--descriptors"), need("--gmm"), need("--output"), (("--format",), {"choices": ["table", "siftb", "siftgeo"], "default": "table"}), (("--gmm-format",), {"choices": ["table", "binary"], "default": "table"}))
     command(join_indexes, (("inputs",), {"nargs": "+"}), need("--output"), (("--item",), {"default": "item_id"}))
     command(retrieve, need("--queries"), need("--database"), need("--output"), (("--mode",), {"choices": ["off", "qags", "dags", "sgs"], "default": "qags"}), (("--threshold",), {"type": float, "default": 0.0}), (("--power",), {"type": float, "default": 0.5}), (("--min-words",), {"type": int, "default": 0}), (("--word-dim",), {"type": int, "default": 32}), (("--words",), {"type": int, "default": 512}), (("--output-results",), {"type": int, "default": 100}), (("--groups",), {}), (("--second",), {}), (("--rerank",), {"type": int, "default": 100}))
     command(retrieve_bloom, need("--points"), need("--queries"), need("--output"), need("--positions"), (("--alpha",), {"type": float, "default": 0.5}), (("--exact-idf",), {"action": "store_true"}), (("--output-results",), {"type": int, "default": 100}))

@@ -56,23 +56,26 @@ def _partial(rows: DataFrame, vector: str, assign, width: int) -> np.ndarray:
     return np.array([[out.get((k, j), 0.0) for j in range(width)] for k in range(n)])
 
 
-def kmeans(rows: DataFrame, k: int, vector: str = "d", rounds: int = 20, redo: int = 1, seed: int = 0, tolerance: float = 1e-9, spread: bool = True, unit: bool = False, metric: str = "l2") -> tuple[np.ndarray, float]:
+def kmeans(rows: DataFrame, k: int, vector: str = "d", rounds: int = 20, redo: int = 1, seed: int = 0, tolerance: float = 1e-9, spread: bool = True, unit: bool = False, metric: str = "l2", initial: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """(centers, mean squared distance) of the best of ``redo`` runs of Lloyd's rounds.
 
     Seeds come from a bounded sample, spread by squared distance or uniform. An empty cluster takes half
     of the largest: its center a little to either side. A run stops when the error falls by less than
-    ``tolerance`` of itself. ``unit`` normalises centers. ``metric`` l1 assigns by absolute distance.
+    ``tolerance`` of itself. ``unit`` normalises centers. ``initial``: centers to begin with.
+    ``metric`` l1 assigns by absolute distance and takes medians, exactly, by one grouped percentile;
+    chi2 assigns by the chi-squared distance of non-negative vectors and takes means. Both need not the
+    squared error's sums, so the mean distance is what falls.
     """
     best: tuple[np.ndarray, float] | None = None
     for run in range(redo):
         rng = np.random.default_rng(seed + run)
         x = _sample(rows, vector, max(2000, 50 * k), seed + run)
-        centers = spread_seeds(x, k, rng) if spread else x[rng.permutation(len(x))[:k]]
+        centers = np.array(initial, float) if initial is not None else spread_seeds(x, k, rng) if spread else x[rng.permutation(len(x))[:k]]
         error, dim = math.inf, x.shape[1]
         for _ in range(rounds):
 
             def assign(v, c=centers):
-                d = np.abs(v[:, None] - c).sum(2) if metric == "l1" else (v * v).sum(1)[:, None] - 2 * v @ c.T + (c * c).sum(1)
+                d = _to_centers(v, c, metric)
                 own = d.argmin(1)
                 out = np.zeros((len(c), dim + 2))
                 np.add.at(out, own, np.column_stack([v, np.ones(len(v)), np.maximum(d[np.arange(len(v)), own], 0)]))
@@ -80,7 +83,9 @@ def kmeans(rows: DataFrame, k: int, vector: str = "d", rounds: int = 20, redo: i
 
             sums = _partial(rows, vector, assign, dim + 2)
             n, now = sums[:, dim], sums[:, dim + 1].sum() / max(1, sums[:, dim].sum())
-            centers = np.where(n[:, None] > 0, sums[:, :dim] / np.maximum(n, 1)[:, None], centers)
+            old, centers = centers, np.where(n[:, None] > 0, sums[:, :dim] / np.maximum(n, 1)[:, None], centers)
+            if metric == "l1":
+                centers = _medians(rows, vector, old, centers)
             for e in np.flatnonzero(n == 0):
                 big = int(n.argmax())
                 centers[e], centers[big] = centers[big] * (1 + 1e-4), centers[big] * (1 - 1e-4)
@@ -96,11 +101,45 @@ def kmeans(rows: DataFrame, k: int, vector: str = "d", rounds: int = 20, redo: i
     return best
 
 
-def gmm_fit(rows: DataFrame, k: int, vector: str = "d", rounds: int = 20, seed: int = 0, floor: float = 1e-10, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(weights, means, variances, mean log likelihood) of a diagonal mixture, by EM from k-means centers."""
-    mu, error = kmeans(rows, k, vector, rounds=5, seed=seed)
-    dim = mu.shape[1]
-    w, sigma, last = np.full(k, 1 / k), np.full((k, dim), max(error / dim, floor)), -math.inf
+def _to_centers(v: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of each row to each center."""
+    if metric == "l1":
+        return np.abs(v[:, None] - c).sum(2)
+    if metric == "chi2":
+        both = v[:, None] + c
+        return np.divide((v[:, None] - c) ** 2, both, out=np.zeros_like(both), where=both != 0).sum(2)
+    return (v * v).sum(1)[:, None] - 2 * v @ c.T + (c * c).sum(1)
+
+
+def _medians(rows: DataFrame, vector: str, centers: np.ndarray, default: np.ndarray) -> np.ndarray:
+    """Median of each cluster's elements, by absolute distance to ``centers``; ``default`` for empty clusters."""
+
+    def assign(batches):
+        for b in batches:
+            if b.num_rows:
+                own = _to_centers(np.array(b.column(0).to_pylist(), float), centers, "l1").argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0)], ["k", "v"])
+
+    long = rows.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(assign, "k int, v array<double>").select("k", F.posexplode("v").alias("j", "x"))
+    out = default.copy()
+    for r in long.groupBy("k", "j").agg(F.expr("percentile(x, 0.5)").alias("m")).collect():
+        out[r["k"], r["j"]] = r["m"]
+    return out
+
+
+def first_vectors(rows: DataFrame, key: str, k: int, vector: str = "d", start: int = 0) -> np.ndarray:
+    """The vectors of the k rows with the least keys of at least ``start``: centers that don't depend on chance."""
+    return np.array([r[0] for r in rows.filter(F.col(key) >= start).orderBy(key).limit(k).select(vector).collect()], float)
+
+
+def gmm_fit(rows: DataFrame, k: int, vector: str = "d", rounds: int = 20, seed: int = 0, floor: float = 1e-10, tolerance: float = 1e-5, initial: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(weights, means, variances, mean log likelihood) of a diagonal mixture, by EM from k-means centers or from ``initial``."""
+    if initial is None:
+        mu, error = kmeans(rows, k, vector, rounds=5, seed=seed)
+        w, sigma = np.full(k, 1 / k), np.full(mu.shape, max(error / mu.shape[1], floor))
+    else:
+        w, mu, sigma = (np.array(x, float) for x in initial)
+    dim, last = mu.shape[1], -math.inf
     for _ in range(rounds):
 
         def expect(v, w=w, mu=mu, sigma=sigma):
@@ -184,17 +223,17 @@ def hkm_assign(rows: DataFrame, tree: list[np.ndarray], branch: int, vector: str
     return rows.mapInArrow(run, ", ".join([*(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names), "node long"]))
 
 
-def cell_neighbours(queries: DataFrame, base: DataFrame, k: int, tables: int, cells: int, seed: int = 0) -> DataFrame:
+def cell_neighbours(queries: DataFrame, base: DataFrame, k: int, tables: int, cells: int, seed: int = 0, initial: list[np.ndarray] | None = None, rounds: int = 5) -> DataFrame:
     """query_id, base_id, dist, rank: exact neighbours among rows that share a k-means cell in one of ``tables`` tables.
 
-    queries: query_id, q. base: base_id, b. Centers of each table come from other seeds.
+    queries: query_id, q. base: base_id, b. Centers of each table come from other seeds, or from ``initial``.
     """
     from ocellus.operators.neighbours import _ranked
     from ocellus.functions import vec
 
     spark, found = base.sparkSession, []
     for t in range(tables):
-        centers = centers_frame(spark, kmeans(base.select(F.col("b").alias("d")), cells, rounds=5, seed=seed + t)[0])
+        centers = centers_frame(spark, kmeans(base.select(F.col("b").alias("d")), cells, rounds=rounds, seed=seed + t, initial=initial[t] if initial else None, tolerance=-1 if initial else 1e-9)[0])
         b = nearest(base.withColumnRenamed("b", "d"), centers).select("base_id", F.col("d").alias("b"), "k")
         q = nearest(queries.withColumnRenamed("q", "d"), centers).select("query_id", F.col("d").alias("q"), "k")
         found.append(q.join(b, "k").select("query_id", "base_id", F.round(vec.distance("l2", F.col("q"), F.col("b")), 9).alias("dist")))

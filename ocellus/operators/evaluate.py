@@ -131,7 +131,7 @@ def det_curve(scored: DataFrame, by: str | None = None, **names) -> DataFrame:
         x = 2 * p - 1
         log = F.log(1 - x * x)
         t = 2 / (3.141592653589793 * a) + log / 2
-        return F.when(p <= 1e-6, F.lit(edge)).when(p >= 1 - 1e-6, F.lit(-edge)).otherwise(F.signum(x) * F.sqrt(F.sqrt(t * t - log / a) - t) * F.lit(2**0.5))
+        return F.when(p <= 1e-6, F.lit(edge)).when(p >= 1 - 1e-6, F.lit(-edge)).otherwise(F.signum(x) * F.sqrt(F.greatest(F.lit(0.0), F.sqrt(t * t - log / a) - t)) * F.lit(2**0.5))
 
     return c.withColumns({"miss_deviate": deviate(F.col("fnr")), "alarm_deviate": deviate(F.col("fpr"))})
 

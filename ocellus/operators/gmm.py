@@ -66,6 +66,19 @@ def fisher_full(post: DataFrame, gmm: DataFrame, by: str, vector: str = "d", lea
     return sums.select(by, "k", "j", (F.col("u") / (F.col("n") * F.sqrt("w"))).alias("u"), (F.col("v") / (F.col("n") * F.sqrt(2 * F.col("w")))).alias("v"))
 
 
+def hard(post: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Posteriors with 1 for each descriptor's most likely Gaussian (ties to the smaller k) and 0 for others."""
+    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("p"), "k")) == 1
+    return post.withColumn("p", F.when(best, 1.0).otherwise(0.0))
+
+
+def improved(fv: DataFrame, by: str, parts: tuple[str, ...] = ("u", "v")) -> DataFrame:
+    """Signed square roots of all parts, then length 1 over all of them together."""
+    fv = fv.withColumns({c: F.signum(c) * F.sqrt(F.abs(c)) for c in parts})
+    n = F.sqrt(F.sum(sum((F.col(c) * F.col(c) for c in parts[1:]), F.col(parts[0]) * F.col(parts[0]))).over(Window.partitionBy(by)))
+    return fv.withColumn("_n", n).withColumns({c: F.when(F.col("_n") > 0, F.col(c) / F.col("_n")).otherwise(F.col(c)) for c in parts}).drop("_n")
+
+
 def word_l1(fv: DataFrame, by: str) -> DataFrame:
     return fv.groupBy(by, "k").agg(F.sum(F.abs("v")).alias("l1"))
 
@@ -111,11 +124,9 @@ def fisher_arrow(desc: DataFrame, gmm: DataFrame, by: str, vector: str = "d") ->
             log = const + x @ (mu / sigma).T - 0.5 * (x * x) @ (1 / sigma).T
             p = np.exp(log - log.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            for g, key in enumerate(groups):
-                own = at == g
-                px, sp = p[own].T @ x[own], p[own].sum(0)
-                for k in range(len(ks)):
-                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ks[k]], pa.int64()), pa.array([px[k].tolist()]), pa.array([float(sp[k])]), pa.array([int(own.sum())])], ["by", "k", "px", "sp", "n"])
+            px = np.concatenate([p[at == g].T @ x[at == g] for g in range(len(groups))])
+            sp = np.concatenate([p[at == g].sum(0) for g in range(len(groups))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(groups, len(ks))), pa.array(np.tile(ks, len(groups)), pa.int64()), pa.array(px.tolist(), pa.list_(pa.float64())), pa.array(sp), pa.array(np.repeat(np.bincount(at), len(ks)))], ["by", "k", "px", "sp", "n"])
 
     part = desc.select(F.col(by).cast("long").alias("by"), vector).mapInArrow(run, "by long, k long, px array<double>, sp double, n long")
     sums = part.select("by", "k", "sp", "n", F.posexplode("px").alias("j", "px")).groupBy("by", "k", "j").agg(F.sum("px").alias("px"), F.sum("sp").alias("sp"), F.sum("n").alias("n"))
@@ -135,18 +146,23 @@ def bag(assigned: DataFrame, by: str) -> DataFrame:
     return assigned.groupBy(by, "k").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vlad(assigned: DataFrame, centers: DataFrame, by: str, vector: str = "d", mass: bool = False, component: bool = False, weight: Column | None = None) -> DataFrame:
+def vlad(assigned: DataFrame, centers: DataFrame, by: str, vector: str = "d", mass: bool = False, component: bool = False, weight: Column | str | None = None, square_root: bool = False, whole: bool = False) -> DataFrame:
     """by, k, j, v: summed residuals of descriptors to their center.
 
-    mass: over the number of descriptors; component: each center's part gets length 1.
+    ``assigned``: a row for each descriptor and center that it counts for; ``weight``: by how much (soft
+    assignment: the posterior). mass: over the sum of weights; square_root: signed square roots;
+    component: each center's part gets length 1; whole: so does the group's vector.
     """
-    rows = assigned.select(by, "k", (weight if weight is not None else F.lit(1.0)).alias("wt"), F.posexplode(vector).alias("j", "x"))
+    rows = assigned.select(by, "k", (F.lit(1.0) if weight is None else F.expr(weight) if isinstance(weight, str) else weight).alias("wt"), F.posexplode(vector).alias("j", "x"))
     model = centers.select("k", F.posexplode("mu").alias("j", "mu"))
     sums = rows.join(F.broadcast(model), ["k", "j"]).groupBy(by, "k", "j").agg(F.sum(F.col("wt") * (F.col("x") - F.col("mu"))).alias("v"), F.sum("wt").alias("n"))
     if mass:
         sums = sums.withColumn("v", F.col("v") / F.col("n"))
     out = sums.select(by, "k", "j", "v")
-    return intra_normalized(out, by) if component else out
+    if square_root:
+        out = out.withColumn("v", F.signum("v") * F.sqrt(F.abs("v")))
+    out = intra_normalized(out, by) if component else out
+    return power_normalized(out, by, 1.0, 0.0) if whole else out
 
 
 def point_index(post: DataFrame, gmm: DataFrame, key: str = "vec_id", vector: str = "d") -> DataFrame:

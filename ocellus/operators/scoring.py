@@ -85,12 +85,19 @@ def ranked(scored: DataFrame, k: int | None, query: str = "query_id", item: str
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def compared(queries: DataFrame, items: DataFrame, most_queries: int = 20_000) -> DataFrame:
-    """Every query with every item: queries are broadcast in blocks of a checked size, items stay where they are."""
-    n = queries.count()
-    if n <= most_queries:
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes, from the lengths of its arrays and strings."""
+    width = {"array": lambda c: 16 + 8 * F.size(c), "string": lambda c: 16 + F.octet_length(c), "binary": lambda c: 16 + F.octet_length(c)}
+    kinds = [(f.name, f.dataType.typeName()) for f in df.schema]
+    return reduce(lambda a, b: a + b, [F.coalesce(width[k](F.col(c)).cast("long"), F.lit(16)) if k in width else F.lit(8).cast("long") for c, k in kinds])
+
+
+def compared(queries: DataFrame, items: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """Every query with every item: queries are broadcast in blocks of at most about ``most_bytes``, items stay where they are."""
+    size = queries.agg(F.sum(row_bytes(queries))).head()[0] or 0
+    if size <= most_bytes:
         return items.join(F.broadcast(queries))
-    blocks = -(-n // most_queries)
+    blocks = -(-size * 5 // (4 * most_bytes))  # hashing deals them unevenly
     numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     parts = [items.join(F.broadcast(numbered.filter(F.col("_b") == b).drop("_b"))) for b in range(blocks)]
     return reduce(DataFrame.unionByName, parts)
@@ -101,15 +108,30 @@ def energies(fv: Column, params: QueryParams) -> Column:
     return F.array(*[vec.l2sq(vec.word(fv, k, params.word_dim)) for k in range(params.words)])
 
 
-def scored_pairs(queries: DataFrame, items: DataFrame, params: QueryParams) -> DataFrame:
-    """query_id, item_id, score of every query with every item; what depends on one side alone is computed there once."""
+def prepared(queries: DataFrame, items: DataFrame, params: QueryParams) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with what depends on one side alone, and the score of a joined row."""
     if "q_fv" in queries.columns:
         queries, items = queries.withColumn("q_energy", energies(F.col("q_fv"), params)), items.withColumn("d_energy", energies(F.col("d_fv"), params))
         names = ("q_fv", "d_fv", "q_energy", "d_energy")
     else:
         names = ("q_bits", "d_bits")
     given = {n: F.col(n) for n in names}
-    return compared(queries, items).select("query_id", "item_id", score(params, F.col("q_strengths"), F.col("d_strengths"), **given).alias("score"))
+    return queries, items, score(params, F.col("q_strengths"), F.col("d_strengths"), **given)
+
+
+def scored_pairs(queries: DataFrame, items: DataFrame, params: QueryParams) -> DataFrame:
+    """query_id, item_id, score of every query with every item."""
+    queries, items, value = prepared(queries, items, params)
+    return compared(queries, items).select("query_id", "item_id", value.alias("score"))
+
+
+def with_descriptors(queries: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """queries with their precomputed descriptors (query_id and further columns). ValueError unless there is exactly one for each."""
+    joined = queries.select("query_id").join(descriptors.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "full")
+    asked, given = queries.count(), descriptors.count()
+    if asked != given or joined.filter("n IS NULL OR n <> 1").limit(1).count() or queries.join(descriptors, "query_id", "left_semi").count() != asked:
+        raise ValueError(f"{asked} queries and {given} descriptors don't match")
+    return queries.join(descriptors, "query_id")
 
 
 def search(queries: DataFrame, items: DataFrame, params: QueryParams) -> DataFrame:
@@ -126,6 +148,27 @@ def first_per_clip(results: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= k)
 
 
+def best_per_clip(scored: DataFrame, k: int) -> DataFrame:
+    """query_id, item_id, clip, score, rank: the best item of each (query, clip), the best k clips.
+
+    One aggregation, combined map-side, leaves a row for each clip before anything is ranked.
+    """
+    best = scored.groupBy("query_id", "clip").agg(F.min(F.struct("score", "item_id")).alias("b")).select("query_id", "b.item_id", "clip", "b.score")
+    return ranked(best, k)
+
+
+def rescore(first: DataFrame, groups: DataFrame, queries: DataFrame, items: DataFrame, value: Column, shortlist: int, k: int) -> DataFrame:
+    """Second stage: only members of a query's best ``shortlist`` groups meet the query, and are ranked by ``value``.
+
+    first: query_id, item_id (a group), rank. groups: group_id, member_id. value: the score of a joined row of
+    queries (query_id ...) and items (item_id ...).
+    """
+    best = first.filter(F.col("rank") <= shortlist).select("query_id", F.col("item_id").alias("group_id"))
+    members = best.join(groups, "group_id").select("query_id", F.col("member_id").alias("item_id")).distinct()
+    pairs = members.join(queries, "query_id").join(items, "item_id")
+    return ranked(pairs.select("query_id", "item_id", value.alias("score")), k)
+
+
 def rerank(first: DataFrame, groups: DataFrame, rescored: DataFrame, shortlist: int, k: int) -> DataFrame:
     """Second stage: members of a query's best ``shortlist`` groups, by their own second score alone.
 

@@ -52,11 +52,11 @@ def shot_of_frame(frames: DataFrame, starts: DataFrame, clip: str = "clip") -> D
 def clip_offsets(totals: DataFrame, clip: str = "clip", buckets: int = 64) -> DataFrame:
     """clip, total, start: frames of all clips before, by ascending clip number.
 
-    Running sums are within equal ranges of clip numbers, so no task orders all clips; the ranges' own
-    sums are added from a table of ``buckets`` rows.
+    Running sums are within ranges between approximate quantiles of the clip numbers, so no task orders
+    all clips however they are clustered; the ranges' own sums are added from a table of ``buckets`` rows.
     """
-    ends = totals.agg(F.min(clip).alias("_a"), F.max(clip).alias("_z"))
-    ranged = totals.join(F.broadcast(ends)).withColumn("_p", F.floor((F.col(clip) - F.col("_a")) * F.lit(buckets) / (F.col("_z") - F.col("_a") + 1)))
+    cuts = totals.agg(F.percentile_approx(clip, [k / buckets for k in range(1, buckets)], 10_000).alias("_q"))
+    ranged = totals.join(F.broadcast(cuts)).withColumn("_p", F.size(F.filter("_q", lambda q: q <= F.col(clip)))).drop("_q")
     within = ranged.withColumn("_s", F.sum("total").over(Window.partitionBy("_p").orderBy(clip)) - F.col("total"))
     sums = ranged.groupBy("_p").agg(F.sum("total").alias("_t"))
     before = sums.withColumn("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")

@@ -10,7 +10,7 @@ from ocellus.plans.fixtures import DESC, EMB, GMM, POSTERIOR, descriptors, embed
 from ocellus.plans.fixtures import gmm as closed_gmm
 from ocellus.plans.registry import query
 
-R = 6
+R, MOST_TYPES = 6, 1000
 
 
 def _r(c, name=None):
@@ -123,6 +123,60 @@ def global_descriptor(spark, sf_dir):
     return out.select("clip", "k", F.round("l1", 5).alias("l1"), _r("soft"), (F.round(vec.total(F.col("fv")), 5) + 0.0).alias("total"), "bits")
 
 
+_GLOBAL = """, n AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY clip, k)) AS n FROM fv), i AS (SELECT clip, k, j, CASE WHEN n > 0 THEN v / n ELSE v END AS v, v AS raw FROM n),
+g AS (SELECT *, v / sqrt(sum(v * v) OVER (PARTITION BY clip)) AS u FROM i),
+s AS (SELECT clip, k, avg(p) AS soft FROM post GROUP BY ALL)
+SELECT clip AS {by}, k, round(sum(abs(raw)), 5) AS l1, round(any_value(soft), 6) AS soft, round(sum(u), 5) + 0 AS total FROM g JOIN s USING (clip, k) WHERE {where} GROUP BY clip, k"""
+
+
+def _described(by, group, where):
+    """Global descriptors of what ``group`` names, from all its descriptors pooled."""
+
+    def run(spark, sf_dir):
+        desc = descriptors(spark, sf_dir).withColumn(by, F.expr(group)).filter(where.replace("clip", by))
+        out = gmm.global_descriptor(desc, closed_gmm(spark, sf_dir), by)
+        return out.select(by, "k", F.round("l1", 5).alias("l1"), _r("soft"), (F.round(vec.total(F.col("fv")), 5) + 0.0).alias("total"))
+
+    return run
+
+
+def _described_sql(by, group, where):
+    return f"WITH {_FV}{_GLOBAL.format(by=by, where=where)}".replace("vec_id // 10 AS clip", group)
+
+
+@query(_described_sql("shot", "vec_id // 30 AS clip", "true"))
+def shot_descriptor(spark, sf_dir):
+    """Descriptors pooled over the frames of a shot."""
+    return _described("shot", "clip div 3", "true")(spark, sf_dir)
+
+
+@query(_described_sql("frame", "vec_id AS clip", "clip % 5 = 0"))
+def keyframe_descriptor(spark, sf_dir):
+    """Every fifth frame on its own."""
+    return _described("frame", "vec_id div 8", "clip % 5 = 0")(spark, sf_dir)
+
+
+_UV = f"""{POSTERIOR}, best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) AS b FROM post),
+z AS (SELECT p.clip, p.k, l.j, {{p}} AS p, (x - mu) / sqrt(sigma) AS z, w FROM best p JOIN dlong l USING (vec_id) JOIN gstat s ON s.k = p.k AND s.j = l.j JOIN gw ON gw.k = p.k),
+uv AS (SELECT clip, k, j, sum(p * z) / (count(*) * sqrt(any_value(w))) AS u, sum(p * (z * z - 1)) / (count(*) * sqrt(2 * any_value(w))) AS v FROM z GROUP BY clip, k, j)"""
+
+
+def _uv(out):
+    return out.select("clip", "k", (F.col("j") + 1).cast("long").alias("j"), (F.round("u", 5) + 0.0).alias("u"), (F.round("v", 5) + 0.0).alias("v"))
+
+
+@query(f"WITH {_UV.format(p='CASE WHEN b = 1 THEN 1 ELSE 0 END')} SELECT clip, k, j, round(u, 5) + 0 AS u, round(v, 5) + 0 AS v FROM uv")
+def fisher_fast(spark, sf_dir):
+    post, g = _post(spark, sf_dir)
+    return _uv(gmm.fisher_full(gmm.hard(post), g, "clip"))
+
+
+@query(f"WITH {_UV.format(p='CASE WHEN p >= 1e-6 THEN p ELSE 0 END')}, r AS (SELECT clip, k, j, sign(u) * sqrt(abs(u)) AS u, sign(v) * sqrt(abs(v)) AS v FROM uv), n AS (SELECT *, sqrt(sum(u * u + v * v) OVER (PARTITION BY clip)) AS n FROM r) SELECT clip, k, j, round(u / n, 5) + 0 AS u, round(v / n, 5) + 0 AS v FROM n")
+def fisher_improved(spark, sf_dir):
+    post, g = _post(spark, sf_dir)
+    return _uv(gmm.improved(gmm.fisher_full(post, g, "clip"), "clip"))
+
+
 _NEAR = f"""{GMM}, dist AS (SELECT vec_id, clip, k, round(sum((x - mu) * (x - mu)), 12) AS dist FROM dlong JOIN gstat USING (j) GROUP BY ALL),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, k) AS n FROM dist) WHERE n = 1),
 vl AS (SELECT a.clip, a.k, l.j, sum(x - mu) AS v, count(*) AS n FROM near a JOIN dlong l USING (vec_id) JOIN gstat s ON s.k = a.k AND s.j = l.j GROUP BY a.clip, a.k, l.j)"""
@@ -149,6 +203,16 @@ def _vlad(name, sql, **kw):
 
 _vlad("vlad", "SELECT clip, k, j, round(v, 6) + 0 AS v FROM vl")
 _vlad("vlad_mass", "SELECT clip, k, j, round(v / n, 6) + 0 AS v FROM vl", mass=True)
+_vlad("vlad_sqrt_global", ", r AS (SELECT clip, k, j, sign(v) * sqrt(abs(v)) AS v FROM vl) SELECT clip, k, j, round(v / sqrt(sum(v * v) OVER (PARTITION BY clip)), 6) + 0 AS v FROM r", square_root=True, whole=True)
+_vlad("vlad_weighted", ", wv AS (SELECT a.clip, a.k, l.j, sum((1 + a.vec_id % 3) * (x - mu)) AS v FROM near a JOIN dlong l USING (vec_id) JOIN gstat s ON s.k = a.k AND s.j = l.j GROUP BY a.clip, a.k, l.j) SELECT clip, k, j, round(v, 6) + 0 AS v FROM wv", weight="cast(1 + vec_id % 3 AS double)")
+
+
+@query(f"WITH {POSTERIOR} SELECT p.clip, p.k, l.j, round(sum(p * (x - mu)), 6) + 0 AS v FROM post p JOIN dlong l USING (vec_id) JOIN gstat s ON s.k = p.k AND s.j = l.j GROUP BY p.clip, p.k, l.j")
+def vlad_soft(spark, sf_dir):
+    post, g = _post(spark, sf_dir)
+    return gmm.vlad(post, g, "clip", weight=F.col("p")).select("clip", "k", (F.col("j") + 1).cast("long").alias("j"), (F.round("v", R) + 0.0).alias("v"))
+
+
 _vlad("vlad_component", "SELECT clip, k, j, round(v / sqrt(sum(v * v) OVER (PARTITION BY clip, k)), 6) + 0 AS v FROM vl", component=True)
 
 
@@ -175,7 +239,9 @@ shots AS (SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY first) - 1
 
 def _frames(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long").alias("frame"), "event_type")
-    types = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]
+    types = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(MOST_TYPES + 1).collect()]
+    if len(types) > MOST_TYPES:
+        raise ValueError(f"histograms of more than {MOST_TYPES} event types")
     counts = e.groupBy("clip", "frame").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("event_type") == t).alias(f"c{i}") for i, t in enumerate(types)])
     return counts.select("clip", "frame", F.array(*[F.col(f"c{i}") / F.col("n") for i in range(len(types))]).alias("hist"))
 

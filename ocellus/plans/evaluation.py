@@ -109,10 +109,17 @@ def pr_prior(spark, sf_dir):
     return evaluate.reweighted(evaluate.pr_curve(_scored(spark, sf_dir)), 0.1).select("id", F.round("precision", R).alias("precision"))
 
 
-@query(f"WITH {_SCORED} SELECT id, round(1 - tpr, 6) AS miss, round(fpr, 6) AS alarm, 1 - tpr > 0.5 AS miss_above, fpr > 0.5 AS alarm_above FROM pr WHERE abs(fpr - 0.5) > 1e-9 AND abs(tpr - 0.5) > 1e-9")
+def _deviate(p: str) -> str:
+    x = f"(2 * ({p}) - 1)"
+    log = f"ln(1 - {x} * {x})"
+    t = f"(2 / (pi() * 0.147) + {log} / 2)"
+    return f"round(CASE WHEN {p} <= 1e-6 THEN -4.753424308822899 WHEN {p} >= 1 - 1e-6 THEN 4.753424308822899 ELSE sign({x}) * sqrt(greatest(0, sqrt({t} * {t} - {log} / 0.147) - {t})) * sqrt(2) END, 4) + 0"
+
+
+@query(f"WITH {_SCORED} SELECT id, round(1 - tpr, 6) AS miss, round(fpr, 6) AS alarm, {_deviate('1 - tpr')} AS miss_deviate, {_deviate('fpr')} AS alarm_deviate FROM pr")
 def det_curve(spark, sf_dir):
-    d = evaluate.det_curve(_scored(spark, sf_dir)).filter("abs(fpr - 0.5) > 1e-9 AND abs(tpr - 0.5) > 1e-9")
-    return d.select("id", F.round("fnr", R).alias("miss"), F.round("fpr", R).alias("alarm"), (F.col("miss_deviate") > 0).alias("miss_above"), (F.col("alarm_deviate") > 0).alias("alarm_above"))
+    d = evaluate.det_curve(_scored(spark, sf_dir))
+    return d.select("id", F.round("fnr", R).alias("miss"), F.round("fpr", R).alias("alarm"), *[(F.round(c, 4) + 0.0).alias(c) for c in ("miss_deviate", "alarm_deviate")])
 
 
 @query("SELECT page_id, regexp_replace(url, '\\.[^./]*$', '') || '.siftb' AS swapped, regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages")

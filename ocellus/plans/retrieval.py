@@ -107,8 +107,8 @@ def two_stage_rerank(spark, sf_dir):
     scene = F.expr("item_id div 10")
     first = pairs.groupBy("query_id", scene.alias("item_id")).agg(F.round(-F.max(vec.dot(vec.word(F.col("q_fv"), 0, 32), vec.word(F.col("d_fv"), 0, 32))), 9).alias("score"))
     groups = it.select(scene.alias("group_id"), F.col("item_id").alias("member_id"))
-    second = pairs.select("query_id", "item_id", F.round(-sum(vec.dot(vec.word(F.col("q_fv"), k, 32), vec.word(F.col("d_fv"), k, 32)) for k in range(2)), 9).alias("score"))
-    return scoring.rerank(scoring.ranked(first, 8), groups, second, 8, 5).select("query_id", "item_id", F.round("score", R).alias("score"), "rank")
+    value = F.round(-sum(vec.dot(vec.word(F.col("q_fv"), k, 32), vec.word(F.col("d_fv"), k, 32)) for k in range(2)), 9)
+    return scoring.rescore(scoring.ranked(first, 8), groups, as_queries(it), as_database(it), value, 8, 5).select("query_id", "item_id", F.round("score", R).alias("score"), "rank")
 
 
 @query(
@@ -124,7 +124,29 @@ def dedupe_by_clip(spark, sf_dir):
     e = embeddings(spark, sf_dir)
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
     pairs = scoring.compared(q, e).select("query_id", F.col("vec_id").alias("item_id"), F.expr("vec_id div 10").alias("clip"), F.round(-vec.dot(F.col("q"), F.col("e")), 9).alias("score"))
-    return scoring.first_per_clip(scoring.ranked(pairs, None), 5).select("query_id", "item_id", "clip", F.round("score", R).alias("score"), "rank")
+    return scoring.best_per_clip(pairs, 5).select("query_id", "item_id", "clip", F.round("score", R).alias("score"), "rank")
+
+
+@query("SELECT q.vec_id AS query_id, list_sum(list_transform(q.embedding::DOUBLE[], lambda x: abs(x))) > 0 AS found FROM embeddings q WHERE vec_id % 100 = 0")
+def query_descriptors(spark, sf_dir):
+    it = embeddings(spark, sf_dir).filter("vec_id % 100 = 0")
+    queries, given = it.select(F.col("vec_id").alias("query_id")), it.select(F.col("vec_id").alias("query_id"), "e")
+    return scoring.with_descriptors(queries, given).select("query_id", (vec.l1(F.col("e")) > 0).alias("found"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT item_id FROM benchmark)")
+def unfinished_items(spark, sf_dir):
+    from ocellus.operators import index
+    from ocellus.plans.fixtures import read
+
+    return index.unfinished(read(spark, sf_dir, "embeddings").select("vec_id"), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id")
+
+
+@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_difference(spark, sf_dir):
+    from ocellus.plans.fixtures import read
+
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).subtract(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
 
 
 _DIST = {
@@ -171,6 +193,33 @@ for _m in ("l2", "l1", "chi2", "hellinger", "js"):
     _knn(_m)
 
 
+def _knn_of(name: str, dist: str, **kw):
+    sql = f"""WITH {_HIST}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, round({dist}, 9) AS dist FROM hh a JOIN hh b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, base_id) AS rank FROM p)
+SELECT query_id, base_id, round(dist, 6) AS dist, rank::INTEGER AS rank FROM r WHERE rank <= 4"""
+
+    def run(spark, sf_dir):
+        h = _hist(spark, sf_dir)
+        q = h.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("h").alias("q"))
+        b = h.select(F.col("vec_id").alias("base_id"), F.col("h").alias("b"), *([(1 + F.col("vec_id") % 3).cast("double").alias("weight")] if kw.get("weighted") else []))
+        if kw.get("mahalanobis"):
+            pairs = scoring.compared(q, b).filter("query_id <> base_id")
+            inverse = F.array(*[F.lit(1.0 + j % 4) for j in range(64)])
+            pairs = pairs.select("query_id", "base_id", F.round(vec.mahalanobis(F.col("q"), F.col("b"), inverse), 9).alias("dist"))
+            return neighbours._ranked(pairs, 4).select("query_id", "base_id", F.round("dist", R).alias("dist"), "rank")
+        return neighbours.knn(q, b, 4, kw.get("metric", "l2"), exclude_self=True).select("query_id", "base_id", F.round("dist", R).alias("dist"), "rank")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_EACH = "list_transform(range(1, 65), lambda i: {})"
+_knn_of("knn_linf", f"list_max({_EACH.format('abs(a.h[i] - b.h[i])')})", metric="linf")
+_knn_of("knn_l0", f"list_sum({_EACH.format('(a.h[i] <> b.h[i])::INTEGER')})::DOUBLE", metric="l0")
+_knn_of("knn_weighted", f"list_sum({_EACH.format('(a.h[i] - b.h[i]) * (a.h[i] - b.h[i])')}) * (1 + b.vec_id % 3)", weighted=True)
+_knn_of("knn_mahalanobis", f"list_sum({_EACH.format('(a.h[i] - b.h[i]) * (a.h[i] - b.h[i]) * (1 + (i - 1) % 4)')})", mahalanobis=True)
+
+
 @query(f"WITH {_HIST} SELECT a.vec_id AS query_id, b.vec_id AS base_id, " + ", ".join(f"round({_dist_sql(m)}, 6) AS {m}" for m in _DIST) + " FROM hh a JOIN hh b ON a.vec_id % 100 = 0")
 def pairwise_kernels(spark, sf_dir):
     h = _hist(spark, sf_dir)

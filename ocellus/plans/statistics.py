@@ -196,12 +196,13 @@ def ratio_compress(spark, sf_dir):
     return stats.below_ratio(read(spark, sf_dir, "orders"), "o_totalprice", "o_custkey", 1.5).select("o_orderkey")
 
 
-_PIX = "px AS (SELECT s.r, t.c, ((s.r * 7 + t.c * 13) * 31 % 97)::BIGINT AS v FROM (SELECT unnest(range(0, 30)) AS r) s CROSS JOIN (SELECT unnest(range(0, 30)) AS c) t)"
+_PIX = "px AS (SELECT l_linenumber::BIGINT AS r, floor(l_quantity / 5)::BIGINT AS c, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY ALL)"
 
 
 @query(f"WITH {_PIX} SELECT a.r, a.c, a.v FROM px a JOIN px b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY ALL HAVING count(*) = 8 AND max(b.v) < a.v")
 def local_maxima_grid(spark, sf_dir):
-    cells = spark.range(900).select(F.expr("id div 30").alias("r"), (F.col("id") % 30).alias("c")).withColumn("v", (F.col("r") * 7 + F.col("c") * 13) * 31 % 97)
+    li = read(spark, sf_dir, "lineitem")
+    cells = li.groupBy(F.col("l_linenumber").cast("long").alias("r"), F.floor(F.col("l_quantity") / 5).alias("c")).agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
     return stats.local_maxima_grid(cells, "r", "c", "v")
 
 
