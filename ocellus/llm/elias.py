@@ -17,7 +17,6 @@ MAGIC = b"EFIDS2\0\0"
 _HEAD = struct.Struct("<8sQQBBHI")
 SAMPLE = 256
 SHARD_BYTES, SHARD_DOCS = 400_000, 20_000
-BORDERS = 10_000
 
 
 class EliasFano:
@@ -153,7 +152,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shard_docs: int = SHAR
     """
     spark = docs.sparkSession
     width = tokenizer(path).width
-    ids = stored(token_ids(docs, path, end_id), "token-ids")
+    ids = stored(token_ids(docs, path, end_id), "token-ids", "zstd")
     shards = max(2 * shuffle_partitions(spark), -(-ids.count() // shard_docs))
     order = ["doc_id", "h", "ids"]
     ranged = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions(*order)
@@ -179,7 +178,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shard_docs: int = SHAR
         if own:
             yield close()
 
-    return stored(ranged.select("doc_id", "ids").mapInArrow(build, "shard int, file int, doc_ids array<bigint>, n_ids bigint, data binary"), "id-shards")
+    return stored(ranged.select("doc_id", "ids").mapInArrow(build, "shard int, file int, doc_ids array<bigint>, n_ids bigint, data binary"), "id-shards", "zstd")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
