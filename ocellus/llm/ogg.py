@@ -139,9 +139,10 @@ def demultiplex(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
 
 
 def decode(data: bytes) -> tuple[bytes, float, list[tuple[int, int, float, float]]]:
-    """The samples, their duration in seconds, and (stream, packet, start, end) times of all packets.
+    """The samples, their duration in seconds, and (stream, packet, start, end) times of all packets in order.
 
-    Times go back from each page's granule over the packets that end before it on the page.
+    Times go back from each page's granule over the packets that end before it on the page, and are those
+    of the packet's own stream; the duration is the sum of the streams' last granules over the rate.
     """
     parts: list[tuple[int, int, bytes]] = []
     times: list[tuple[int, int, float, float]] = []
@@ -163,7 +164,10 @@ def decode(data: bytes) -> tuple[bytes, float, list[tuple[int, int, float, float
     payload = b"".join(p for _, _, p in sorted(parts, key=lambda x: x[:2]))
     if len(payload) != total:
         raise ValueError(f"{len(payload)} of {total} samples")
-    return payload, total / rate, times
+    last: dict[int, float] = {}
+    for s, _, _, end in times:
+        last[s] = max(last.get(s, 0.0), end)
+    return payload, sum(last[s] for s in sorted(last)), sorted(times)
 
 
 def features(payload: bytes, duration: float) -> str:
@@ -196,11 +200,13 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def decode_column(media: DataFrame) -> DataFrame:
-    """Read Ogg bytes back: (doc_id, n_bytes, payload digests, media digests, feature, n_packets).
+    """Read Ogg bytes back: (doc_id, n_bytes, payload digests, media digests, feature, packets).
 
-    Every page's checksum is verified; a damaged file fails the task.
+    Every page's checksum is verified; a damaged file fails the task. ``packets`` has the stream, number
+    and times, in seconds, of each packet, as its granules say; the feature's duration comes from them too.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long"
+    packets = pa.list_(pa.struct([("stream", pa.int32()), ("packet", pa.int32()), ("start", pa.float64()), ("stop", pa.float64())]))
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, packets array<struct<stream:int,packet:int,start:double,stop:double>>"
 
     def run(batches):
         for b in batches:
@@ -208,10 +214,10 @@ def decode_column(media: DataFrame) -> DataFrame:
             for m in b.column(2):
                 data = m.as_py()
                 payload, duration, times = decode(data)
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(payload, duration), len(times)))
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(payload, duration), [dict(zip(("stream", "packet", "start", "stop"), t)) for t in times]))
             cols = list(zip(*out)) or [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_packets"])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), packets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "packets"])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 

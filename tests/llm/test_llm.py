@@ -59,7 +59,15 @@ def test_page_checksum_by_definition():
 @given(st.binary(max_size=3000), st.integers(1, 700), st.integers(1, 4))
 def test_ogg_round_trip(data, packet, streams):
     payload, duration, times = ogg.decode(ogg.encode(data, 1000, packet, streams))
-    assert payload == data and duration == len(data) / 1000 and len(times) == -(-len(data) // packet)
+    assert payload == data and duration == pytest.approx(len(data) / 1000) and len(times) == -(-len(data) // packet)
+    size = lambda n: len(data[n * packet : (n + 1) * packet])
+    at = dict.fromkeys(range(streams), 0)
+    want = []
+    for n in range(len(times)):
+        s = n % streams
+        want.append((s, n // streams, at[s] / 1000, (at[s] + size(n)) / 1000))
+        at[s] += size(n)
+    assert times == sorted(want)
 
 
 @pytest.mark.parametrize("packet", [254, 255, 510, 65024, 65025, 65026, 200000])
@@ -79,6 +87,42 @@ def test_damage_is_found():
         ogg.decode(bytes(data[:-10]))
 
 
+def test_op1_whole_result(spark):
+    """Media and features of texts of up to one packet a stream, put together by hand."""
+
+    def crc(data):
+        c = 0
+        for x in data:
+            c ^= x << 24
+            for _ in range(8):
+                c = ((c << 1) ^ 0x04C11DB7 if c & 0x80000000 else c << 1) & 0xFFFFFFFF
+        return c
+
+    def page(flags, granule, serial, number, packet):
+        lacing = bytes([255] * (len(packet) // 255) + [len(packet) % 255])
+        head = b"OggS\0" + bytes([flags]) + granule.to_bytes(8, "little") + serial.to_bytes(4, "little") + number.to_bytes(4, "little")
+        tail = bytes([len(lacing)]) + lacing + packet
+        return head + crc(head + bytes(4) + tail).to_bytes(4, "little") + tail
+
+    rows = [(1, "short"), (2, "é" * 500), (3, "abc " * 1200), (4, None), (5, "x" * 3840)]
+    got = {r.doc_id: r for r in ogg.decode_column(ogg.encode_column(docs(spark, rows))).collect()}
+    for k, text in rows:
+        text = (text or "").encode()
+        payload = text + b" " * (192 - len(text) % 192 if len(text) % 192 or not text else 0)
+        parts = [payload[:3840], payload[3840:]]
+        serial = [(zlib.crc32(payload) + s * 0x9E3779B1) % 2**32 for s in (0, 1)]
+        ident = [b"\x01samples" + (8000).to_bytes(4, "little") + bytes([s, 2]) + len(payload).to_bytes(8, "little") for s in (0, 1)]
+        media = b"".join(page(2 if parts[s] else 6, 0, serial[s], 0, ident[s]) for s in (0, 1))
+        media += b"".join(p for _, p in sorted((len(parts[s]), page(4, len(parts[s]), serial[s], 1, parts[s])) for s in (0, 1) if parts[s]))
+        n, x = len(payload), [v - 128 for v in payload]
+        entropy = -sum(c / n * math.log2(c / n) for c in {v: payload.count(v) for v in set(payload)}.values())
+        feature = f"s={n / 8000:.6f} mean={sum(x) / n:.6f} rms={(sum(v * v for v in x) / n) ** 0.5:.6f} bits={entropy:.6f}"
+        times = [(s, 0, 0.0, len(parts[s]) / 8000) for s in (0, 1) if parts[s]]
+        r = got[k]
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), feature)
+        assert [tuple(p) for p in r.packets] == times
+
+
 def test_op1_odd_rows(spark):
     rows = ogg.decode_column(ogg.encode_column(docs(spark, ODD))).collect()
     assert len(rows) == len(ODD)

@@ -1,8 +1,10 @@
 import brute
+import numpy as np
 import corpus_pipeline as cp
 from oracle import DATA
 from pyspark.sql import functions as F
 
+from ocellus.llm import mixing, tokens
 from ocellus.llm.common import read_table, stored
 
 
@@ -22,10 +24,20 @@ def test_stages_against_brute_force(spark):
             want = brute.repeats(rows, 35)
             assert {k: brute.words(t) for k, t in texts(docs)} == {k: w for k, (_, w) in want.items() if w}
         else:
-            kept = docs.agg(F.sum("n_chars")).head()[0] / before.agg(F.sum("n_chars")).head()[0]
-            assert 0.6 < kept < 0.9
-    packed = cp.STAGES[-1][1](spark, docs, DATA)
-    assert packed.select("doc_id").distinct().count() == docs.count()
+            want = brute.mixed([(r.doc_id, r.text, r.lang, r.source) for r in before.collect()], mixing)
+            assert [k for k, _ in texts(docs)] == sorted(k for k, v in want.items() if v[-1])
+    tk = tokens.tokenizer(tokens.default_path()).tokenizer
+    want = []
+    for r in docs.collect():
+        ids = [*tk.encode(r.text, add_special_tokens=False).ids, 0]
+        want += [(r.doc_id, n, at, len(ids[at : at + 2048]), brute.zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for n, at in enumerate(range(0, len(ids), 2048))]
+    packed = cp.STAGES[-1][1](spark, docs, DATA).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == sorted(want)
+    fill = {}
+    for r in sorted(packed, key=lambda r: r.offset):
+        assert fill.get(r.sequence_id, 0) == r.offset
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 2048) + 3
 
 
 def test_odd_rows(spark):
