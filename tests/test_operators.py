@@ -348,3 +348,38 @@ def test_features(spark):
     box = np.zeros((21, 21))
     box[10:, 10:] = 1
     assert np.abs(np.array(np.unravel_index(features.corners(box).argmax(), box.shape)) - 10).max() <= 2
+
+
+def test_kmeans_by_medians_and_chi2(spark):
+    import numpy as np
+
+    from ocellus.operators import cluster
+
+    rng = np.random.default_rng(0)
+    x = np.abs(np.concatenate([rng.normal(1, 0.1, (30, 2)), rng.normal(5, 0.1, (30, 2)), [[100.0, 100.0]]]))
+    d = spark.createDataFrame([(v.tolist(),) for v in x], "d array<double>")
+    first = np.array([[1.0, 1.0], [5.0, 5.0]])
+    centers, error = cluster.kmeans(d, 2, metric="l1", initial=first, rounds=4)
+    assert np.allclose(centers[1], np.median(x[30:], axis=0)) and error > 0  # the outlier moves a mean, not a median
+    centers, _ = cluster.kmeans(d, 2, metric="chi2", initial=first, rounds=1)
+    assert np.allclose(centers[0], x[:30].mean(0))
+
+
+def test_descriptors_must_match_queries(spark):
+    import pytest
+
+    from ocellus.operators import scoring
+
+    q = spark.createDataFrame([(1,), (2,)], "query_id long")
+    assert scoring.with_descriptors(q, spark.createDataFrame([(1, 0.5), (2, 0.1)], "query_id long, x double")).count() == 2
+    for rows in ([(1, 0.5)], [(1, 0.5), (1, 0.5)], [(1, 0.5), (3, 0.5)]):
+        with pytest.raises(ValueError):
+            scoring.with_descriptors(q, spark.createDataFrame(rows, "query_id long, x double"))
+
+
+def test_queries_are_broadcast_in_blocks_of_bytes(spark):
+    from ocellus.operators import scoring
+
+    q = spark.createDataFrame([(k, [float(k)] * 10) for k in range(20)], "query_id long, q array<double>")
+    d = spark.createDataFrame([(k,) for k in range(5)], "item_id long")
+    assert scoring.compared(q, d, most_bytes=400).select("query_id", "item_id").distinct().count() == 100
