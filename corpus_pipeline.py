@@ -89,7 +89,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: Language ID and packing have no SQL form; tests hold the pipeline against brute force.
+#: Language ID and packing have no SQL form; tests hold the rows of the other stages, and the packed pieces, against brute force.
 ORACLE_SQL = None
 
 
