@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ocellus.llm.common import read_table, shuffle_partitions, stored
 
 CURVES, DIMS, BITS = 8, 6, 10
-FIT_ROWS, FIT_QUERIES, RECALL, SEGMENT_ROWS = 10_000, 128, 0.98, 20_000
+FIT_ROWS, FIT_QUERIES, RECALL, SEGMENT_ROWS, QUERY_ROWS = 10_000, 128, 0.98, 20_000, 4096
 
 
 def hilbert_keys(x: np.ndarray, bits: int) -> np.ndarray:
@@ -171,7 +171,8 @@ def search(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vecto
     away; they are scored where they lie, segment by segment, and the curves' best are merged.
     The index is fitted on bounded samples: the grid's bounds on FIT_ROWS rows, and the window on
     FIT_QUERIES queries whose exact neighbours are found against all rows: it is the least one that
-    holds the share ``recall`` of them on some curve, and a twentieth more. Where neighbours are near
+    holds the share ``recall`` of them on some curve, and a twentieth more. A segment that more than
+    QUERY_ROWS query rows meet goes to several tasks, each with a share of them. Where neighbours are near
     in the projections it is small; where all directions look alike (random vectors) it grows with
     the table, as no curve can tell them apart, and the search nears a brute-force one.
     """
@@ -232,7 +233,11 @@ def search(table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vecto
         q = _matrix(asked_["q"], dim)
         return _table(_nearest(asked_["query_id"].to_numpy(), q, own["id"].to_numpy(), _matrix(own["v"], dim), k, asked_["a"].to_numpy(), asked_["z"].to_numpy()))
 
-    found = placed.select("segment", "place", "id", "v").groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(look, FOUND)
+    # One row a segment that is asked; the others are not sent.
+    load = asked.groupBy("segment").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("tasks"))
+    shared_out = asked.join(F.broadcast(load), "segment").withColumn("task", F.pmod(F.xxhash64("query_id", "a"), F.col("tasks")).cast("int")).drop("tasks")
+    own_rows = placed.join(F.broadcast(load), "segment").select("segment", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "place", "id", "v")
+    found = own_rows.groupBy("segment", "task").cogroup(shared_out.groupBy("segment", "task")).applyInArrow(look, FOUND)
     return top(found, k)
 
 

@@ -15,13 +15,50 @@ from ocellus.llm.hashing import NOT_SPACE, SPACE, Hasher, mix, word_bounds
 GRAMS, WORDS = 1 << 16, 1 << 16
 FIT_ROWS, LEAST_ROWS, SWITCH, SMOOTH, SCRIPT_SHARE, OFF_SCRIPT = 20_000, 20, 12.0, 0.3, 0.01, -60.0
 
-# Script ranges by the first UTF-8 byte of a letter (fixed by the encoding): 1 Latin, 2 Greek, 3 Cyrillic,
-# 4 Armenian and Hebrew, 5 Arabic and Syriac, 6 Indic and Thai, 7 Georgian to Khmer, 8 kana and CJK
-# symbols, 9 Han, 10 Yi to Hangul, 11 beyond the basic plane.
-SCRIPTS = 12
-_SCRIPT = np.zeros(256, np.uint8)
-for _a, _z, _s in ((65, 90, 1), (97, 122, 1), (0xC3, 0xCB, 1), (0xCD, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD7, 4), (0xD8, 0xDF, 5), (0xE0, 0xE0, 6), (0xE1, 0xE1, 7), (0xE3, 0xE3, 8), (0xE4, 0xE9, 9), (0xEA, 0xED, 10), (0xF0, 0xF4, 11)):
-    _SCRIPT[_a : _z + 1] = _s
+# The code points of each script's letters, by Unicode block.
+SCRIPT_RANGES = {
+    "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2AF), (0x1D00, 0x1D25), (0x1D2C, 0x1D5C), (0x1D62, 0x1D65), (0x1D6B, 0x1D77), (0x1D79, 0x1DBE), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)],
+    "greek": [(0x370, 0x3FF), (0x1D26, 0x1D2A), (0x1D5D, 0x1D61), (0x1D66, 0x1D6A), (0x1DBF, 0x1DBF), (0x1F00, 0x1FFF)],
+    "cyrillic": [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x1D2B, 0x1D2B), (0x1D78, 0x1D78), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)],
+    "armenian": [(0x530, 0x58F), (0xFB13, 0xFB17)],
+    "hebrew": [(0x590, 0x5FF), (0xFB1D, 0xFB4F)],
+    "arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE)],
+    "syriac": [(0x700, 0x74F), (0x860, 0x86F)],
+    "thaana": [(0x780, 0x7BF)],
+    "nko": [(0x7C0, 0x7FF)],
+    "devanagari": [(0x900, 0x97F), (0xA8E0, 0xA8FF)],
+    "bengali": [(0x980, 0x9FF)],
+    "gurmukhi": [(0xA00, 0xA7F)],
+    "gujarati": [(0xA80, 0xAFF)],
+    "oriya": [(0xB00, 0xB7F)],
+    "tamil": [(0xB80, 0xBFF)],
+    "telugu": [(0xC00, 0xC7F)],
+    "kannada": [(0xC80, 0xCFF)],
+    "malayalam": [(0xD00, 0xD7F)],
+    "sinhala": [(0xD80, 0xDFF)],
+    "thai": [(0xE00, 0xE7F)],
+    "lao": [(0xE80, 0xEFF)],
+    "tibetan": [(0xF00, 0xFFF)],
+    "myanmar": [(0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)],
+    "georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)],
+    "ethiopic": [(0x1200, 0x139F), (0x2D80, 0x2DDF), (0xAB00, 0xAB2F)],
+    "cherokee": [(0x13A0, 0x13FF), (0xAB70, 0xABBF)],
+    "canadian": [(0x1400, 0x167F), (0x18B0, 0x18FF)],
+    "khmer": [(0x1780, 0x17FF)],
+    "mongolian": [(0x1800, 0x18AF)],
+    "tifinagh": [(0x2D30, 0x2D7F)],
+    "bopomofo": [(0x3100, 0x312F), (0x31A0, 0x31BF)],
+    "yi": [(0xA000, 0xA4CF)],
+    "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF), (0xFFA0, 0xFFDC)],
+    "han": [(0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
+    "kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)],
+    "other": [(0x1680, 0x177F), (0x1900, 0x1C7F), (0xA4D0, 0xA63F), (0xA6A0, 0xA6FF), (0xA800, 0xA8DF), (0xA900, 0xA95F), (0xA980, 0xA9DF), (0xAA00, 0xAA5F), (0xAA80, 0xAAFF), (0xABC0, 0xABFF), (0x10000, 0x1EFFF)],
+}
+#: Script numbers are from 1, in the order above; 0 is no letter. A word has the highest of its letters' scripts.
+SCRIPT_NAMES = ["", *SCRIPT_RANGES]
+SCRIPTS = len(SCRIPT_NAMES)
+_RANGES = sorted((first, last, SCRIPT_NAMES.index(name)) for name, ranges in SCRIPT_RANGES.items() for first, last in ranges)
+_FIRST, _LAST, _NUMBER = (np.array(x, np.int64) for x in zip(*_RANGES))
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[SPACE] = 32
@@ -45,6 +82,30 @@ def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join([*rows, b""]), np.uint8), offsets
 
 
+def script_numbers(points: np.ndarray) -> np.ndarray:
+    """The script of each code point, 0 if it is in no range."""
+    at = np.maximum(np.searchsorted(_FIRST, points, side="right") - 1, 0)
+    return np.where((points >= _FIRST[at]) & (points <= _LAST[at]), _NUMBER[at], 0).astype(np.uint8)
+
+
+_ASCII = np.zeros(256, np.uint8)
+_ASCII[:128] = script_numbers(np.arange(128))
+
+
+def byte_scripts(buf: np.ndarray) -> np.ndarray:
+    """At each character's first UTF-8 byte its script; 0 at other bytes. ``buf`` ends with a whole character."""
+    out = _ASCII[buf]
+    lead = np.flatnonzero(buf >= 0xC2)
+    if len(lead):
+        b = buf[lead].astype(np.int64)
+        next_ = [buf[np.minimum(lead + i, len(buf) - 1)] & 0x3F for i in (1, 2, 3)]
+        two = (b & 0x1F) << 6 | next_[0]
+        three = (b & 0x0F) << 12 | next_[0].astype(np.int64) << 6 | next_[1]
+        four = (b & 0x07) << 18 | next_[0].astype(np.int64) << 12 | next_[1].astype(np.int64) << 6 | next_[2]
+        out[lead] = script_numbers(np.where(b < 0xE0, two, np.where(b < 0xF0, three, four)))
+    return out
+
+
 def _features(buf: np.ndarray, offsets: np.ndarray):
     """Bounds of words, words before each text, trigram bucket of each byte, bucket and script of each word."""
     fold = _FOLD[buf]
@@ -59,7 +120,7 @@ def _features(buf: np.ndarray, offsets: np.ndarray):
     if not len(starts):
         return starts, ends, before, gram, np.zeros(0, np.int64), np.zeros(0, np.uint8)
     word = (mix(_HASHER.words(fold, starts, ends)) >> np.uint64(48)).astype(np.int64)
-    script = np.maximum.reduceat(_SCRIPT[buf], starts)
+    script = np.maximum.reduceat(byte_scripts(buf), starts)
     return starts, ends, before, gram, word, script
 
 

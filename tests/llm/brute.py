@@ -7,6 +7,8 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = {c: c + 32 for c in range(65, 91)}
 
@@ -155,3 +157,61 @@ def mixed(docs, mixing):
     p = {c: min(1.0, scale * fitted[c] / mass[c]) for c in mass}
     chance = lambda k: int(hashlib.md5(f"{k}:0".encode()).hexdigest()[:13], 16) / 2**52
     return {k: (*c, p.get(c, 1.0), chance(k) < p.get(c, 1.0)) for k, c in cell.items()}
+
+
+def languages(train, texts):
+    """(language, share of its words) of each text, by dictionaries of trigrams and words of (text, language) rows."""
+    from ocellus.llm import hashing, langid
+
+    def bucket(word):
+        h = langid._HASHER.words(np.frombuffer(word + b" ", np.uint8), np.array([0]), np.array([len(word)]))
+        return int(hashing.mix(h)[0]) >> 48
+
+    def words(text):
+        data = bytearray(b" " + (text or "").encode() + b" ")
+        for i, b in enumerate(data):
+            if 65 <= b <= 90 or (i and data[i - 1] == 0xC3 and 0x80 <= b <= 0x9E):
+                data[i] = b + 32
+            elif b in b"\t\n\x0b\x0c\r":
+                data[i] = 32
+        out, at = [], 0
+        for w in bytes(data).split(b" "):
+            if w:
+                grams = [((a * 2654435761 + b * 40503 * 65599 + c * 2246822519) % 2**32) >> 16 for a, b, c in zip(data[at - 1 :], w, data[at + 1 :])]
+                scripts = [int(langid.script_numbers(np.array([ord(c)]))[0]) for c in w.decode()]
+                out.append((grams, bucket(w), max(scripts)))
+            at += len(w) + 1
+        return out
+
+    grams, names, scripts = {}, {}, {}
+    for text, lang in train:
+        for g, w, s in words(text):
+            grams.setdefault(lang, Counter()).update(g)
+            names.setdefault(lang, Counter())[w] += 1
+            scripts.setdefault(lang, Counter())[s] += 1
+    langs = sorted(grams)
+    share = {lang: {s: n / max(1, sum(c for k, c in scripts[lang].items() if k)) for s, n in scripts[lang].items()} for lang in langs}
+    total = {id(c): sum(c.values()) for kind in (grams, names) for c in kind.values()}
+    log = lambda counts, key, size: math.log((counts[key] + langid.SMOOTH) / (total[id(counts)] + langid.SMOOTH * size))
+    out = []
+    for text in texts:
+        path, best, tags = [], None, words(text)
+        for g, w, s in tags:
+            fits = [lang for lang in langs if share[lang].get(s, 0) >= langid.SCRIPT_SHARE] or langs
+            own = {lang: 0.0 if s == 0 else sum(log(grams[lang], x, langid.GRAMS) for x in g) + log(names[lang], w, langid.WORDS) + (0 if lang in fits else langid.OFF_SCRIPT) for lang in langs}
+            step = {}
+            for lang in langs:
+                before = (0.0, None) if best is None else max(((best[o] - (0 if o == lang else langid.SWITCH)), o) for o in langs)
+                step[lang] = (before[0] + own[lang], before[1])
+            best = {lang: v for lang, (v, _) in step.items()}
+            path.append({lang: o for lang, (_, o) in step.items()})
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        at, votes = max(langs, key=lambda lang: best[lang]), Counter()
+        for (_, _, s), came in zip(reversed(tags), reversed(path)):
+            votes[at] += s > 0
+            at = came[at]
+        top = max(langs, key=lambda lang: votes[lang])
+        out.append((top, votes[top] / sum(votes.values())))
+    return out

@@ -238,6 +238,32 @@ def test_op3_repeated_ids(spark):
     assert all(sum(r.query_id == q for r in got) == 5 for q in (0, 50, 100))
 
 
+def test_op3_queries_in_several_tasks(spark, monkeypatch):
+    """A segment met by more queries than one task takes gives the same neighbours; a hot query id is shared out too."""
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, 6)))] + [(50, v.tolist()) for v in rng.standard_normal((60, 6))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, hilbert.search(df, F.col("id") % 50 == 0, 5).collect()))
+    monkeypatch.setattr(hilbert, "QUERY_ROWS", 2)
+    assert sorted(map(tuple, hilbert.search(df, F.col("id") % 50 == 0, 5).collect())) == want
+
+
+@pytest.mark.parametrize("clusters", [0, 60])
+def test_op3_recall_on_larger_tables(spark, clusters):
+    """6000 vectors of 64 elements, random or around 60 centers, against brute force."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((6000, 64))
+    if clusters:
+        v = 3 * rng.standard_normal((clusters, 64))[rng.integers(0, clusters, 6000)] + v
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in hilbert.search(df, F.col("id") % 50 == 0, 5).collect()}
+    units = v / np.linalg.norm(v, axis=1)[:, None]
+    near = units[::50] @ units.T
+    near[np.arange(120), np.arange(0, 6000, 50)] = -2
+    want = {(50 * q, int(i)) for q, row in enumerate(near) for i in np.argsort(-row)[:5]}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 # --- op4
 
 
@@ -246,6 +272,35 @@ def test_op4_held_out_accuracy(spark):
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).head()[0] >= 0.95
 
 
+def test_scripts_by_code_point():
+    """Every letter of the basic plane whose name begins with a script's name is of that script, but for a few signs."""
+    import unicodedata
+
+    known = {"CJK": "han", "HIRAGANA": "kana", "KATAKANA": "kana", "NKO": "nko"} | {n.upper(): n for n in langid.SCRIPT_NAMES[1:] if n not in ("other", "han", "kana")}
+    points = np.array([c for c in range(0x80, 0xFFFF) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()])
+    named = [known.get(unicodedata.name(chr(c), "").split(" ")[0].split("-")[0]) for c in points]
+    found = [langid.SCRIPT_NAMES[n] for n in langid.script_numbers(points)]
+    for script in set(named) - {None}:
+        hits = [f == n for f, n in zip(found, named) if n == script]
+        assert sum(hits) >= 0.98 * len(hits) - 1, script
+    text = "aZ1 é Việt ἀβ ж ա א ع अ ก 中 かな 한 \U00020000 😀"
+    marks = langid.byte_scripts(np.frombuffer(text.encode(), np.uint8))
+    at = np.cumsum([0] + [len(c.encode()) for c in text])[:-1]
+    assert marks[at].tolist() == langid.script_numbers(np.array([ord(c) for c in text])).tolist() and marks.sum() == marks[at].sum()
+
+
+def test_op4_equals_dictionaries(spark):
+    """Counts, word scores, switching path and votes against plain loops over words, in double precision."""
+    rows = [(r.doc_id, r.text, r.lang) for r in read_table(spark, DATA, "documents").select("doc_id", "text", "lang").collect()]
+    rows += [(10**6 + i, t, lang) for i, (t, lang) in enumerate([("der Hund lief über die Straße", "de"), ("кошка сидела на окне", "ru"), ("Ёлка 12 x", "ru"), ("\n", None), ("12 !", None), (None, "de"), ("кошка the cat sat", None)])]
+    train = [(t, lang) for i, t, lang in rows if t is not None and lang is not None and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)]
+    want = brute.languages(train, [t for _, t, _ in rows])
+    df = docs(spark, rows)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, langid.fit(df.filter(~langid.held_out()))).collect()}
+    for (i, _, _), (lang, score) in zip(rows, want):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9, i
+
+
 def test_op4_odd_rows_and_spans(spark):
     train = [(i, t, lang) for i in range(20) for t, lang in (("the cat sat on the mat", "en"), ("der Hund lief über die Straße", "de"), ("кошка сидела на окне", "ru"))]
     model = langid.fit(docs(spark, train + [(1, None, "en"), (2, "the", None)]))
