@@ -127,6 +127,31 @@ def _medians(rows: DataFrame, vector: str, centers: np.ndarray, default: np.ndar
     return out
 
 
+def ikmeans(rows: DataFrame, k: int, vector: str = "d", rounds: int = 20, seed: int = 0, initial: np.ndarray | None = None) -> np.ndarray:
+    """Integer centers (k x length, or fewer if there are fewer different rows) of vectors of integers.
+
+    Lloyd's rounds until no center moves: a center is its rows' mean, rounded down; ties go to the
+    smaller center, and a center without rows stays. Distances are exact below 2**53.
+    """
+    if initial is None:
+        x = np.unique(_sample(rows, vector, 1000 * k, seed), axis=0)
+        initial = x[np.sort(np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False))]
+    centers = np.array(initial, np.int64)
+    for _ in range(rounds):
+
+        def assign(v, c=centers.astype(float)):
+            out = np.zeros((len(c), c.shape[1] + 1))
+            np.add.at(out, _to_centers(v, c, "l2").argmin(1), np.column_stack([v, np.ones(len(v))]))
+            return out
+
+        s = _partial(rows, vector, assign, centers.shape[1] + 1)
+        moved = np.where(s[:, -1:] > 0, np.floor(s[:, :-1] / np.maximum(s[:, -1:], 1)), centers).astype(np.int64)
+        if (moved == centers).all():
+            break
+        centers = moved
+    return centers
+
+
 def first_vectors(rows: DataFrame, key: str, k: int, vector: str = "d", start: int = 0) -> np.ndarray:
     """The vectors of the k rows with the least keys of at least ``start``: centers that don't depend on chance."""
     return np.array([r[0] for r in rows.filter(F.col(key) >= start).orderBy(key).limit(k).select(vector).collect()], float)
@@ -169,9 +194,11 @@ def gmm_frame(spark: SparkSession, w: np.ndarray, mu: np.ndarray, sigma: np.ndar
     return spark.createDataFrame([(k, float(w[k]), mu[k].tolist(), sigma[k].tolist()) for k in range(len(w))], "k int, w double, mu array<double>, sigma array<double>")
 
 
-def hkm_fit(rows: DataFrame, levels: int, branch: int, vector: str = "d", rounds: int = 10, seed: int = 0) -> list[np.ndarray]:
+def hkm_fit(rows: DataFrame, levels: int, branch: int, vector: str = "d", rounds: int = 10, seed: int = 0, integer: bool = False) -> list[np.ndarray]:
     """Centers of a tree with ``branch`` children a node: one array of branch**(level + 1) centers a level.
 
+    integer: the vectors have integers, and so have the centers, rounded down.
+
     All nodes of a level are fitted in the same passes, each on the rows that the levels above send it.
     """
     x = _sample(rows, vector, 2000 * branch, seed)
@@ -190,6 +217,7 @@ def hkm_fit(rows: DataFrame, levels: int, branch: int, vector: str = "d", rounds
 
             s = _partial(rows, vector, assign, x.shape[1] + 1)
             moved = np.where(s[:, -1:] > 0, s[:, :-1] / np.maximum(s[:, -1:], 1), centers)
+            moved = np.floor(moved) if integer else moved
             if np.allclose(moved, centers, atol=1e-12):
                 break
             centers = moved
@@ -244,12 +272,55 @@ def pca(rows: DataFrame, vector: str = "d", centered: bool = False) -> tuple[np.
     """(mean, eigenvalues descending, eigenvectors as rows) of the covariance over n, from one pass of outer products."""
     s = _partial(rows, vector, lambda v: np.column_stack([np.vstack([v.T @ v, v.sum(0)]), np.full(v.shape[1] + 1, len(v))]), len(rows.head()[vector]) + 1)
     n, mean = s[0, -1], s[-1, :-1] / s[0, -1]
-    cov = s[:-1, :-1] / n - (0 if centered else np.outer(mean, mean))
+    return mean, *_axes(s[:-1, :-1] / n - (0 if centered else np.outer(mean, mean)))
+
+
+def _axes(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues descending, and eigenvectors as rows whose largest element is positive."""
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)
     vectors = vectors[:, order].T
     flip = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(1)])
-    return mean, values[order], vectors * flip[:, None]
+    return values[order], vectors * flip[:, None]
+
+
+def moments(rows: DataFrame, vector: str = "d") -> DataFrame:
+    """i, j (from 0, i <= j), n, si, sj, sij: what a covariance needs of these rows. Tables of several loads add up in ``merged``."""
+
+    def run(batches):
+        n, total = 0, None
+        for b in batches:
+            if b.num_rows:
+                v = np.array(b.column(0).to_pylist(), float)
+                part = np.vstack([v.T @ v, v.sum(0)])
+                n, total = n + len(v), part if total is None else total + part
+        if total is not None:
+            i, j = np.triu_indices(total.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.full(len(i), n)), *(pa.array(x) for x in (total[-1, i], total[-1, j], total[i, j]))], ["i", "j", "n", "si", "sj", "sij"])
+
+    return merged(rows.select(vector).mapInArrow(run, "i int, j int, n long, si double, sj double, sij double"))
+
+
+def merged(*parts: DataFrame) -> DataFrame:
+    """One table of moments for the rows of all parts."""
+    return reduce(DataFrame.unionByName, parts).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
+
+
+def moments_covariance(m: DataFrame) -> DataFrame:
+    """i, j, mean_i, mean_j, cov (over n) of moments."""
+    means = m.select("i", "j", (F.col("si") / F.col("n")).alias("mean_i"), (F.col("sj") / F.col("n")).alias("mean_j"), (F.col("sij") / F.col("n")).alias("_m"))
+    return means.withColumn("cov", F.col("_m") - F.col("mean_i") * F.col("mean_j")).drop("_m")
+
+
+def pca_of(m: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, eigenvalues descending, eigenvectors as rows) of moments."""
+    rows = moments_covariance(m).collect()
+    d = 1 + max(r["j"] for r in rows)
+    mean, cov = np.zeros(d), np.zeros((d, d))
+    for r in rows:
+        mean[r["j"]] = r["mean_j"]
+        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["cov"]
+    return mean, *_axes(cov)
 
 
 def spectral(affinity: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

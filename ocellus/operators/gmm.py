@@ -66,6 +66,37 @@ def fisher_full(post: DataFrame, gmm: DataFrame, by: str, vector: str = "d", lea
     return sums.select(by, "k", "j", (F.col("u") / (F.col("n") * F.sqrt("w"))).alias("u"), (F.col("v") / (F.col("n") * F.sqrt(2 * F.col("w")))).alias("v"))
 
 
+def fisher_weight(post: DataFrame, gmm: DataFrame, by: str) -> DataFrame:
+    """by, k, v for all Gaussians but the first: its posteriors over w less the first's, over sqrt(n (1/w + 1/w first))."""
+    sums = post.groupBy(by, "k").agg(F.sum("p").alias("sp"), F.count(F.lit(1)).alias("n")).join(F.broadcast(gmm.select("k", "w")), "k")
+    first = sums.join(F.broadcast(gmm.agg(F.min("k").alias("k"))), "k").select(by, F.col("k").alias("_k"), F.col("w").alias("_w"), F.col("sp").alias("_sp"))
+    both = sums.join(first, by).filter(F.col("k") != F.col("_k"))
+    return both.select(by, "k", ((F.col("sp") / F.col("w") - F.col("_sp") / F.col("_w")) / F.sqrt(F.col("n") * (1 / F.col("w") + 1 / F.col("_w")))).alias("v"))
+
+
+def _deviations(post: DataFrame, gmm: DataFrame, by: str, vector: str) -> DataFrame:
+    """by, k, j, e (sum of p (z^2 - 1)), n, w, s (the variance)."""
+    model = gmm.select("k", "w", F.posexplode(F.arrays_zip("mu", "sigma")).alias("j", "m"))
+    rows = post.select(by, "k", "p", F.posexplode(vector).alias("j", "x"))
+    p, x = F.col("p"), F.col("x")
+    sums = rows.groupBy(by, "k", "j").agg(F.sum(p * x * x).alias("pxx"), F.sum(p * x).alias("px"), F.sum(p).alias("sp"), F.count(F.lit(1)).alias("n"))
+    m, s = F.col("m.mu"), F.col("m.sigma")
+    e = (F.col("pxx") - 2 * m * F.col("px") + m * m * F.col("sp")) / s - F.col("sp")
+    return sums.join(F.broadcast(model), ["k", "j"]).select(by, "k", "j", e.alias("e"), "n", "w", s.alias("s"))
+
+
+def fisher_sigma(post: DataFrame, gmm: DataFrame, by: str, vector: str = "d") -> DataFrame:
+    """by, k, j, v: the part of the variances, sum of p (z^2 - 1) over sqrt(2 n w)."""
+    return _deviations(post, gmm, by, vector).select(by, "k", "j", (F.col("e") / F.sqrt(2 * F.col("n") * F.col("w"))).alias("v"))
+
+
+def fisher_one_sigma(post: DataFrame, gmm: DataFrame, by: str, vector: str = "d") -> DataFrame:
+    """by, k, v: one variance for each Gaussian; all dimensions' sums over sqrt(2 d n w / the first dimension's variance)."""
+    first = F.max(F.when(F.col("j") == 0, F.col("s")))
+    sums = _deviations(post, gmm, by, vector).groupBy(by, "k").agg(F.sum(F.col("e") / F.sqrt("s")).alias("e"), F.count(F.lit(1)).alias("d"), F.first("n").alias("n"), F.first("w").alias("w"), first.alias("s"))
+    return sums.select(by, "k", (F.col("e") / F.sqrt(2 * F.col("d") * F.col("n") * F.col("w") / F.col("s"))).alias("v"))
+
+
 def hard(post: DataFrame, key: str = "vec_id") -> DataFrame:
     """Posteriors with 1 for each descriptor's most likely Gaussian (ties to the smaller k) and 0 for others."""
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("p"), "k")) == 1

@@ -150,6 +150,21 @@ def box_sums(table: DataFrame, boxes: DataFrame, row: str, col: str) -> DataFram
     return boxes.join(hit.groupBy("id").agg(F.sum(F.coalesce("area", F.lit(0)) * F.col("_g")).alias("total")), "id")
 
 
+def integral_histogram(cells: DataFrame, row: str, col: str, bin_: str, bins: int) -> DataFrame:
+    """cells with ``hist``: how many cells above and left of each, itself included, have each bin from 0. The grid must be full."""
+    run = lambda p, o: Window.partitionBy(p).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    names = [f"_h{b}" for b in range(bins)]
+    across = cells.withColumns({n: F.sum((F.col(bin_) == b).cast("long")).over(run(row, col)) for b, n in enumerate(names)})
+    return across.withColumns({n: F.sum(n).over(run(col, row)) for n in names}).withColumn("hist", F.array(*names)).drop(*names)
+
+
+def box_histograms(table: DataFrame, boxes: DataFrame, row: str, col: str) -> DataFrame:
+    """id, bin, n of boxes (id, r0, c0, r1, c1, inclusive), by four corners of an integral histogram."""
+    corners = boxes.select("id", F.explode(F.array(*[F.struct(r.alias(row), c.alias(col), F.lit(s).alias("_g")) for r, c, s in ((F.col("r1"), F.col("c1"), 1), (F.col("r0") - 1, F.col("c1"), -1), (F.col("r1"), F.col("c0") - 1, -1), (F.col("r0") - 1, F.col("c0") - 1, 1))])).alias("_k")).select("id", "_k.*")
+    hit = corners.join(table.select(row, col, "hist"), [row, col]).select("id", "_g", F.posexplode("hist").alias("bin", "n"))
+    return hit.groupBy("id", "bin").agg(F.sum(F.col("n") * F.col("_g")).alias("n"))
+
+
 def matrix_product(a: DataFrame, b: DataFrame) -> DataFrame:
     """i, j, v of two matrices in long form (i, j, v): a join on the shared index and a grouped sum."""
     return a.select("i", F.col("j").alias("_k"), F.col("v").alias("_x")).join(b.select(F.col("i").alias("_k"), "j", F.col("v").alias("_y")), "_k").groupBy("i", "j").agg(F.sum(F.col("_x") * F.col("_y")).alias("v"))

@@ -103,6 +103,31 @@ def fisher_mu_arrow(spark, sf_dir):
     return out.select("clip", F.col("k").cast("int").alias("k"), (F.col("j") + 1).cast("long").alias("j"), (F.round("v", 5) + 0.0).alias("v"))
 
 
+_Z = f"{POSTERIOR}, z AS (SELECT p.clip, p.k, l.j, p.p, (x - mu) * (x - mu) / sigma - 1 AS e, sigma, w FROM post p JOIN dlong l USING (vec_id) JOIN gstat s ON s.k = p.k AND s.j = l.j JOIN gw ON gw.k = p.k)"
+
+
+@query(f"WITH {_Z} SELECT clip, k, j, round(sum(p * e) / sqrt(2 * count(*) * any_value(w)), 5) + 0 AS v FROM z GROUP BY clip, k, j")
+def fisher_sigma(spark, sf_dir):
+    out = gmm.fisher_sigma(*_post(spark, sf_dir), "clip")
+    return out.select("clip", "k", (F.col("j") + 1).cast("long").alias("j"), (F.round("v", 5) + 0.0).alias("v"))
+
+
+@query(
+    f"""WITH {_Z}, s AS (SELECT clip, k, j, sum(p * e / sqrt(sigma)) AS a, count(*) AS n, any_value(w) AS w, any_value(sigma) AS sigma FROM z GROUP BY clip, k, j)
+SELECT clip, k, round(sum(a) / sqrt(2 * 8 * any_value(n) * any_value(w) / max(CASE WHEN j = 1 THEN sigma END)), 5) + 0 AS v FROM s GROUP BY clip, k"""
+)
+def fisher_one_sigma(spark, sf_dir):
+    return gmm.fisher_one_sigma(*_post(spark, sf_dir), "clip").withColumn("v", F.round("v", 5) + 0.0)
+
+
+@query(
+    f"""WITH {POSTERIOR}, s AS (SELECT clip, k, sum(p) AS sp, count(*) AS n FROM post GROUP BY clip, k), t AS (SELECT * FROM s JOIN gw USING (k))
+SELECT t.clip, t.k, round((t.sp / t.w - f.sp / f.w) / sqrt(t.n * (1 / t.w + 1 / f.w)), 5) + 0 AS v FROM t JOIN t f ON f.clip = t.clip AND f.k = (SELECT min(k) FROM gw) WHERE t.k <> f.k"""
+)
+def fisher_weight(spark, sf_dir):
+    return gmm.fisher_weight(*_post(spark, sf_dir), "clip").withColumn("v", F.round("v", 5) + 0.0)
+
+
 @query(
     f"""WITH {POSTERIOR}, z AS (SELECT p.clip, p.k, l.j, CASE WHEN p >= 1e-6 THEN p ELSE 0 END AS p, (x - mu) / sqrt(sigma) AS z, w FROM post p JOIN dlong l USING (vec_id) JOIN gstat s ON s.k = p.k AND s.j = l.j JOIN gw ON gw.k = p.k)
 SELECT clip, k, j, round(sum(p * z) / (count(*) * sqrt(any_value(w))), 5) + 0 AS u, round(sum(p * (z * z - 1)) / (count(*) * sqrt(2 * any_value(w))), 5) + 0 AS v FROM z GROUP BY clip, k, j"""

@@ -133,6 +133,21 @@ def box_sums(spark, sf_dir):
     return stats.box_sums(_grid(spark, sf_dir), boxes, "r", "c").select("id", "total")
 
 
+@query(
+    f"""WITH {EMB}, x AS (SELECT vec_id AS r, unnest(range(0, 64)) AS c, unnest(list_transform(e, lambda v: least(3, greatest(0, floor(v * 2) + 2)))) AS bin FROM emb),
+b AS (SELECT vec_id AS id, vec_id AS r0, vec_id + 20 AS r1, vec_id % 7 AS c0, vec_id % 7 + 30 AS c1 FROM emb WHERE vec_id % 50 = 0 AND vec_id + 20 <= (SELECT max(vec_id) FROM emb))
+SELECT id, bin::INTEGER AS bin, count(*) AS n FROM b JOIN x ON r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1 GROUP BY ALL"""
+)
+def integral_histogram(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    x = e.select(F.col("vec_id").alias("r"), F.posexplode("e").alias("c", "v")).withColumn("c", F.col("c").cast("long"))
+    cells = x.withColumn("bin", F.least(F.lit(3), F.greatest(F.lit(0), F.floor(F.col("v") * 2) + 2)))
+    table = stats.integral_histogram(cells, "r", "c", "bin", 4)
+    k, last = F.col("vec_id"), e.agg(F.max("vec_id").alias("last"))
+    boxes = e.filter(k % 50 == 0).join(F.broadcast(last)).filter(k + 20 <= F.col("last")).select(k.alias("id"), k.alias("r0"), (k % 7).alias("c0"), (k + 20).alias("r1"), (k % 7 + 30).alias("c1"))
+    return stats.box_histograms(table, boxes, "r", "c").filter("n > 0")
+
+
 @query(f"WITH {EMB}, x AS (SELECT label AS i, unnest(range(0, 64)) AS j, unnest(e) AS v FROM emb), m AS (SELECT i, j, sum(v) AS v FROM x GROUP BY ALL) SELECT a.i, b.i AS j, round(sum(a.v * b.v), 5) + 0 AS v FROM m a JOIN m b ON a.j = b.j GROUP BY ALL")
 def matrix_product(spark, sf_dir):
     m = embeddings(spark, sf_dir).select(F.col("label").alias("i"), F.posexplode("e").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))

@@ -57,6 +57,25 @@ def kmeans_l1(spark, sf_dir):
     return d.select(best.alias("b")).groupBy(F.col("b.k").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("b.dist"), 5).alias("dist"))
 
 
+_BYTES = f"{DESC}, dlong AS (SELECT vec_id, unnest(range(1, 9)) AS j, unnest(list_transform(d, lambda v: least(255, greatest(0, floor(v * 32) + 128)))) AS x FROM descr)"
+
+
+@query(f"WITH {_BYTES}, {kmeans_sql('', 8, 4, center='floor(sum(x) / count(*))')} SELECT vec_id, k::INTEGER AS k, round(dist, 6) AS dist FROM near")
+def ikmeans(spark, sf_dir):
+    whole = F.transform("d", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v * 32) + 128)).cast("double"))
+    d = descriptors(spark, sf_dir).withColumn("d", whole)
+    centers = cluster.ikmeans(d, 8, rounds=4, initial=cluster.first_vectors(d, "vec_id", 8))
+    return gmm.nearest(d, cluster.centers_frame(spark, centers)).select("vec_id", "k", F.round("dist", 6).alias("dist"))
+
+
+@query(f"WITH {_DL} SELECT (a.j - 1)::INTEGER AS i, (b.j - 1)::INTEGER AS j, round(avg(a.x), 6) + 0 AS mean_i, round(avg(a.x * b.x) - avg(a.x) * avg(b.x), 6) + 0 AS cov FROM dlong a JOIN dlong b ON a.vec_id = b.vec_id AND a.j <= b.j GROUP BY ALL")
+def pca_online(spark, sf_dir):
+    """Moments of three loads of rows, merged."""
+    d = descriptors(spark, sf_dir)
+    m = cluster.merged(*[cluster.moments(d.filter(F.col("vec_id") % 3 == part)) for part in range(3)])
+    return cluster.moments_covariance(m).select("i", "j", (F.round("mean_i", 6) + 0.0).alias("mean_i"), (F.round("cov", 6) + 0.0).alias("cov"))
+
+
 _EM = f"""{GMM}, g0 AS (SELECT dense_rank() OVER (ORDER BY k) - 1 AS k, j, mu, sigma FROM gstat), w0 AS (SELECT dense_rank() OVER (ORDER BY k) - 1 AS k, w FROM gw)""" + "".join(
     f""",
 l{r} AS MATERIALIZED (SELECT vec_id, k, ln(any_value(w)) - 0.5 * sum(ln(2 * pi() * sigma) + (x - mu) * (x - mu) / sigma) AS l FROM dlong JOIN g{r} USING (j) JOIN w{r} USING (k) GROUP BY vec_id, k),

@@ -383,3 +383,25 @@ def test_queries_are_broadcast_in_blocks_of_bytes(spark):
     q = spark.createDataFrame([(k, [float(k)] * 10) for k in range(20)], "query_id long, q array<double>")
     d = spark.createDataFrame([(k,) for k in range(5)], "item_id long")
     assert scoring.compared(q, d, most_bytes=400).select("query_id", "item_id").distinct().count() == 100
+
+
+def test_moments_of_loads_give_the_whole_pca(spark):
+    from ocellus.operators import cluster
+
+    v = np.random.default_rng(4).standard_normal((300, 5)) * [1, 2, 3, 4, 5]
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, d array<double>")
+    m = cluster.merged(cluster.moments(d.filter("id < 100")), cluster.moments(d.filter("id >= 100")), cluster.moments(d.filter("id < 0")))
+    for got, want in zip(cluster.pca_of(m), cluster.pca(d)):
+        assert np.allclose(got, want, atol=1e-9)
+
+
+def test_integer_trees(spark):
+    from ocellus.operators import cluster
+
+    v = np.random.default_rng(4).integers(0, 256, (200, 3))
+    d = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, d array<double>")
+    tree = cluster.hkm_fit(d, 2, 3, integer=True)
+    assert [len(t) for t in tree] == [3, 9] and all((t == np.floor(t)).all() for t in tree)
+    centers = cluster.ikmeans(d, 4, rounds=100)
+    own = ((v[:, None] - centers) ** 2).sum(2).argmin(1)
+    assert centers.dtype == np.int64 and all((centers[c] == v[own == c].sum(0) // (own == c).sum()).all() for c in range(4))
