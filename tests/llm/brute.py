@@ -1,5 +1,6 @@
 """Plain versions of the operators, to hold them against."""
 
+import functools
 import hashlib
 import math
 import re
@@ -163,10 +164,15 @@ def languages(train, texts):
     """(language, share of its words) of each text, by dictionaries of trigrams and words of (text, language) rows."""
     from ocellus.llm import hashing, langid
 
+    @functools.cache
     def bucket(word):
         h = langid._HASHER.words(np.frombuffer(word + b" ", np.uint8), np.array([0]), np.array([len(word)]))
         return int(hashing.mix(h)[0]) >> 48
 
+    @functools.cache
+    def script(word):
+        return max(int(langid.script_numbers(np.array([ord(c)]))[0]) for c in word.decode())
+
     def words(text):
         data = bytearray(b" " + (text or "").encode() + b" ")
         for i, b in enumerate(data):
@@ -178,8 +184,7 @@ def languages(train, texts):
         for w in bytes(data).split(b" "):
             if w:
                 grams = [((a * 2654435761 + b * 40503 * 65599 + c * 2246822519) % 2**32) >> 16 for a, b, c in zip(data[at - 1 :], w, data[at + 1 :])]
-                scripts = [int(langid.script_numbers(np.array([ord(c)]))[0]) for c in w.decode()]
-                out.append((grams, bucket(w), max(scripts)))
+                out.append((grams, bucket(w), script(w)))
             at += len(w) + 1
         return out
 
@@ -193,12 +198,19 @@ def languages(train, texts):
     share = {lang: {s: n / max(1, sum(c for k, c in scripts[lang].items() if k)) for s, n in scripts[lang].items()} for lang in langs}
     total = {id(c): sum(c.values()) for kind in (grams, names) for c in kind.values()}
     log = lambda counts, key, size: math.log((counts[key] + langid.SMOOTH) / (total[id(counts)] + langid.SMOOTH * size))
+    known = {}
+
+    def scores(g, w, s):
+        if (tuple(g), w, s) not in known:
+            fits = [lang for lang in langs if share[lang].get(s, 0) >= langid.SCRIPT_SHARE] or langs
+            known[tuple(g), w, s] = {lang: 0.0 if s == 0 else sum(log(grams[lang], x, langid.GRAMS) for x in g) + log(names[lang], w, langid.WORDS) + (0 if lang in fits else langid.OFF_SCRIPT) for lang in langs}
+        return known[tuple(g), w, s]
+
     out = []
     for text in texts:
         path, best, tags = [], None, words(text)
         for g, w, s in tags:
-            fits = [lang for lang in langs if share[lang].get(s, 0) >= langid.SCRIPT_SHARE] or langs
-            own = {lang: 0.0 if s == 0 else sum(log(grams[lang], x, langid.GRAMS) for x in g) + log(names[lang], w, langid.WORDS) + (0 if lang in fits else langid.OFF_SCRIPT) for lang in langs}
+            own = scores(g, w, s)
             step = {}
             for lang in langs:
                 before = (0.0, None) if best is None else max(((best[o] - (0 if o == lang else langid.SWITCH)), o) for o in langs)
