@@ -79,7 +79,7 @@ def _step(k: int, bins: list[list[int]], fill: list[int], lengths: list[int], ca
     return best
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 3) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Move documents, or exchange one for one or two for one, between underfull bins until no step helps.
 
     Receivers go from the fullest underfull bin down and take from bins no fuller than themselves, so
@@ -87,7 +87,8 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
     """
     bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
+    changed = True
+    while changed:
         open_ = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (-fill[k], k))
         items = sorted((lengths[i], i, k) for k in open_ for i in bins[k])
         changed = False
@@ -102,8 +103,6 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
                     fill[a] -= lengths[i]
                     fill[b] += lengths[i]
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 

@@ -521,6 +521,16 @@ def test_local_search_keeps_all_and_never_adds_bins(lengths):
     assert all(sum(lengths[i] for i in b) <= 100 for b in after)
 
 
+@pytest.mark.parametrize("least, most", [(600, 760), (500, 1200)])
+def test_local_search_ends_where_no_step_helps(least, most):
+    rng = random.Random(5)
+    lengths = [rng.randint(least, most) for _ in range(1500)]
+    before = packing.best_fit(lengths, 2048)
+    after = packing.local_search(before, lengths, 2048)
+    again = packing.local_search(after, lengths, 2048)
+    assert len(after) < len(before) and sorted(map(sorted, again)) == sorted(map(sorted, after))
+
+
 def test_local_search_empties_bins():
     lengths = [60, 60, 55, 45, 40, 40]
     assert len(packing.local_search([[0], [1], [2], [3, 4], [5]], lengths, 100)) == 3
