@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ocellus.functions import vec
-from ocellus.operators import cluster, gmm, learn, stats
+from ocellus.operators import cluster, forest, gmm, learn, stats
 from ocellus.plans.fixtures import DESC, GMM, descriptors, read
 from ocellus.plans.fixtures import gmm as closed_gmm
 from ocellus.plans.registry import query
@@ -117,6 +117,30 @@ def hashed_cell_neighbours(spark, sf_dir):
     return found.select("query_id", "base_id", F.round("dist", 6).alias("dist"), "rank")
 
 
+def _forest(spark, sf_dir, trees, levels, probes):
+    d = descriptors(spark, sf_dir)
+    q = d.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("d").alias("q"))
+    built = forest.build_forest(d, trees, levels)
+    found = forest.forest_neighbours(q, d.select(F.col("vec_id").alias("base_id"), F.col("d").alias("b")), 5, built, probes, salts=2)
+    return found.select("query_id", "base_id", F.round("dist", 6).alias("dist"), "rank")
+
+
+@query(
+    f"""WITH {DESC}, dd AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, round(list_sum(list_transform(range(1, 9), lambda i: (a.d[i] - b.d[i]) * (a.d[i] - b.d[i]))), 9) AS dist
+  FROM descr a CROSS JOIN descr b WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, base_id) AS rank FROM dd)
+SELECT query_id, base_id, round(dist, 6) AS dist, rank::INTEGER AS rank FROM r WHERE rank <= 5"""
+)
+def kd_forest_exact(spark, sf_dir):
+    """A forest all of whose leaves are searched finds the exact neighbours."""
+    return _forest(spark, sf_dir, 2, 3, 16)
+
+
+@query()
+def kd_forest_neighbours(spark, sf_dir):
+    return _forest(spark, sf_dir, 4, 6, 48)
+
+
 @query()
 def pca_eigs(spark, sf_dir):
     _, values, vectors = cluster.pca(descriptors(spark, sf_dir))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ocellus.functions import paths, vec
-from ocellus.operators import bloom, cluster, evaluate, gmm, index, learn, neighbours, scoring, shots, stats
+from ocellus.operators import bloom, cluster, evaluate, forest, gmm, index, learn, neighbours, scoring, shots, stats
 from ocellus.operators.scoring import QueryParams
 
 
@@ -189,6 +189,34 @@ def test_cell_neighbours_are_exact_within_cells(spark):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_forest_bounds_hold_and_own_leaf_is_nearest(spark):
+    x = np.random.default_rng(4).normal(size=(300, 6))
+    tree = forest.build_forest(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, d array<double>"), 1, 4)[0]
+    own, bound = forest.leaves(tree, x), forest.leaf_bounds(tree, x)
+    dist = ((x[:, None] - x) ** 2).sum(2)
+    assert (bound[:, own] <= dist + 1e-12).all() and (bound[np.arange(300), own] == 0).all() and len(set(own)) == 16
+
+
+@pytest.mark.parametrize("centers", [0, 30])
+def test_forest_recall(spark, centers):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 8)) + (rng.normal(0, 4, (centers, 8))[rng.integers(0, centers, 4000)] if centers else 0)
+    d = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "vec_id long, d array<double>")
+    q, b = d.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("d").alias("q")), d.select(F.col("vec_id").alias("base_id"), F.col("d").alias("b"))
+    built = forest.build_forest(d.filter("d IS NOT NULL"), 4, 6, median=centers == 0)
+    near = {s: sorted(map(tuple, forest.forest_neighbours(q, b, 5, built, 48, salts=s).collect())) for s in (1, 3)}
+    dist = ((x[::100, None] - x) ** 2).sum(2)
+    want = {(100 * k, int(j)) for k, r in enumerate(dist.argsort(1)[:, :5]) for j in r}
+    assert near[1] == near[3] and len({(r[0], r[1]) for r in near[1]} & want) >= 0.9 * len(want)
+
+
+def test_forest_of_few_or_equal_rows(spark):
+    for rows, n in (([], 0), ([(1, [1.0, 2.0])] * 1, 1), ([(i, [1.0, 2.0]) for i in range(7)], 3)):
+        d = frame(spark, rows, "vec_id long, d array<double>")
+        got = forest.forest_neighbours(d.selectExpr("vec_id query_id", "d q"), d.selectExpr("vec_id base_id", "d b"), 3, forest.build_forest(d, 2, 3), 4)
+        assert [(r.base_id, r.dist) for r in got.filter("query_id = 1").orderBy("rank").collect()] == [(r[0], 0.0) for r in rows[:n]]
+
+
 def test_spectral_parts_blobs():
     x = np.concatenate([np.random.default_rng(0).normal(c, 0.1, (20, 2)) for c in (0, 5)])
     own = cluster.spectral(np.exp(-((x[:, None] - x) ** 2).sum(2)), 2)
