@@ -63,32 +63,95 @@ def aib_cut(parents: np.ndarray, clusters: int) -> np.ndarray:
     return np.where(leaves >= 0, np.searchsorted(kept, leaves), -1)
 
 
-def linear_fit(rows: DataFrame, loss: str = "hinge", lam: float = 1e-3, features: str = "d", label: str = "label", rounds: int = 100) -> tuple[np.ndarray, float, float]:
-    """(weights, bias, mean loss + lam / 2 |w|^2) of a linear model for labels -1 and 1.
+LOSSES = {
+    "hinge": lambda z, y: F.greatest(F.lit(0.0), 1 - y * z),
+    "hinge2": lambda z, y: F.pow(F.greatest(F.lit(0.0), 1 - y * z), F.lit(2.0)),
+    "logistic": lambda z, y: F.log1p(F.exp(-y * z)),
+    "l1": lambda z, y: F.abs(z - y),
+    "l2": lambda z, y: (z - y) * (z - y) / 2,
+}
 
-    loss: hinge, logistic, or l2 (squared error). The solvers are Spark's own, on standard rows.
+
+def linear_fit(rows: DataFrame, loss: str = "hinge", lam: float = 1e-3, features: str = "d", label: str = "label", rounds: int = 100, weight: str | None = None) -> tuple[np.ndarray, float, float]:
+    """(weights, bias, mean loss + lam / 2 |w|^2) of a linear model for labels -1 and 1; the bias has no penalty.
+
+    loss: hinge, hinge2 (squared hinge), logistic, l1 (absolute error) or l2 (half the squared error);
+    ``weight`` names a column of row weights, over whose sum the mean is taken. hinge, logistic and l2 have
+    Spark's own solvers, the others ``reweighted_fit``.
     """
     from pyspark.ml.classification import LinearSVC, LogisticRegression
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import LinearRegression
 
-    x = rows.select(array_to_vector(features).alias("x"), F.col(features).alias("v"), F.col(label).cast("double").alias("y"), (F.col(label) > 0).cast("double").alias("c"))
-    common = {"featuresCol": "x", "regParam": lam, "maxIter": rounds, "standardization": False}
-    if loss == "hinge":
-        m = LinearSVC(labelCol="c", **common).fit(x)
-    elif loss == "logistic":
-        m = LogisticRegression(labelCol="c", **common).fit(x)
-    elif loss == "l2":
-        m = LinearRegression(labelCol="y", **common).fit(x)
-    else:
+    if loss not in LOSSES:
         raise ValueError(loss)
-    w, b = m.coefficients.toArray(), float(m.intercept)
+    x = rows.select(array_to_vector(features).alias("x"), F.col(features).alias("v"), F.col(label).cast("double").alias("y"), (F.col(label) > 0).cast("double").alias("c"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("r"))
+    common = {"featuresCol": "x", "weightCol": "r", "regParam": lam, "maxIter": rounds}
+    if loss in ("hinge2", "l1"):
+        w, b, _ = reweighted_fit(x, loss, lam, rounds)
+    else:
+        if loss == "hinge":
+            m = LinearSVC(labelCol="c", standardization=False, **common).fit(x)
+        elif loss == "logistic":
+            m = LogisticRegression(labelCol="c", standardization=False, **common).fit(x)
+        else:
+            m = LinearRegression(labelCol="y", standardization=False, **common).fit(x)
+        w, b = m.coefficients.toArray(), float(m.intercept)
     margin = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(k)) for k in w]), lambda a, c: a * c), F.lit(b), lambda a, t: a + t)
-    value = {"hinge": lambda z, y: F.greatest(F.lit(0.0), 1 - y * z), "logistic": lambda z, y: F.log1p(F.exp(-y * z)), "l2": lambda z, y: (z - y) * (z - y) / 2}[loss]
-    mean = x.agg(F.avg(value(margin, F.col("y")))).head()[0]
+    mean = x.agg(F.sum(F.col("r") * LOSSES[loss](margin, F.col("y"))) / F.sum("r")).head()[0]
     return w, b, float(mean) + lam / 2 * float(w @ w)
 
 
+def reweighted_fit(rows: DataFrame, loss: str, lam: float, rounds: int = 100, tolerance: float = 1e-6, floor: float = 1e-6) -> tuple[np.ndarray, float, list[float]]:
+    """(weights, bias, objective by round) by least squares with weights renewed each round: v, y, r (row weight).
+
+    hinge2: Newton's method, rows within the margin count and steps are halved until the objective falls.
+    l1: rows weigh one over their error, ``floor`` at least. A round is one pass of outer products, added
+    up in Spark; it stops when the objective falls by less than ``tolerance`` of itself.
+    """
+    from ocellus.operators.cluster import _partial
+
+    packed = rows.select(F.concat(F.col("v").cast("array<double>"), F.array("y", "r")).alias("v"))
+    dim = len(packed.head()["v"]) - 2
+    penalty = np.append(np.full(dim, lam), 0.0)
+
+    def evaluate(model):
+        def part(m):
+            x, y, r = np.column_stack([m[:, :dim], np.ones(len(m))]), m[:, dim], m[:, dim + 1]
+            z = x @ model
+            if loss == "hinge2":
+                value, own = np.maximum(0, 1 - y * z) ** 2, 2.0 * (y * z < 1)
+            else:
+                value = np.abs(z - y)
+                own = 1 / np.maximum(value, floor)
+            out = np.column_stack([(x * (r * own)[:, None]).T @ x, x.T @ (r * own * y), np.zeros((dim + 1, 2))])
+            out[0, -2:] = (r * value).sum(), r.sum()
+            return out
+
+        s = _partial(packed, "v", part, dim + 4)
+        total = s[0, -1]
+        return s[0, -2] / total + float(penalty @ model**2) / 2, s[:, : dim + 1] / total + np.diag(penalty), s[:, dim + 1] / total
+
+    model = np.zeros(dim + 1)
+    objective, gram, aim = evaluate(model)
+    history = [objective]
+    for _ in range(rounds):
+        step = np.linalg.lstsq(gram, aim, rcond=None)[0] - model
+        for _ in range(20):
+            now = evaluate(model + step)
+            if now[0] <= objective:
+                break
+            step = step / 2
+        else:
+            break
+        model, last = model + step, objective
+        objective, gram, aim = now
+        history.append(objective)
+        if last - objective <= tolerance * abs(last):
+            break
+    return model[:-1], float(model[-1]), history
+
+
 def _spectrum(kernel: str, x: float) -> float:
     sech = 1 / math.cosh(min(700.0, abs(math.pi * x)))
     return {"chi2": sech, "intersection": 2 / math.pi / (1 + 4 * x * x), "js": 2 / math.log(4) * sech / (1 + 4 * x * x)}[kernel]

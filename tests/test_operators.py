@@ -244,11 +244,41 @@ def test_kernel_map_approximates_chi2(spark):
 def test_linear_fit_separates(spark):
     x, d = blobs(spark, 2)
     rows = d.withColumn("label", F.when(F.col("vec_id") < 30, -1).otherwise(1))
-    for loss in ("hinge", "logistic", "l2"):
+    for loss in learn.LOSSES:
         w, b, objective = learn.linear_fit(rows, loss, 1e-3)
         assert (((x @ w + b) > 0) == (np.arange(60) >= 30)).all() and objective < 0.2
 
 
+def _objective(loss, x, y, r, lam, w, b):
+    z = x @ w + b
+    value = {"hinge": np.maximum(0, 1 - y * z), "hinge2": np.maximum(0, 1 - y * z) ** 2, "logistic": np.log1p(np.exp(-y * z)), "l1": np.abs(z - y), "l2": (z - y) ** 2 / 2}[loss]
+    return (r * value).sum() / r.sum() + lam / 2 * w @ w
+
+
+@pytest.mark.parametrize("loss", list(learn.LOSSES))
+def test_linear_fit_is_least_and_weights_are_copies(spark, loss):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(120, 3))
+    y, r = np.where(x @ [1, -2, 0.5] + rng.normal(0, 1.5, 120) > 0.3, 1, -1), rng.integers(1, 4, 120)
+    schema = "d array<double>, label int, n int"
+    rows = frame(spark, [(v.tolist(), int(a), int(c)) for v, a, c in zip(x, y, r)], schema)
+    copies = frame(spark, [(v.tolist(), int(a), 1) for v, a, c in zip(x, y, r) for _ in range(c)], schema)
+    w, b, objective = learn.linear_fit(rows, loss, 0.05, weight="n")
+    assert objective == pytest.approx(_objective(loss, x, y, r, 0.05, w, b), rel=1e-9)
+    assert objective == pytest.approx(learn.linear_fit(copies, loss, 0.05)[2], rel=1e-3)
+    for scale in (0.3, 0.03):
+        for step in rng.normal(0, scale, (200, 4)):
+            assert _objective(loss, x, y, r, 0.05, w + step[:3], b + step[3]) >= objective - 2e-4
+
+
+def test_reweighted_fit_objective_falls(spark):
+    x, d = blobs(spark, 2)
+    rows = d.select(F.col("d").alias("v"), F.when(F.col("vec_id") < 30, -1.0).otherwise(1.0).alias("y"), F.lit(1.0).alias("r"))
+    for loss in ("hinge2", "l1"):
+        history = learn.reweighted_fit(rows, loss, 1e-2, rounds=6)[2]
+        assert len(history) > 1 and (np.diff(history) <= 0).all()
+
+
 def test_index_concat_save_load(spark, tmp_path):
     a, b = frame(spark, [(5, 1.0, 2.0), (3, 1.0, 2.0)], "item_id long, l1 double, soft double"), frame(spark, [(4, 1.0, 2.0)], "item_id long, l1 double, soft double")
     assert [(r.item_id, r.ordinal) for r in index.concatenated([a, b]).orderBy("ordinal").collect()] == [(3, 0), (5, 1), (4, 2)]
