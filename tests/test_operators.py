@@ -243,7 +243,7 @@ def test_kernel_map_approximates_chi2(spark):
 
 def test_linear_fit_separates(spark):
     x, d = blobs(spark, 2)
-    rows = d.withColumn("label", F.when(F.col("vec_id") < 30, -1).otherwise(1))
+    rows = d.coalesce(1).withColumn("label", F.when(F.col("vec_id") < 30, -1).otherwise(1))
     for loss in learn.LOSSES:
         w, b, objective = learn.linear_fit(rows, loss, 1e-3)
         assert (((x @ w + b) > 0) == (np.arange(60) >= 30)).all() and objective < 0.2
@@ -261,8 +261,8 @@ def test_linear_fit_is_least_and_weights_are_copies(spark, loss):
     x = rng.normal(size=(120, 3))
     y, r = np.where(x @ [1, -2, 0.5] + rng.normal(0, 1.5, 120) > 0.3, 1, -1), rng.integers(1, 4, 120)
     schema = "d array<double>, label int, n int"
-    rows = frame(spark, [(v.tolist(), int(a), int(c)) for v, a, c in zip(x, y, r)], schema)
-    copies = frame(spark, [(v.tolist(), int(a), 1) for v, a, c in zip(x, y, r) for _ in range(c)], schema)
+    rows = frame(spark, [(v.tolist(), int(a), int(c)) for v, a, c in zip(x, y, r)], schema).coalesce(1)
+    copies = frame(spark, [(v.tolist(), int(a), 1) for v, a, c in zip(x, y, r) for _ in range(c)], schema).coalesce(1)
     w, b, objective = learn.linear_fit(rows, loss, 0.05, weight="n")
     assert objective == pytest.approx(_objective(loss, x, y, r, 0.05, w, b), rel=1e-9)
     assert objective == pytest.approx(learn.linear_fit(copies, loss, 0.05)[2], rel=1e-3)
