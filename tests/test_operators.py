@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -463,3 +464,48 @@ def test_integer_trees(spark):
     centers = cluster.ikmeans(d, 4, rounds=100)
     own = ((v[:, None] - centers) ** 2).sum(2).argmin(1)
     assert centers.dtype == np.int64 and all((centers[c] == v[own == c].sum(0) // (own == c).sum()).all() for c in range(4))
+
+
+def _joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_forest_search_makes_no_row_for_a_pair(spark):
+    """Pairs of queries and rows of leaves were joined, and ranked as rows."""
+    d = frame(spark, [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(3).normal(size=(500, 4)))], "vec_id long, d array<double>")
+    q, b = d.selectExpr("vec_id query_id", "d q"), d.selectExpr("vec_id base_id", "d b")
+    assert _joins(forest.forest_neighbours(q, b, 3, forest.build_forest(d, 2, 3), 16)) == 0
+
+
+def test_forest_visits_of_all_leaves_are_of_one_tree():
+    tree = forest.Tree(np.zeros(3, np.int64), np.array([0.0, -1.0, 1.0]), 2)
+    at, table, leaf, bound = forest.visits([tree, tree], np.array([[-0.5], [2.0]]), 8)
+    assert (at.tolist(), table.tolist(), leaf.tolist()) == ([0] * 4 + [1] * 4, [0] * 8, [1, 0, 2, 3, 3, 2, 1, 0]) and bound.tolist() == [0, 0.25, 0.25, 2.25, 0, 1, 4, 9]
+    assert len(forest.visits([tree, tree], np.array([[-0.5]]), 7)[0]) == 7
+
+
+def test_neighbours_in_cells_with_copies_ties_and_repeated_ids(monkeypatch):
+    """Against brute force, with few pairs and rows held at once."""
+    for name, value in (("HELD", 50), ("PAIRS", 64), ("BASE_ROWS", 40)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(5)
+    for case in range(6):
+        x = rng.integers(0, 3, (300, 2)).astype(float) + (rng.integers(0, 2, (300, 1)) * 2e-10 if case % 2 else 0)
+        x[rng.integers(0, 300, 60)] = x[0]
+        ids = rng.permutation(300) % (300 if case < 4 else 40)
+        if case == 3:
+            x[7] = np.nan
+        q, cells = rng.integers(0, 3, (9, 2)).astype(float), rng.integers(0, 4, (300, 2))
+        asked = rng.integers(0, 2, (9, 2, 4)).astype(bool)
+        place = iter([cells[k : k + 60] for k in range(0, 300, 60)])  # a block for each batch
+        visits = np.nonzero(asked)
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids[k : k + 60]), pa.array(x[k : k + 60].tolist())], ["base_id", "b"]) for k in range(0, 300, 60)]
+        run = neighbours._searcher(pa.array(range(9)), q, 4, lambda v, place=place: next(place), lambda v, visits=visits: (*visits, np.zeros(len(visits[0]))))
+        got = [r for b in run(batches) for r in b.to_pylist()]
+        for n in range(9):
+            best = {}
+            for k in range(300):
+                if any(asked[n, t, cells[k, t]] for t in range(2)):
+                    best[int(ids[k])] = min(best.get(int(ids[k]), np.inf), float("inf") if np.isnan(x[k]).any() else round(float(((q[n] - x[k]) ** 2).sum()), 9))
+            want = sorted((d, i) for i, d in best.items())[:4]
+            assert sorted((round(r["dist"], 9), r["base_id"]) for r in got if r["query_id"] == n)[:4] == want
