@@ -510,3 +510,15 @@ def test_neighbours_in_cells_with_copies_ties_and_repeated_ids(monkeypatch):
                     best[int(ids[k])] = min(best.get(int(ids[k]), np.inf), float("inf") if np.isnan(x[k]).any() else round(float(((q[n] - x[k]) ** 2).sum()), 9))
             want = sorted((d, i) for i, d in best.items())[:4]
             assert sorted((round(r["dist"], 9), r["base_id"]) for r in got if r["query_id"] == n)[:4] == want
+
+
+def test_cell_search_makes_no_row_for_a_pair(spark):
+    """Pairs within cells were joined, and shuffled to drop those met in several tables."""
+    x, d = blobs(spark)
+    found = cluster.cell_neighbours(d.selectExpr("vec_id query_id", "d q"), d.selectExpr("vec_id base_id", "d b"), 3, 2, 3)
+    assert _joins(found) == 0
+
+
+def test_nearest_center_rounds_before_it_compares():
+    c = np.array([[1.0], [-1.0 - 1e-13], [5.0]])
+    assert cluster.nearest_center(np.array([[-1e-14], [-0.5], [4.0]]), c).tolist() == [0, 1, 2]
