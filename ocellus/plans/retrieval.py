@@ -225,7 +225,7 @@ def pairwise_kernels(spark, sf_dir):
     h = _hist(spark, sf_dir)
     q = h.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("h").alias("q"))
     b = h.select(F.col("vec_id").alias("base_id"), F.col("h").alias("b"))
-    return neighbours.pairwise(q, b, list(_DIST)).select("query_id", "base_id", *[F.round(m, R).alias(m) for m in _DIST])
+    return neighbours.pairwise(q, b, list(_DIST), R)
 
 
 @query(

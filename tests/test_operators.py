@@ -522,3 +522,37 @@ def test_cell_search_makes_no_row_for_a_pair(spark):
 def test_nearest_center_rounds_before_it_compares():
     c = np.array([[1.0], [-1.0 - 1e-13], [5.0]])
     assert cluster.nearest_center(np.array([[-1e-14], [-0.5], [4.0]]), c).tolist() == [0, 1, 2]
+
+
+@pytest.mark.parametrize("scale", [1, 1e6])
+def test_pairwise_in_numpy_equals_columns(spark, scale):
+    """Every pair's metrics were interpreted element by element in the JVM, and pairs made by a join."""
+    rng = np.random.default_rng(6)
+    x = rng.random((40, 9)) * (rng.random((40, 9)) > 0.3) * scale
+    x[5], x[6] = 0, x[7]
+    d = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    q, b, names = d.filter("i % 4 < 3").selectExpr("i query_id", "v q"), d.selectExpr("i base_id", "v b"), list(vec.DISTANCES)
+    got = neighbours.pairwise(q, b, names)
+    assert _joins(got) == 0 and set(names) == set(neighbours.DENSE)
+    want = {(r.query_id, r.base_id): r for r in q.join(b).select("query_id", "base_id", *[vec.distance(m, F.col("q"), F.col("b")).alias(m) for m in names]).collect()}
+    rows = got.collect()
+    assert len(rows) == len(want) == 1200
+    for r in rows:
+        w = want[r.query_id, r.base_id]
+        for m in names:
+            same = w[m] if w[m] is not None else 0.0
+            assert r[m] == same if m not in ("js", "kjs") else r[m] == pytest.approx(same, rel=1e-12, abs=1e-12 * scale), m
+
+
+def test_pairwise_of_odd_rows(spark):
+    d = frame(spark, [(1, [1.0, -2.0]), (2, None), (3, [1.0]), (4, [1.0, None]), (5, [float("nan"), 1.0])], "i long, v array<double>")
+    rows = neighbours.pairwise(d.selectExpr("i query_id", "v q"), d.selectExpr("i base_id", "v b"), ["l1"], 6).collect()
+    got = {(r.query_id, r.base_id): r.l1 for r in rows}
+    assert len(got) == 25 and got[1, 1] == 0 and got[1, 2] is None and got[1, 3] is None and got[1, 4] is None and math.isnan(got[1, 5])
+    empty = d.filter("i > 9")
+    for q, b in ((empty, d), (d, empty), (empty, empty)):
+        assert neighbours.pairwise(q.selectExpr("i query_id", "v q"), b.selectExpr("i base_id", "v b"), ["l1"]).count() == 0
+
+
+def test_rounding_is_half_away_from_zero():
+    assert neighbours.rounded(np.array([0.0078125, -0.0078125, 1e305, math.inf, -1e-9]), 6).tolist() == [0.007813, -0.007813, 1e305, math.inf, 0.0]
