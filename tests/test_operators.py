@@ -556,3 +556,53 @@ def test_pairwise_of_odd_rows(spark):
 
 def test_rounding_is_half_away_from_zero():
     assert neighbours.rounded(np.array([0.0078125, -0.0078125, 1e305, math.inf, -1e-9]), 6).tolist() == [0.007813, -0.007813, 1e305, math.inf, 0.0]
+
+
+def test_visits_are_found_once_and_not_in_each_task():
+    """Every task found the visits of all queries anew, which cost as much as its search where tasks are many."""
+    calls, x = [], np.random.default_rng(1).normal(size=(40, 2))
+
+    def visits_of(v):
+        calls.append(len(v))
+        return np.arange(len(v)), np.zeros(len(v), int), np.zeros(len(v), int), np.zeros(len(v))
+
+    run = neighbours._searcher(pa.array(range(4)), x[:4], 2, lambda v: np.zeros((len(v), 1), int), visits_of)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(x.tolist())], ["base_id", "b"])
+    for _ in range(3):
+        got = {(r["query_id"], r["base_id"]) for b in run(iter([batch])) for r in b.to_pylist()}
+        assert all({(k, int(j)) for j in ((x - x[k]) ** 2).sum(1).argsort()[:2]} <= got for k in range(4))
+    assert calls == [4]
+
+
+def test_cells_are_searched_in_few_large_tasks(spark, monkeypatch):
+    """Each partition handed on k rows of every query, so rows grew as queries times partitions."""
+    monkeypatch.setattr(neighbours, "TASK_ROWS", 60)
+    d = spark.range(0, 600, 1, 40).selectExpr("id AS vec_id", "array(double(id % 37), double(id % 11)) AS d")
+    q, b = d.filter("vec_id < 5").selectExpr("vec_id query_id", "d q"), d.selectExpr("vec_id base_id", "d b")
+    found = forest.forest_neighbours(q, b, 3, forest.build_forest(d, 2, 3), 5)
+    assert f"Repartition {max(10, spark.sparkContext.defaultParallelism)}, false" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("trees,levels,probes", [(4, 3, 3), (3, 2, 6), (2, 5, 64)])
+def test_forest_search_by_boxes_equals_search_of_visited_leaves(monkeypatch, trees, levels, probes):
+    """Small boxes; elements about 0, far from it for singles, beyond singles, and not all finite."""
+    for name, value in (("HELD", 300), ("PAIRS", 100), ("BASE_ROWS", 400), ("BOX", 8)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(probes)
+    for offset in (0.0, 5e3, 1e7, None):
+        x = rng.normal(size=(1000, 3)) * rng.choice([0.01, 1, 20], (1000, 1)) + (offset or 0)
+        x[rng.integers(0, 1000, 50)] = x[1]
+        monkeypatch.setattr(forest, "_sample", lambda rows, *a: rows)
+        built = forest.build_forest(x, trees, levels)
+        if offset is None:
+            x[5], x[6], x[7, 1] = np.nan, np.inf, -np.inf
+        q = x[np.r_[0:40:3, 100:120]]
+        cells_of, visits_of = (lambda v, f=built: np.stack([forest.leaves(t, v) for t in f], 1)), lambda v, f=built: forest.visits(f, v, probes)
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 100)), pa.array(x[k : k + 100].tolist())], ["base_id", "b"]) for k in range(0, 1000, 100)]
+        with np.errstate(invalid="ignore"):
+            got = [r for b in neighbours._searcher(pa.array(range(len(q))), q, 5, cells_of, visits_of)(batches) for r in b.to_pylist()]
+            dist, own, visits = neighbours.exact_distances(q[:, None], x), cells_of(x), set(zip(*(a.tolist() for a in visits_of(q)[:3])))
+        for n in range(len(q)):
+            seen = [j for j in range(1000) if any((n, t, int(own[j, t])) in visits for t in range(trees))]
+            key = lambda d, j: (math.isnan(d), 0.0 if math.isnan(d) else round(d, 9), j)
+            assert sorted(key(r["dist"], r["base_id"]) for r in got if r["query_id"] == n)[:5] == sorted(key(float(dist[n, j]), j) for j in seen)[:5]
